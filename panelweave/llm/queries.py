@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, quality, sharding, substring_dedup, topk, warc
+from . import mixing, ngram_join, packing, pii, quality, sharding, substring_dedup, topk, warc
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("chunks")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return marked.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring_dedup.remove_repeats(docs, length=35, drop_text=True)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
