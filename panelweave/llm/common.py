@@ -40,8 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucket_count(rows: int, per_bucket: int) -> int:
-    return max(1, -(-rows // per_bucket))
+def bucket_count(rows: int, per_bucket: int = 2_000, most: int = 1 << 16) -> int:
+    """Buckets of about ``per_bucket`` rows; of more rows only beyond ``most`` buckets."""
+    return min(most, max(1, -(-rows // per_bucket)))
 
 
 def gapless(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:

@@ -52,7 +52,6 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    rows_per_bucket: int = 20_000,
 ) -> DataFrame:
     """All columns of ``docs`` plus ``mix_size, mix_source_size, mix_target, mix_taken``.
 
@@ -65,7 +64,7 @@ def mix_sources(
     key = F.md5(
         F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))
     )
-    buckets = bucket_count(docs.count(), rows_per_bucket)
+    buckets = bucket_count(docs.count())
     high = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
     keyed = (
         docs.withColumn("__key", key)

@@ -162,7 +162,6 @@ def shard_documents(
     capacity: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rows_per_bucket: int = 50_000,
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row.
 
@@ -205,7 +204,7 @@ def shard_documents(
         return pd.Series((bins[run] + more).astype(np.int32))
 
     n = keyed.count()
-    n_buckets = bucket_count(n, rows_per_bucket)
+    n_buckets = bucket_count(n)
     ranked = gapless(
         groups, ["__class"], F.pmod(F.xxhash64("__text"), F.lit(n_buckets)), [F.col("__text")], "__rank"
     ).select("__text", shard_of("__class", "__rank").alias("shard"))
