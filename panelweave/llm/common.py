@@ -36,6 +36,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, found by exact name whatever else ``df`` holds (also ``TEXT`` beside ``text``)."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns renamed by position, so that no name clashes with an operator's own, and the new names."""
+    fresh = [f"__c{i}" for i in range(len(df.columns))]
+    named: dict[str, str] = {}
+    for old, new in zip(df.columns, fresh, strict=True):
+        named.setdefault(old, new)
+    return df.toDF(*fresh), named
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

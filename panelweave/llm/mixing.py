@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_count, written
+from .common import WORD, bucket_count, neutral, written
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, limit: int) -> DataFrame:
@@ -58,9 +58,12 @@ def mix_sources(
     Null text counts 0 words; a null source is a source of its own, after all others.
     Empty input gives an empty result; a source without words has target 0.  Rows equal
     in id and text share a key and stand next to each other in any order: they are
-    interchangeable.  Further columns of any name pass through (names must not start
-    with two underscores or be one of the four results).
+    interchangeable.  Further columns of any name pass through, except those with the
+    name of a result.
     """
+    names = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken")]
+    docs, named = neutral(docs)
+    id_col, text_col, source_col = named[id_col], named[text_col], named[source_col]
     key = F.md5(
         F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))
     )
@@ -94,7 +97,7 @@ def mix_sources(
     epochs: Column = F.when(F.col("__words") > 0, F.floor(budget / F.col("__words"))).otherwise(F.lit(0)).cast("long")
     rest = budget - F.col("__epochs") * F.col("__words") - F.col("__before") - F.col("__sum")
     return joined.withColumn("__epochs", epochs).select(
-        *[F.col(f"k.`{c}`") for c in docs.columns],
+        *[F.col(f"k.{named[c]}").alias(c) for c in names],
         F.col("__size").alias("mix_size"),
         F.col("__words").alias("mix_source_size"),
         F.col("__target").alias("mix_target"),
@@ -107,10 +110,8 @@ def mix_sources(
 def repeat_taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each whole copy that the mix takes; a part of a document of half or more counts as a copy."""
     copies = F.floor((F.col("mix_taken") * 2 + F.col("mix_size")) / (F.col("mix_size") * 2)).cast("int")
-    return (
-        mixed.filter("mix_taken > 0")
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*[F.col(f"`{c}`") for c in columns])
+    return mixed.filter("mix_taken > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(1), copies))).select(
+        *[F.col(f"`{c}`") for c in columns]
     )
 
 

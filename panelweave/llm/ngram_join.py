@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import neutral, only, written
 from .components import connected
 from .textcore import Block, Ranges, blocks, mix
 
@@ -334,7 +334,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(texts.mapInArrow(_describe, "doc_id long, n long, node binary, sketch binary"), "ngram-rows")
     nodes = written(
         rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
@@ -389,12 +389,24 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, each component once."""
-    marked = jaccard_components(docs)
-    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return stay
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, so one row of each component.
+
+    Rows that repeat that id in the component (a table with repeated ids) all stay, but
+    rows equal in id and text stay once.  All columns are kept.
+    """
+    marked = jaccard_components(docs, id_col=id_col, text_col=text_col)
+    kept = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
+    kept = written(kept, "ngram-kept")
+    plain, named = neutral(docs)
+    id_, text = named[id_col], named[text_col]
+    stay = plain.join(kept, F.col(id_).eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    if kept.filter("__n > 1").isEmpty():
+        stay = stay.drop("__n")
+    else:
+        same = stay.filter("__n > 1").drop("__n").dropDuplicates([id_, text])
+        stay = stay.filter("__n = 1").drop("__n").unionByName(same)
+    return stay.toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import only, written
 
 LENGTH = 1024
 OPEN = 16
@@ -187,7 +187,7 @@ def pack_documents(
 
     done = []
     now = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first, schema), "pack-0"
+        only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first, schema), "pack-0"
     )
     level = 0
     while True:

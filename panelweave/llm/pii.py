@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only
+
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
 SAMPLE = 2000
@@ -325,7 +327,11 @@ def with_spans(docs: DataFrame, keep: list[str], text_col: str = "text", model:
     """Columns ``keep`` and n_email, n_ip, n_card, n_phone, base_spans, spans for each row.
 
     Null text counts as empty and has no spans; repeated rows are marked each for itself.
+    A column of ``keep`` that has the name of a result gives way to it.
     """
+    own = {*(f"n_{k}" for k in KINDS), "base_spans", "spans"}
+    keep = [c for c in keep if c not in own]
+    docs = only(docs, *dict.fromkeys([*keep, text_col]))
     model = fit(docs, text_col) if model is None else model
     schema = docs.select(*keep).schema
 

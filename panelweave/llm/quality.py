@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import neutral, only, written
 from .textcore import Block, blocks, mix
 
 ALPHA = 0.01
@@ -176,11 +176,15 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     Null or empty text has no words and fails the base rules.  Repeated rows are judged
     each for itself; further columns are left out; an empty table gives no rows.
     """
+    docs = only(docs, "doc_id", "text", "lang", "source")
     counts = written(with_counts(docs, ["doc_id", "lang", "source"]), "quality-counts")
     return judge(counts, written(thresholds(counts), "quality-limits")).drop("lang", "source")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns."""
-    limits = written(thresholds(with_counts(docs, ["lang", "source"])), "quality-limits")
-    return judge(with_counts(docs, docs.columns), limits).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with its columns; see :func:`quality_counts` for odd rows."""
+    plain, named = neutral(docs)
+    text, lang, source = (named[c] for c in ("text", "lang", "source"))
+    limits = written(thresholds(with_counts(plain, [lang, source], text), lang, source), "quality-limits")
+    kept = judge(with_counts(plain, plain.columns, text), limits, lang, source).filter("kept")
+    return kept.select(*plain.columns).toDF(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality, sharding, substring_dedup, topk, warc
+from . import licenses, mixing, ngram_join, packing, pii, quality, sharding, substring_dedup, topk, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.quality_counts(docs).drop("n_lines")
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, gapless, written
+from .common import bucket_count, gapless, only, written
 
 BITS = 12
 
@@ -174,7 +174,7 @@ def shard_documents(
         raise ValueError("give n_shards or capacity")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = written(
-        docs.select(
+        only(docs, id_col, text_col).select(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Block, blocks, mix
+from .common import neutral
+from .textcore import Block, Ranges, blocks, mix
 
 SIEVE_BITS = 27
 FLUSH = 1 << 21
@@ -65,8 +66,6 @@ def _hashes(block: Block, ranges, room: np.ndarray, k: int) -> np.ndarray:
 
 def _survivors(block: Block, sizes: list[int], sieves: list[np.ndarray], bits: int):
     """Window starts that pass the sieves, the hashes of the next level, and their window minima."""
-    from .textcore import Ranges
-
     room = block.room()
     ranges = Ranges(mix(block.hashes))
     length = sizes[-1]
@@ -320,6 +319,8 @@ def remove_repeats(
 ) -> DataFrame:
     """The columns of ``docs`` (without the text if ``drop_text``) and n_words, n_removed, kept.
 
+    A column that has the name of a result gives way to it.
+
     A word goes if a window of ``length`` words over it starts anywhere else too, in
     another row or the same; ``kept`` has the other words, joined by single spaces.  Null
     and empty texts have no words.  Two rows with the same text repeat each other.
@@ -327,6 +328,9 @@ def remove_repeats(
     spark = docs.sparkSession
     sizes = levels(length, first)
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept") and not (drop_text and c == text_col)]
+    docs, named = neutral(docs)
+    text_col = named[text_col]
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     texts = keyed.select("__key", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     sieves: list[np.ndarray] = []
@@ -335,7 +339,7 @@ def remove_repeats(
     runs = _repeats(texts, sizes, sieves, bits, n_buckets).groupBy(F.col("key").alias("__key")).agg(
         F.collect_list("runs").alias("__runs")
     )
-    columns = [c for c in docs.columns if not (drop_text and c == text_col)]
+    columns = [named[c] for c in own]
     schema = docs.select(*columns).schema
 
     def cut(batches):
@@ -362,7 +366,7 @@ def remove_repeats(
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     joined = keyed.join(runs, "__key", "left").select(*columns, F.col(text_col).alias("__text"), "__runs")
-    return joined.mapInArrow(cut, f"{ddl}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(cut, f"{ddl}, n_words long, n_removed long, kept string").toDF(*own, "n_words", "n_removed", "kept")
 
 
 ORACLE = r"""

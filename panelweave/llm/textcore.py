@@ -63,10 +63,10 @@ class Block:
     text i, ``hashes`` the word hashes.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool, first: int) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool, first: int, gaps: np.ndarray = SPACE) -> None:
         self.buf, self.offsets, self.first = buf, offsets, first
         self.n = len(offsets) - 1
-        self.solid = ~SPACE[buf]
+        self.solid = ~gaps[buf]
         begin = self.solid.copy()
         begin[1:] &= ~self.solid[:-1]
         end = np.zeros(len(buf) + 1, bool)
@@ -101,7 +101,7 @@ class Block:
         return np.repeat(self.bounds[1:], sizes) - np.arange(len(self.hashes))
 
 
-def blocks(column: pa.Array, lower: bool = False, target: int = 1 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array, lower: bool = False, target: int = 1 << 20, gaps: np.ndarray = SPACE) -> Iterator[Block]:
     """Cut an Arrow string column (nulls: empty texts) into blocks of whole texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -119,5 +119,5 @@ def blocks(column: pa.Array, lower: bool = False, target: int = 1 << 20) -> Iter
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + target, side="right")) - 1)
-        yield Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, i)
+        yield Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, i, gaps)
         i = j

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, written
+from .common import bucket_count, only, written
 
 BITS = 6
 QUERY_BLOCK = 512
@@ -33,7 +33,8 @@ def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     sound = ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     v = F.transform(x, lambda e: F.floor(e * scale).cast("long"))
     return (
-        embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+        only(embeddings, "vec_id", "embedding")
+        .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
         .filter(sound)
         .select("vec_id", v.alias("v"))
         .groupBy("vec_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, written
+from .common import only, scratch_dir, written
 
 END = "\r\n\r\n"
 SEGMENT = 32 << 10
@@ -34,7 +34,7 @@ def with_roles(pages: DataFrame, least: int = 100) -> DataFrame:
     empty payload.  Repeated rows of the smallest page_id are all responses.
     """
     full = (
-        pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+        only(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
         .withColumn("digest", F.sha2("payload", 256))
         .withColumn("bytes", F.octet_length("payload").cast("long"))
     )
