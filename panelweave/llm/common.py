@@ -24,15 +24,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, tag: str, batch: int = 1024) -> DataFrame:
     """Write ``df`` as Parquet to the scratch folder and return a scan of it.
 
     Cuts the lineage: what reads the result survives lost executors without
-    recomputing ``df``, and every reader sees the same rows.
+    recomputing ``df``, and every reader sees the same rows.  ``batch`` bounds the rows
+    that go to a Python worker at once while it is written; the session's own setting is
+    put back.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,9 +13,12 @@ Jaccard similarity of at least 3/4 differ in at most (|A| + |B|) / 7 shingles.
 * Block codes travel as arrays by bucket, six bytes a code, not a row each.  Equal sets
   are one node from the start: a map task sends a set once, and buckets merge the rest.
 * A bucket returns the lists of nodes with a block in common; equal lists are one.  The
-  first node of each list is checked with the others, which settles groups of near
-  copies of any size with about one check a member.  Lists that still hold several
-  components are then searched in full, in square blocks of ``BLOCK`` nodes.
+  first node of each list is checked with the others.  Lists that still hold several
+  components are searched in full, in square blocks of ``BLOCK`` nodes, but a search only
+  puts forward a forest: pairs that would join two components, nearest first.  Where all
+  of them hold, nothing else can matter; lists in which one fails are searched once more
+  and put forward every possible pair of what is still apart.  A group of near copies so
+  costs about one check a member, whatever its size.
 * Checks first compare one-hot parity sketches: their Hamming distance is at most the
   symmetric difference, so a larger one rules the pair out.  The rest are verified with
   the exact sets, read again from the texts of the nodes concerned.
@@ -33,9 +36,10 @@ from .components import connected
 from .textcore import Block, Ranges, blocks, mix
 
 K = 5
-FLUSH = 3 << 20
+FLUSH = 1 << 20
 NODES = 60_000
 BLOCK = 2048
+BUCKET = 3 << 19
 PRUNE_BITS = 24
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -138,7 +142,7 @@ def _emit(n_buckets: int):
             for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
                 used, local = np.unique(index[a:b], return_inverse=True)
                 cols[0].append(int(bucket[a]))
-                cols[1].append(b"".join(names[i] for i in used))
+                cols[1].append(b"".join(names[i][:8] for i in used))
                 cols[2].append((values[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
                 cols[3].append(local.astype(np.uint16).tobytes())
             names.clear(), held.clear(), owner.clear()
@@ -166,10 +170,14 @@ def _emit(n_buckets: int):
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """The distinct lists (two nodes or more, sorted) of nodes with a code in common."""
+    """The distinct lists (two nodes or more, sorted) of nodes with a code in common.
+
+    Here a node goes by the first 8 bytes of its id; nodes that share them are told apart
+    when the lists meet the table of nodes.
+    """
     names, values, index, base = [], [], [], 0
     for nodes, code, at in zip(group.column("nodes"), group.column("codes"), group.column("at"), strict=True):
-        own = np.frombuffer(nodes.as_py(), "V16")
+        own = np.frombuffer(nodes.as_py(), np.int64)
         names.append(own)
         values.append(np.frombuffer(code.as_py(), np.uint32))
         index.append(np.frombuffer(at.as_py(), np.uint16).astype(np.int64) + base)
@@ -195,10 +203,23 @@ def _stars(batches):
         a, b = [], []
         for x in batch.column(0):
             raw = x.as_py()
-            for i in range(16, len(raw), 16):
-                a.append(raw[:16])
-                b.append(raw[i : i + 16])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            keys = np.frombuffer(raw, np.int64)
+            a += [keys[0]] * (len(keys) - 1)
+            b += keys[1:].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["ka", "kb"])
+
+
+def _members(batches):
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for gid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = np.frombuffer(raw, np.int64)
+            out[0] += [gid] * len(keys)
+            out[1] += [-(-len(keys) // BLOCK)] * len(keys)
+            out[2] += range(len(keys))
+            out[3] += keys.tolist()
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gid", "parts", "i", "key"])
 
 
 def _possible(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
@@ -224,32 +245,42 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _search(batches):
-    """Possible pairs of different components in the square blocks of a list."""
-    for batch in batches:
-        out_a, out_b = [], []
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            same = right is None
-            sides = []
-            for rows in (left, left if same else right):
-                least = min(len(r["sketch"]) for r in (left + (right or []))) // 8
+def _search(forest: bool):
+    """Possible pairs of different components in the square blocks of a list: all, or a forest of near ones."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for at in range(batch.num_rows):
+                gid, left, right = (batch.column(i)[at].as_py() for i in range(3))
+                rows = left + (right or [])
+                least = min(len(r["sketch"]) for r in rows) // 8
                 bits = np.stack([fold(np.frombuffer(r["sketch"], np.uint64), least) for r in rows])
-                names = np.array([np.void(r["node"]) for r in rows])
-                roots = np.unique([r["root"] for r in left + (right or [])], return_inverse=True)[1]
-                sides.append((bits, np.array([r["n"] for r in rows]), names, roots[: len(left)] if rows is left else roots[len(left) :]))
-            (xb, xn, xname, xroot), (yb, yn, yname, yroot) = sides
-            for i in range(len(xn)):
-                start = i + 1 if same else 0
-                small, large = np.minimum(yn[start:], xn[i]), np.maximum(yn[start:], xn[i])
-                j = np.flatnonzero((4 * small >= 3 * large) & (yroot[start:] != xroot[i])) + start
-                if not len(j):
-                    continue
-                apart = np.bitwise_count(yb[j] ^ xb[i]).sum(axis=1, dtype=np.int64)
-                for k in j[apart <= (yn[j] + xn[i]) // 7]:
-                    p, q = xname[i].tobytes(), yname[k].tobytes()
-                    out_a.append(min(p, q))
-                    out_b.append(max(p, q))
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+                sizes = np.array([r["n"] for r in rows])
+                root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+                for i in range(len(left) if right else len(rows)):
+                    start = len(left) if right else i + 1
+                    small, large = np.minimum(sizes[start:], sizes[i]), np.maximum(sizes[start:], sizes[i])
+                    j = np.flatnonzero((4 * small >= 3 * large) & (root[start:] != root[i])) + start
+                    if not len(j):
+                        continue
+                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    near = apart <= (sizes[j] + sizes[i]) // 7
+                    j, apart = j[near], apart[near]
+                    if forest and len(j):
+                        order = np.argsort(apart, kind="stable")
+                        j = j[order]
+                        j = j[np.sort(np.unique(root[j], return_index=True)[1])]  # the nearest of each component
+                        merged = np.append(root[j], root[i])
+                        root[np.isin(root, merged)] = merged.min()
+                    for k in j:
+                        p, q = rows[i]["node"], rows[k]["node"]
+                        out[0].append(gid)
+                        out[1].append(min(p, q))
+                        out[2].append(max(p, q))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["gid", "a", "b"])
+
+    return run
 
 
 def _describe(batches):
@@ -261,8 +292,14 @@ def _describe(batches):
                 node.append(node_id(s) if len(s) else None)
                 sk.append(sketch(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sk, pa.binary())],
-            [*batch.schema.names[:-1], "n", "node", "sketch"],
+            [
+                *batch.columns[:-1],
+                pa.array(n, pa.int64()),
+                pa.array(node, pa.binary()),
+                pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in node], pa.int64()),
+                pa.array(sk, pa.binary()),
+            ],
+            [*batch.schema.names[:-1], "n", "node", "key", "sketch"],
         )
 
 
@@ -287,11 +324,13 @@ class _Checker:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) with a similarity of at least 3/4."""
-        x = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        y = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        on = ["ka", "kb"] if "ka" in pairs.columns else ["a", "b"]
+        key = ["key"] if "ka" in pairs.columns else []
+        x = self.nodes.select(*[F.col(c).alias("ka") for c in key], F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        y = self.nodes.select(*[F.col(c).alias("kb") for c in key], F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         left = written(
-            pairs.join(x, "a")
-            .join(y, "b")
+            pairs.join(x, on[0])
+            .join(y, on[1])
             .select("a", "b", "na", "nb", "sa", "sb")
             .mapInArrow(_sieve, "a binary, b binary, na long, nb long"),
             "ngram-possible",
@@ -320,9 +359,31 @@ class _Checker:
             .select("a", "b", "na", "nb", "x", "y")
             .mapInArrow(_verify, "a binary, b binary"),
             "ngram-links",
+            128,
         )
 
 
+def _squares(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """gid, x, y: blocks of the lists that hold more than one component, each side an array of nodes (y null: x with itself)."""
+    members = lists.select("gid", "list").mapInArrow(_members, "gid binary, parts int, i int, key long")
+    members = members.join(nodes.select("key", "node"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
+    members = (
+        members.join(mixed, "gid", "left_semi")
+        .join(nodes.select("node", "n", "sketch"), "node")
+        .withColumn("part", F.floor(F.col("i") / BLOCK).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("p", F.least("part", "other"))
+        .withColumn("q", F.greatest("part", "other"))
+    )
+    one = F.struct("node", "n", "root", "sketch")
+    squares = members.groupBy("gid", "p", "q").agg(
+        F.collect_list(F.when(F.col("part") == F.col("p"), one)).alias("x"),
+        F.collect_list(F.when((F.col("part") == F.col("q")) & (F.col("p") < F.col("q")), one)).alias("y"),
+    )
+    return squares.select("gid", "x", F.when(F.col("p") < F.col("q"), F.col("y")).alias("y"))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
@@ -333,13 +394,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Null ids are never the smallest.  Other columns are left out.
     """
     spark = docs.sparkSession
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(texts.mapInArrow(_describe, "doc_id long, n long, node binary, sketch binary"), "ngram-rows")
+    rows = written(texts.mapInArrow(_describe, "doc_id long, n long, node binary, key long, sketch binary"), "ngram-rows")
     nodes = written(
-        rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        rows.filter("n > 0")
+        .groupBy("node")
+        .agg(*[F.first(c).alias(c) for c in ("n", "key", "sketch")], F.min("doc_id").alias("rep")),
         "ngram-nodes",
     )
+    shingles = nodes.agg(F.sum("n")).first()[0] or 0
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // BUCKET + 1)
     lists = written(
         texts.select("text")
         .mapInArrow(_emit(n_buckets), "bucket int, nodes binary, codes binary, at binary")
@@ -349,35 +413,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         "ngram-lists",
     )
     check = _Checker(texts, nodes)
-    links = check.links(lists.mapInArrow(_stars, "a binary, b binary").distinct())
+    links = check.links(lists.mapInArrow(_stars, "ka long, kb long").distinct())
     roots = written(connected(links), "ngram-roots")
 
-    long_ = lists.filter(F.octet_length("list") > 32).withColumn("gid", F.sha2("list", 256))
-    members = long_.select(
-        "gid",
-        F.expr("transform(sequence(0, cast(octet_length(list) / 16 as int) - 1), i -> struct(i as i, substring(list, i * 16 + 1, 16) as node))").alias("m"),
-        F.ceil(F.octet_length("list") / (16 * BLOCK)).cast("int").alias("parts"),
-    ).select("gid", "parts", F.explode("m").alias("m")).select("gid", "parts", "m.i", "m.node")
-    members = (
-        members.join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
-    open_ = members.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
-    members = (
-        members.join(open_, "gid")
-        .join(nodes.select("node", "n", "sketch"), "node")
-        .withColumn("part", F.floor(F.col("i") / BLOCK).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("p", F.least("part", "other"))
-        .withColumn("q", F.greatest("part", "other"))
-    )
-    one = F.struct("node", "n", "root", "sketch")
-    squares = members.groupBy("gid", "p", "q").agg(
-        F.collect_list(F.when(F.col("part") == F.col("p"), one)).alias("x"),
-        F.collect_list(F.when((F.col("part") == F.col("q")) & (F.col("p") < F.col("q")), one)).alias("y"),
-    )
-    more = squares.select("x", F.when(F.col("p") < F.col("q"), F.col("y")).alias("y")).mapInArrow(_search, "a binary, b binary").distinct()
-    links = links.unionByName(check.links(more))
+    open_ = lists.filter(F.octet_length("list") > 16).withColumn("gid", F.unhex(F.md5("list")))
+    squares = _squares(open_, nodes, roots)
+    tried = written(squares.mapInArrow(_search(True), "gid binary, a binary, b binary"), "ngram-forest", 32)
+    more = check.links(tried.select("a", "b").distinct())
+    failed = tried.join(more, ["a", "b"], "left_anti").select("gid").distinct()
+    links = links.unionByName(more)
+    roots = written(connected(links), "ngram-roots")
+    squares = _squares(open_.join(failed, "gid", "left_semi"), nodes, roots)
+    rest = written(squares.mapInArrow(_search(False), "gid binary, a binary, b binary").select("a", "b").distinct(), "ngram-rest", 32)
+    links = links.unionByName(check.links(rest))
     roots = written(connected(links), "ngram-roots")
 
     found = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

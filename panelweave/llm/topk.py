@@ -124,6 +124,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, bits: int = BITS) -> DataFra
         coded.join(asked, ["dim", "b", "g"])
         .mapInArrow(_bounds(k, bits), "query_id long, vec_id long, upper double, slack double"),
         "topk-bounds",
+        4,
     )
     # The k-th best upper bound of a query, less its slack, is the k-th best lower bound.
     some = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy(F.desc("upper"))
