@@ -15,28 +15,38 @@ from panelweave.llm.common import table, written
 from panelweave.llm.queries import tokenizer_path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that go to a Python worker at once, for the tables that the stages return: documents are wide."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fences of their language and source."""
+    small_batches(spark)
     return quality.quality_filter(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data masked."""
+    small_batches(spark)
     return pii.masked(docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    small_batches(spark)
     return mixing.repeat_taken(mixing.mix_sources(docs), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
