@@ -211,15 +211,12 @@ def _stars(batches):
 
 def _members(batches):
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for gid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys = np.frombuffer(raw, np.int64)
-            out[0] += [gid] * len(keys)
-            out[1] += [-(-len(keys) // BLOCK)] * len(keys)
-            out[2] += range(len(keys))
-            out[3] += keys.tolist()
-        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gid", "parts", "i", "key"])
+        gid, key = [], []
+        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = np.frombuffer(raw, np.int64).tolist()
+            gid += [name] * len(keys)
+            key += keys
+        yield pa.RecordBatch.from_arrays([pa.array(gid, pa.binary()), pa.array(key, pa.int64())], ["gid", "key"])
 
 
 def _possible(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
@@ -363,25 +360,41 @@ class _Checker:
         )
 
 
-def _squares(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """gid, x, y: blocks of the lists that hold more than one component, each side an array of nodes (y null: x with itself)."""
-    members = lists.select("gid", "list").mapInArrow(_members, "gid binary, parts int, i int, key long")
-    members = members.join(nodes.select("key", "node"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
-    members = (
-        members.join(mixed, "gid", "left_semi")
+def _groups(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """gid, node: the members of the lists that hold more than one component.
+
+    Lists in which a component has two nodes or more go together with all others in which
+    it leads: a pair is then looked at once, not in each of the many lists that near
+    copies share.  That only adds pairs.
+    """
+    m = lists.select("gid", "list").mapInArrow(_members, "gid binary, key long")
+    m = m.join(nodes.select("key", "node"), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = m.groupBy("gid", "root").agg(F.count(F.lit(1)).alias("n"))
+    lead = each.groupBy("gid").agg(F.max(F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    m = m.join(lead, "gid").withColumn("to", F.when(F.col("lead.n") > 1, F.col("lead.root")).otherwise(F.col("gid")))
+    return m.select(F.col("to").alias("gid"), "node").distinct()
+
+
+def _squares(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """gid, x, y: blocks of the groups that hold more than one component, each side an array of nodes (y null: x with itself)."""
+    m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = m.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    m = (
+        m.join(sizes.select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "gid")
         .join(nodes.select("node", "n", "sketch"), "node")
-        .withColumn("part", F.floor(F.col("i") / BLOCK).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("p", F.least("part", "other"))
         .withColumn("q", F.greatest("part", "other"))
     )
     one = F.struct("node", "n", "root", "sketch")
-    squares = members.groupBy("gid", "p", "q").agg(
+    squares = m.groupBy("gid", "p", "q").agg(
         F.collect_list(F.when(F.col("part") == F.col("p"), one)).alias("x"),
         F.collect_list(F.when((F.col("part") == F.col("q")) & (F.col("p") < F.col("q")), one)).alias("y"),
     )
-    return squares.select("gid", "x", F.when(F.col("p") < F.col("q"), F.col("y")).alias("y"))
+    return squares.filter((F.size("x") > 0) & ((F.col("p") == F.col("q")) | (F.size("y") > 0))).select(
+        "gid", "x", F.when(F.col("p") < F.col("q"), F.col("y")).alias("y")
+    )
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,18 +430,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = written(connected(links), "ngram-roots")
 
     open_ = lists.filter(F.octet_length("list") > 16).withColumn("gid", F.unhex(F.md5("list")))
-    # Lists overlap: an eighth of them settles most groups, and what is settled need not be searched again.
-    early = F.pmod(F.xxhash64("gid"), F.lit(8)) == 0
-    failed = []
-    for part, tag in ((open_.filter(early), "early"), (open_.filter(~early), "late")):
-        squares = _squares(part, nodes, roots)
-        tried = written(squares.mapInArrow(_search(True), "gid binary, a binary, b binary"), f"ngram-{tag}", 32)
-        more = check.links(tried.select("a", "b").distinct())
-        failed.append(tried.join(more, ["a", "b"], "left_anti").select("gid"))
-        links = links.unionByName(more)
-        roots = written(connected(links), "ngram-roots")
-    failed = failed[0].unionByName(failed[1]).distinct()
-    squares = _squares(open_.join(failed, "gid", "left_semi"), nodes, roots)
+    members = written(_groups(open_, nodes, roots), "ngram-members")
+    tried = written(_squares(members, nodes, roots).mapInArrow(_search(True), "gid binary, a binary, b binary"), "ngram-forest", 32)
+    more = check.links(tried.select("a", "b").distinct())
+    failed = tried.join(more, ["a", "b"], "left_anti").select("gid").distinct()
+    links = links.unionByName(more)
+    roots = written(connected(links), "ngram-roots")
+    squares = _squares(members.join(failed, "gid", "left_semi"), nodes, roots)
     rest = written(squares.mapInArrow(_search(False), "gid binary, a binary, b binary").select("a", "b").distinct(), "ngram-rest", 32)
     links = links.unionByName(check.links(rest))
     roots = written(connected(links), "ngram-roots")
