@@ -71,7 +71,8 @@ class Block:
         begin[1:] &= ~self.solid[:-1]
         end = np.zeros(len(buf) + 1, bool)
         end[1:-1] = self.solid[:-1] & ~self.solid[1:]
-        end[-1:] = self.solid[-1:]
+        if len(buf):
+            end[-1] = self.solid[-1]
         inner = offsets[1:-1]
         inner = inner[(inner > 0) & (inner < len(buf))]
         begin[inner] = self.solid[inner]
