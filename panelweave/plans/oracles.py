@@ -532,7 +532,7 @@ SELECT date, symbol, size_group, CAST(row_number() OVER (PARTITION BY date, size
     ),
     "execution_panel": with_("exe", "SELECT " + r("date symbol adv* limit_rate* is_suspended") + " FROM exe"),
     "rebalance_orders": with_("ord", "SELECT " + r("portfolio_name signal_date date symbol side quantity fill_quantity open_raw* adv* reason") + " FROM ord"),
-    "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*", 7) + " FROM cost"),
+    "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*") + " FROM cost"),
     "fee_coverage": "SELECT CAST(day AS DATE) AS day, 'sz' AS market, CAST(0 AS BIGINT) AS rules FROM generate_series(DATE '2000-01-01', DATE '2000-02-29', INTERVAL 1 DAY) AS t(day)",
     "blocked_orders": with_("ord", "SELECT portfolio_name, side, reason, count(*) AS orders FROM ord WHERE reason IS NOT NULL GROUP BY ALL"),
     "universe_benchmark": with_("bench", "SELECT date, round(ln(equal_weight), 6) AS log_equal_weight, round(ln(cap_weight), 6) AS log_cap_weight, member_count FROM bench"),

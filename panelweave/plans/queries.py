@@ -334,7 +334,7 @@ def _rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return stamp, transfer
 
 
-@query(7)
+@query()
 def trade_costs(r):
     return portfolio.with_fees(portfolio.priced(_orders(r)), *_rules(r.spark)).select(
         "portfolio_name", "date", "symbol", "side", "fill_quantity", "amount", "commission", "stamp_duty", "transfer_fee", "slippage_cost", "impact_cost", "total_cost"
