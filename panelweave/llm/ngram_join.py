@@ -16,9 +16,9 @@ Jaccard similarity of at least 3/4 differ in at most (|A| + |B|) / 7 shingles.
   first node of each list is checked with the others.  Lists that still hold several
   components are searched in full, in square blocks of ``BLOCK`` nodes, but a search only
   puts forward a forest: pairs that would join two components, nearest first.  Where all
-  of them hold, nothing else can matter; lists in which one fails are searched once more
-  and put forward every possible pair of what is still apart.  A group of near copies so
-  costs about one check a member, whatever its size.
+  of them hold, nothing else can matter.  Groups in which one fails are settled with the
+  sets themselves, in blocks of ``SETS`` nodes: only links that join two components leave
+  a block.  A group of near copies so costs about one link a member, whatever its size.
 * Checks first compare one-hot parity sketches: their Hamming distance is at most the
   symmetric difference, so a larger one rules the pair out.  The rest are verified with
   the exact sets, read again from the texts of the nodes concerned.
@@ -39,6 +39,7 @@ K = 5
 FLUSH = 1 << 19
 NODES = 60_000
 BLOCK = 2048
+SETS = 256
 BUCKET = 1 << 20
 PRUNE_BITS = 24
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -87,9 +88,9 @@ def node_id(s: np.ndarray) -> bytes:
     return pair.tobytes()
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """One-hot parity bits, two to four for each shingle, 64 at least."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+def sketch(s: np.ndarray, bits: int | None = None) -> bytes:
+    """One-hot parity bits: by default two to four for each shingle, 64 at least."""
+    bits = bits or max(64, 1 << (2 * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -242,42 +243,65 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _search(forest: bool):
-    """Possible pairs of different components in the square blocks of a list: all, or a forest of near ones."""
-
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for at in range(batch.num_rows):
-                gid, left, right = (batch.column(i)[at].as_py() for i in range(3))
-                rows = left + (right or [])
-                least = min(len(r["sketch"]) for r in rows) // 8
-                bits = np.stack([fold(np.frombuffer(r["sketch"], np.uint64), least) for r in rows])
-                sizes = np.array([r["n"] for r in rows])
-                root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
-                for i in range(len(left) if right else len(rows)):
-                    start = len(left) if right else i + 1
-                    small, large = np.minimum(sizes[start:], sizes[i]), np.maximum(sizes[start:], sizes[i])
-                    j = np.flatnonzero((4 * small >= 3 * large) & (root[start:] != root[i])) + start
-                    if not len(j):
+def _search(batches):
+    """A forest of possible pairs, nearest first, over the components in the square blocks of a group."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for at in range(batch.num_rows):
+            gid, left, right = (batch.column(i)[at].as_py() for i in range(3))
+            rows = left + (right or [])
+            least = min(len(r["sketch"]) for r in rows) // 8
+            bits = np.stack([fold(np.frombuffer(r["sketch"], np.uint64), least) for r in rows])
+            sizes = np.array([r["n"] for r in rows])
+            root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+            for i in range(len(left) if right else len(rows)):
+                j, apart = _near(i, len(left) if right else i + 1, bits, sizes, root)
+                if not len(j):
+                    continue
+                j = j[np.argsort(apart, kind="stable")]
+                j = j[np.sort(np.unique(root[j], return_index=True)[1])]  # the nearest of each component
+                merged = np.append(root[j], root[i])
+                root[np.isin(root, merged)] = merged.min()
+                for k in j:
+                    p, q = rows[i]["node"], rows[k]["node"]
+                    out[0].append(gid)
+                    out[1].append(min(p, q))
+                    out[2].append(max(p, q))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["gid", "a", "b"])
+
+
+def _near(i: int, start: int, bits: np.ndarray, sizes: np.ndarray, root: np.ndarray):
+    """Rows from ``start`` on that may be linked with row i and lie in another component, and their sketches' distances."""
+    small, large = np.minimum(sizes[start:], sizes[i]), np.maximum(sizes[start:], sizes[i])
+    j = np.flatnonzero((4 * small >= 3 * large) & (root[start:] != root[i])) + start
+    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) if len(j) else np.zeros(0, np.int64)
+    near = apart <= (sizes[j] + sizes[i]) // 7
+    return j[near], apart[near]
+
+
+def _settle(batches):
+    """Links, each verified, that join components in the square blocks of a group; sides hold the sets themselves."""
+    for batch in batches:
+        out: list[list] = [[], []]
+        for at in range(batch.num_rows):
+            _, left, right = (batch.column(i)[at].as_py() for i in range(3))
+            rows = left + (right or [])
+            sets = [np.frombuffer(r["sketch"], np.uint64) for r in rows]
+            sizes = np.array([len(s) for s in sets])
+            words = 1 << max(0, (16 * int(sizes.max()) - 1).bit_length() - 6)
+            bits = np.stack([np.frombuffer(sketch(s, words * 64), np.uint64) for s in sets])
+            root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+            for i in range(len(left) if right else len(rows)):
+                j, apart = _near(i, len(left) if right else i + 1, bits, sizes, root)
+                for k in j[np.argsort(apart, kind="stable")]:
+                    if root[k] == root[i]:
                         continue
-                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    near = apart <= (sizes[j] + sizes[i]) // 7
-                    j, apart = j[near], apart[near]
-                    if forest and len(j):
-                        order = np.argsort(apart, kind="stable")
-                        j = j[order]
-                        j = j[np.sort(np.unique(root[j], return_index=True)[1])]  # the nearest of each component
-                        merged = np.append(root[j], root[i])
-                        root[np.isin(root, merged)] = merged.min()
-                    for k in j:
-                        p, q = rows[i]["node"], rows[k]["node"]
-                        out[0].append(gid)
-                        out[1].append(min(p, q))
-                        out[2].append(max(p, q))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["gid", "a", "b"])
-
-    return run
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * both >= 75 * (sizes[i] + sizes[k] - both):
+                        root[root == root[k]] = root[i]
+                        out[0].append(rows[i]["node"])
+                        out[1].append(rows[k]["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
 
 
 def _describe(batches):
@@ -319,20 +343,9 @@ class _Checker:
     def __init__(self, texts: DataFrame, nodes: DataFrame) -> None:
         self.texts, self.nodes = texts, nodes
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) with a similarity of at least 3/4."""
-        on = ["ka", "kb"] if "ka" in pairs.columns else ["a", "b"]
-        key = ["key"] if "ka" in pairs.columns else []
-        x = self.nodes.select(*[F.col(c).alias("ka") for c in key], F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        y = self.nodes.select(*[F.col(c).alias("kb") for c in key], F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        left = written(
-            pairs.join(x, on[0])
-            .join(y, on[1])
-            .select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(_sieve, "a binary, b binary, na long, nb long"),
-            "ngram-possible",
-        )
-        ids = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("rep")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node, set for the nodes of ``wanted`` (and perhaps some more), from their texts."""
+        ids = wanted.join(self.nodes, "node").select("rep")
         hit = F.xxhash64("rep").bitwiseAND((1 << PRUNE_BITS) - 1)
         # A bitmap of fixed size (at most 2**18 rows) over the ids keeps most other texts from being read again.
         bitmap = (
@@ -342,14 +355,29 @@ class _Checker:
             .agg(F.bit_or("bit").alias("__bits"))
         )
         mine = F.xxhash64("doc_id").bitwiseAND((1 << PRUNE_BITS) - 1)
-        wanted = (
+        texts = (
             self.texts.withColumn("__h", mine)
             .withColumn("__word", F.shiftright("__h", 6).cast("int"))
             .join(F.broadcast(bitmap), "__word")
             .filter(F.expr("shiftright(__bits, cast(__h & 63 as int)) & 1 = 1"))
             .select("text")
         )
-        sets = wanted.mapInArrow(_sets, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
+        return texts.mapInArrow(_sets, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) with a similarity of at least 3/4."""
+        on = ["ka", "kb"] if "ka" in pairs.columns else ["a", "b"]
+        key = ["key"] if "ka" in pairs.columns else []
+        x = self.nodes.select(*[F.col(c).alias("ka") for c in key], F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        y = self.nodes.select(*[F.col(c).alias("kb") for c in key], F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        left = written(
+            pairs.join(x, on[0])
+            .join(y, on[1])
+            .select("a", "b", "na", "nb", "sa", "sb")
+            .mapInArrow(_sieve, "a binary, b binary, na long, nb long"),
+            "ngram-possible",
+        )
+        sets = self.sets(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         return written(
             left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -375,12 +403,12 @@ def _groups(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return m.select(F.col("to").alias("gid"), "node").distinct()
 
 
-def _squares(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """gid, x, y: blocks of the groups that hold more than one component, each side an array of nodes (y null: x with itself)."""
+def _squares(members: DataFrame, nodes: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """gid, x, y: square blocks of the groups that hold more than one component, each side an array of nodes (y null: x with itself)."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = m.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
     m = (
-        m.join(sizes.select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "gid")
+        m.join(sizes.select("gid", F.ceil(F.col("size") / block).cast("int").alias("parts")), "gid")
         .join(nodes.select("node", "n", "sketch"), "node")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -431,14 +459,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     open_ = lists.filter(F.octet_length("list") > 16).withColumn("gid", F.unhex(F.md5("list")))
     members = written(_groups(open_, nodes, roots), "ngram-members")
-    tried = written(_squares(members, nodes, roots).mapInArrow(_search(True), "gid binary, a binary, b binary"), "ngram-forest", 32)
+    tried = written(_squares(members, nodes, roots).mapInArrow(_search, "gid binary, a binary, b binary"), "ngram-forest", 32)
     more = check.links(tried.select("a", "b").distinct())
     failed = tried.join(more, ["a", "b"], "left_anti").select("gid").distinct()
     links = links.unionByName(more)
     roots = written(connected(links), "ngram-roots")
-    squares = _squares(members.join(failed, "gid", "left_semi"), nodes, roots)
-    rest = written(squares.mapInArrow(_search(False), "gid binary, a binary, b binary").select("a", "b").distinct(), "ngram-rest", 32)
-    links = links.unionByName(check.links(rest))
+    again = written(members.join(failed, "gid", "left_semi"), "ngram-again")
+    exact = check.sets(again.select("node").distinct()).select("node", F.lit(0).cast("long").alias("n"), F.col("set").alias("sketch"))
+    links = links.unionByName(written(_squares(again, exact, roots, SETS).mapInArrow(_settle, "a binary, b binary"), "ngram-settled", 1))
     roots = written(connected(links), "ngram-roots")
 
     found = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
