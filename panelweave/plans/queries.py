@@ -22,14 +22,17 @@ CONTRACT = checks.Contract(
 )
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Floating columns rounded, so that results of other engines compare equal."""
-    return df.select(*[F.round(F.col(c) + 0.0, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    """Floating columns rounded, so that results of other engines compare equal.
 
+    ``shift`` moves exact decimals off the half-way points, which engines round differently.
+    """
+    return df.select(*[F.round(F.col(c) + shift, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
-def query(digits: int = 6):
+
+def query(digits: int = 6, shift: float = 0.0):
     def register(f: Callable[[Research], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(research(spark, sf_dir)), digits)
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(research(spark, sf_dir)), digits, shift)
         return f
 
     return register
@@ -71,7 +74,7 @@ def forward_labels(r):
     return r.labels
 
 
-@query(9)
+@query(6, 2e-8)
 def month_end_panel(r):
     return universe.month_ends(r.bars).select("date", "symbol", "close_adj")
 
@@ -320,7 +323,7 @@ def _orders(r: Research) -> DataFrame:
     return portfolio.rebalance_orders(r.targets, universe.execution_panel(r.bars), r.calendar, capital=1e7, lot=100, participation=0.5)
 
 
-@query()
+@query(6, 2e-8)
 def rebalance_orders(r):
     return _orders(r)
 
@@ -334,7 +337,7 @@ def _rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return stamp, transfer
 
 
-@query()
+@query(6, 2e-8)
 def trade_costs(r):
     return portfolio.with_fees(portfolio.priced(_orders(r)), *_rules(r.spark)).select(
         "portfolio_name", "date", "symbol", "side", "fill_quantity", "amount", "commission", "stamp_duty", "transfer_fee", "slippage_cost", "impact_cost", "total_cost"
@@ -515,7 +518,7 @@ def _positions(r: Research) -> DataFrame:
     return audits.marked_positions(r.targets, r.bars, r.calendar)
 
 
-@query(9)
+@query(6, 2e-8)
 def marked_positions(r):
     return _positions(r)
 

@@ -52,7 +52,7 @@ def _read(spark: SparkSession, path: str, headers: dict[str, str]) -> DataFrame:
     named = raw.select(*[F.col(f"`{h}`").alias(n) for h, n in headers.items()])
     cast = lambda n: F.col(n) if n in TEXT else F.expr(f"try_cast({n} AS DOUBLE)").alias(n)
     out = named.select(*[cast(n) for n in headers.values()])
-    return out.withColumn("date", F.try_to_date("date", F.lit("yyyy-MM-dd"))).withColumn("symbol", padded_symbol("symbol"))
+    return out.withColumn("date", F.try_to_date("date", "yyyy-MM-dd")).withColumn("symbol", padded_symbol("symbol"))
 
 
 def parse_flag(c: str) -> Column:

@@ -22,7 +22,7 @@ def plain(v):
     if isinstance(v, (bool, str)):
         return str(v)
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return f"{float(v):.8g}"
+        return repr(round(float(v), 6) + 0.0)
     return str(v)[:19].removesuffix(" 00:00:00")
 
 
