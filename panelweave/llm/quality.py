@@ -188,3 +188,44 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     limits = written(thresholds(with_counts(plain, [lang, source], text), lang, source), "quality-limits")
     kept = judge(with_counts(plain, plain.columns, text), limits, lang, source).filter("kept")
     return kept.select(*plain.columns).toDF(*docs.columns)
+
+
+def _oracle() -> str:
+    metrics = ", ".join(f"('{m}', {v.replace(' / ', ' / nullif(')}, 0), {s!r}::DOUBLE, {str(both).lower()})" for m, (v, s, both) in METRICS.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, s, md5(array_to_string(w[s:s + 4], ' ')) AS h FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1))) AS s FROM d)
+), again AS (
+  SELECT r, count(DISTINCT s + o) AS n FROM (SELECT r, s, count(*) OVER (PARTITION BY r, h) AS k FROM g), range(0, 5) AS t(o) WHERE k > 1 GROUP BY r
+), lines AS (
+  SELECT r, list_filter(str_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), c AS (
+  SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN lines USING (r) LEFT JOIN again USING (r)
+), b AS (
+  SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM c
+), m AS (
+  SELECT b.*, metric, x, least_spread, both_sides FROM b, LATERAL (VALUES {metrics}) AS t(metric, x, least_spread, both_sides)
+), k AS (
+  SELECT lang, source, metric, CASE WHEN x <= 1e-9 THEN -1000000 ELSE ceil(ln(x) / {math.log(GAMMA)!r}::DOUBLE) END AS bucket, count(*) AS n FROM m WHERE NOT base_failed AND x IS NOT NULL GROUP BY ALL
+), q AS (
+  SELECT level, lang, source, metric, bucket, sum(n) AS n FROM (SELECT 0 AS level, * FROM k UNION ALL SELECT 1, lang, NULL, metric, bucket, n FROM k UNION ALL SELECT 2, NULL, NULL, metric, bucket, n FROM k) GROUP BY ALL
+), cum AS (
+  SELECT *, CASE WHEN bucket = -1000000 THEN 0.0::DOUBLE ELSE pow({GAMMA!r}::DOUBLE, bucket) * {2 / (GAMMA + 1)!r}::DOUBLE END AS v,
+         sum(n) OVER p AS total, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto FROM q WINDOW p AS (PARTITION BY level, lang, source, metric)
+), qq AS (
+  SELECT level, lang, source, metric, max(total) AS total, min(CASE WHEN upto >= total * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= total * 0.75 THEN v END) AS q3 FROM cum GROUP BY level, lang, source, metric
+), bad AS (
+  SELECT m.r, bool_or(coalesce(x > q3 + {FENCE} * greatest(q3 - q1, least_spread) OR both_sides AND x < q1 - {FENCE} * greatest(q3 - q1, least_spread), false)) AS beyond FROM (
+    SELECT m.*, CASE WHEN o.total >= {MIN_ROWS} THEN o.q1 WHEN l.total >= {MIN_ROWS} THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.total >= {MIN_ROWS} THEN o.q3 WHEN l.total >= {MIN_ROWS} THEN l.q3 ELSE a.q3 END AS q3
+    FROM m LEFT JOIN qq o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
+    LEFT JOIN qq l ON l.level = 1 AND l.metric = m.metric AND l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN qq a ON a.level = 2 AND a.metric = m.metric) AS m GROUP BY m.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept FROM b JOIN bad USING (r)
+"""
+
+
+ORACLE = _oracle()

@@ -92,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": ngram_join.ORACLE,
+    "op5_quality": quality.ORACLE,
     "op6_topk": topk.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
