@@ -17,7 +17,7 @@ Jaccard similarity of at least 3/4 differ in at most (|A| + |B|) / 7 shingles.
   components are searched in full, in square blocks of ``BLOCK`` nodes, but a search only
   puts forward a forest: pairs that would join two components, nearest first.  Where all
   of them hold, nothing else can matter.  Groups in which one fails are settled with the
-  sets themselves, in blocks of ``SETS`` nodes: only links that join two components leave
+  sets themselves, in blocks of ``SETS`` shingles: only links that join two components leave
   a block.  A group of near copies so costs about one link a member, whatever its size.
 * Checks first compare one-hot parity sketches: their Hamming distance is at most the
   symmetric difference, so a larger one rules the pair out.  The rest are verified with
@@ -39,7 +39,7 @@ K = 5
 FLUSH = 1 << 19
 NODES = 60_000
 BLOCK = 2048
-SETS = 256
+SETS = 1 << 19
 BUCKET = 1 << 20
 PRUNE_BITS = 24
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -403,13 +403,19 @@ def _groups(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return m.select(F.col("to").alias("gid"), "node").distinct()
 
 
-def _squares(members: DataFrame, nodes: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """gid, x, y: square blocks of the groups that hold more than one component, each side an array of nodes (y null: x with itself)."""
-    m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = m.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+def _squares(members: DataFrame, nodes: DataFrame, roots: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """gid, x, y: square blocks of the groups that hold more than one component, each side an array of nodes (y null: x with itself).
+
+    A side has about ``BLOCK`` nodes with their sketches or, with ``sets``, nodes of about
+    ``SETS`` shingles with the sets in the sketches' place.
+    """
+    m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "n"), "node")
+    parts = F.ceil(F.count(F.lit(1)) / BLOCK) if sets is None else F.ceil(F.sum("n") / SETS)
+    sizes = m.groupBy("gid").agg(parts.cast("int").alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    held = nodes.select("node", "sketch") if sets is None else sets.select("node", F.col("set").alias("sketch"))
     m = (
-        m.join(sizes.select("gid", F.ceil(F.col("size") / block).cast("int").alias("parts")), "gid")
-        .join(nodes.select("node", "n", "sketch"), "node")
+        m.join(sizes.select("gid", "parts"), "gid")
+        .join(held, "node")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("p", F.least("part", "other"))
@@ -465,8 +471,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = links.unionByName(more)
     roots = written(connected(links), "ngram-roots")
     again = written(members.join(failed, "gid", "left_semi"), "ngram-again")
-    exact = check.sets(again.select("node").distinct()).select("node", F.lit(0).cast("long").alias("n"), F.col("set").alias("sketch"))
-    links = links.unionByName(written(_squares(again, exact, roots, SETS).mapInArrow(_settle, "a binary, b binary"), "ngram-settled", 1))
+    exact = check.sets(again.select("node").distinct())
+    links = links.unionByName(written(_squares(again, nodes, roots, exact).mapInArrow(_settle, "a binary, b binary"), "ngram-settled", 1))
     roots = written(connected(links), "ngram-roots")
 
     found = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
