@@ -9,8 +9,8 @@ until labels agree.  Tokens whose marginal for one entity passes ``SURE`` add a
 unless they touch a base span.
 
 The weights are trained here, on tokens labelled by the base patterns, from a bounded
-sample of documents (``SAMPLE`` documents with candidates, the first in hash order,
-each of at most ``SAMPLE_TOKENS`` candidate tokens): unary weights by multinomial
+sample of documents (``SAMPLE`` different texts with candidates, from the low end of
+their hashes, each of at most ``SAMPLE_TOKENS`` candidate tokens): unary weights by multinomial
 logistic regression, chain and skip potentials by smoothed association of the labels at
 their ends (piecewise training).
 """
@@ -259,11 +259,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
                     out[2].append(np.array(links, np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["h", "x", "links"])
 
+    likely = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    # A hash threshold lets about SAMPLE rows pass whatever the size, so no task sends the driver more than its share.
+    share = 1.25 * SAMPLE / max(1, likely.count())
     rows = (
-        docs.filter(F.col(text_col).rlike("[0-9@]"))
-        .select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+        likely.filter(F.col("h").cast("double") / 2.0**64 + 0.5 < share)
         .mapInArrow(describe, "h long, x binary, links binary")
-        .orderBy("h", "x")
+        .groupBy("h")
+        .agg(F.first("x").alias("x"), F.first("links").alias("links"))
+        .orderBy("h")
         .limit(SAMPLE)
         .collect()
     )
