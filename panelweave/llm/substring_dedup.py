@@ -11,7 +11,9 @@ is the last level, where whole windows are compared by their full hashes.
 
 Each map task hands over arrays of hashes by bucket, not a row a window.  A hash that is
 met twice in one task is settled there and sent on once, so a passage that a third of
-all texts share, or a text with countless copies, adds one entry a task to a bucket.
+all texts share, or a text with countless copies, adds one entry a task to a bucket.  The
+sieves count a text that a task meets again twice, so they do not depend on how rows are
+dealt to tasks, which may change between the passes.
 """
 
 from __future__ import annotations
@@ -130,19 +132,21 @@ def _sieve(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_bucket
                 ["bucket", "hashes"],
             )
 
-        for column, _, _, _ in _first_copies(batches, seen):
-            for block in blocks(column):
-                alive, hashes, low, _ = _survivors(block, sizes, known, bits)
-                wanted = np.where(alive, low, np.uint64(0))
-                back = slide(wanted[::-1], sizes[-1] - sizes[len(known)] + 1, np.maximum)[::-1]
-                # A position is some living window's minimizer if it equals a minimum that lies over it.
-                values = hashes[(back == hashes) & (back > 0)]
-                if len(values):
-                    held.append(values)
-                    size += len(values)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
+        for column, _, again, batch in _first_copies(batches, seen):
+            # A text met again counts twice: the next pass over the texts may deal its copies to two tasks.
+            for part in (column, batch.column(1).take(pa.array(again, pa.int32()))):
+                for block in blocks(part):
+                    alive, hashes, low, _ = _survivors(block, sizes, known, bits)
+                    wanted = np.where(alive, low, np.uint64(0))
+                    back = slide(wanted[::-1], sizes[-1] - sizes[len(known)] + 1, np.maximum)[::-1]
+                    # A position is some living window's minimizer if it equals a minimum that lies over it.
+                    values = hashes[(back == hashes) & (back > 0)]
+                    if len(values):
+                        held.append(values)
+                        size += len(values)
+                    if size >= FLUSH:
+                        yield flush()
+                        held, size = [], 0
         out = flush()
         if out is not None:
             yield out

@@ -347,6 +347,19 @@ def test_substring_dedup(spark, docs, empty, length):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_sieve_does_not_depend_on_how_copies_are_dealt(spark):
+    passage = words(60)
+    rows = [(bytes([i]) * 16, t) for i, t in ((1, passage), (1, passage), (2, words(60)))]
+    one, apart = (spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "__key binary, __text string") for n in (1, 3))
+    sizes, sieves = substring_dedup.levels(35), []
+    for _ in sizes[:-1]:
+        sieves.append(substring_dedup._sieve(one, sizes, sieves, 16, 8))
+    for dealt in (one, apart):
+        runs = substring_dedup._repeats(dealt, sizes, sieves, 16, 8).collect()
+        starts = {(bytes(r["key"])[0], int(a) + i) for r in runs for a, n in np.frombuffer(r["runs"], np.uint32).reshape(-1, 2) for i in range(n)}
+        assert starts == {(1, i) for i in range(26)}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
     table = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
