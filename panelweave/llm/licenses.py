@@ -5,11 +5,14 @@ in lower case.  Fingerprints are hashes of ``K`` words, winnowed over ``W`` posi
 any common run of ``K + W - 1`` words has a common fingerprint.  The inverted index of
 the templates is a few hundred entries and goes to every task.  A document's hits vote
 for (template, diagonal); each candidate is aligned word by word inside a band around
-its diagonal, and what matches is reported with its coverage and character span.
+its diagonal, and what matches is reported with its coverage and character span.  A band
+is searched until no match is left in it, so notices that stand side by side are each found.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -89,10 +92,12 @@ def index(templates: dict[str, str]):
     return np.array(prints, np.uint64)[order], np.array(owner)[order], np.array(place)[order], words
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND):
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND, free: np.ndarray | None = None, least: int = 1):
     """(matched template words, first word, last word) of the best local alignment within the band.
 
     Match +2, substitution and gap -1; row by row of the template, words i + diagonal +- band.
+    Only words flagged in ``free`` are aligned, so no alignment lies over another word, and
+    only alignments that match ``least`` template words count; (0, -1, -1) where there is none.
     """
     width = 2 * band + 1
     score = np.zeros(width, np.int64)
@@ -102,6 +107,8 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     for i in range(len(template)):
         at = i + diagonal - band + np.arange(width)
         inside = (at >= 0) & (at < len(words))
+        if free is not None:
+            inside[inside] = free[at[inside]]
         same = np.zeros(width, bool)
         same[inside] = words[at[inside]] == template[i]
         new, got, start = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1)
@@ -116,7 +123,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
             if j and new[j - 1] > 1:  # a word is inserted
                 options.append((new[j - 1] - 1, got[j - 1], start[j - 1]))
             new[j], got[j], start[j] = max(options, key=lambda o: (o[0], o[1]))
-            if same[j] and new[j] > best[0]:
+            if same[j] and new[j] > best[0] and got[j] >= least:
                 best = (int(new[j]), int(got[j]), int(start[j]), int(at[j]))
         score, matched, first = new, got, start
     return best[1:]
@@ -130,8 +137,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     Spans are code points of the whole text, end exclusive.  Of matches that overlap, the
     one with more matched words stays (then the higher coverage, then the template listed
-    first).  Null and empty texts match nothing; repeated rows are scanned each; a null id
-    stays null.
+    first); the words left are searched again, so a template may match many times.  Null
+    and empty texts match nothing; repeated rows are scanned each; a null id stays null.
     """
     templates = TEMPLATES if templates is None else templates
     prints, owner, place, words = index(templates)
@@ -151,16 +158,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             lo, hi = np.searchsorted(prints, hashes[p], side="left"), np.searchsorted(prints, hashes[p], side="right")
             for e in range(lo, hi):
                 votes[int(owner[e]), int(p - place[e]) // BAND] += 1
-        found = []
+        free = np.ones(len(own), bool)
+        found: list[tuple] = []
+
+        def look(t, d):
+            matched, first, last = align(words[t], own, d * BAND + BAND // 2, BAND + BAND // 2, free, math.ceil(least * len(words[t])))
+            if matched:
+                heapq.heappush(found, (-matched, -matched / len(words[t]), t, first, last, d))
+
         for t, d in sorted(votes):
-            matched, first, last = align(words[t], own, d * BAND + BAND // 2, BAND + BAND // 2)
-            if matched >= least * len(words[t]):
-                found.append((-matched, -matched / len(words[t]), t, first, last))
-        taken: list[tuple[int, int]] = []
-        for m, c, t, first, last in sorted(set(found)):
-            if all(last < x or first > y for x, y in taken):
-                taken.append((first, last))
+            look(t, d)
+        # A band may hold several matches: after each that is taken, the bands over it are aligned again without its words.
+        while found:
+            m, c, t, first, last, d = heapq.heappop(found)
+            if free[first : last + 1].all():
+                free[first : last + 1] = False
                 yield names[t], -m, -c, int(block.starts[a + first]), int(block.ends[a + last])
+            look(t, d)
 
     def run(batches):
         for batch in batches:

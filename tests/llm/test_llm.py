@@ -183,6 +183,39 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def brute_licenses(text):
+    """Best alignments over all words, each without the words of those before."""
+    find = lambda x: [(m[0].lower(), *m.span()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", x)]
+    own = find(text)
+    codes = {w: i for i, w in enumerate(sorted({w for x in [*licenses.TEMPLATES.values(), text] for w, _, _ in find(x)}))}
+    ids = np.array([codes[w] for w, _, _ in own])
+    free, out = np.ones(len(own), bool), []
+    while True:
+        best = []
+        for k, (name, template) in enumerate(licenses.TEMPLATES.items()):
+            t = np.array([codes[w] for w, _, _ in find(template)])
+            m, first, last = licenses.align(t, ids, 0, len(ids) + len(t), free, -(-len(t) * 4 // 5))
+            if m:
+                best.append((-m, -m / len(t), k, first, last, name))
+        if not best:
+            return sorted(out)
+        m, _, _, first, last, name = min(best)
+        free[first : last + 1] = False
+        out.append((name, -m, own[first][1], own[last][2]))
+
+
+def test_licenses_side_by_side(spark):
+    mit, apache = (licenses.TEMPLATES[f"{x}-statement"] for x in ("MIT", "Apache-2.0"))
+    isc = licenses.TEMPLATES["ISC"]
+    texts = [f"{mit} {mit}", " ".join([mit] * 9), "\n".join([mit, apache] * 4), f"{mit} and {mit} so {apache} {mit}", f"{isc} {isc.replace('copy, ', '')} {mit} {mit} {isc}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in licenses.scan_licenses(rows).collect():
+        got[r["doc_id"]].append((r["template"], r["matched_words"], r["span_start"], r["span_end"]))
+    assert [len(got[i]) for i in range(5)] == [2, 9, 8, 4, 5]
+    assert [sorted(got[i]) for i in range(5)] == [brute_licenses(t) for t in texts]
+
+
 def brute_quality(t):
     w = WORD.findall(t)
     g = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
