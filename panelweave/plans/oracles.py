@@ -424,6 +424,12 @@ ORACLE_SQL: dict[str, str] = {
     "preprocess_scores": with_(
         "sco", "SELECT " + r("date symbol factor_name winsorized_value* score* score_size_neutral* point_in_time_status preprocessing_reason") + " FROM sco WHERE factor_name <> 'amihud_20'"
     ),
+    "preprocess_scores_amihud": with_(
+        "sco",
+        "SELECT "
+        + r("date symbol factor_name score* score_size_neutral* point_in_time_status preprocessing_reason")
+        + ", round(winsorized_value * 1e9::DOUBLE, 6) AS winsorized_value_e9 FROM sco WHERE factor_name = 'amihud_20'",
+    ),
     "winsorized_scores": with_("sco", "SELECT date, symbol, factor_name, round(score, 6) AS score, reason AS preprocessing_reason FROM p4"),
     "signal_liquidity": with_("liq", "SELECT " + r("date symbol amount_mean*") + " FROM liq"),
     "liquidity_proxy_rows": with_("pan", "SELECT date, symbol, round(-raw_value, 12) AS liquidity FROM pan WHERE factor_name = 'amihud_20'"),

@@ -105,6 +105,14 @@ def preprocess_scores(r):
     )
 
 
+@query()
+def preprocess_scores_amihud(r):
+    """The factor that ``preprocess_scores`` leaves out; its tiny values are scaled so that six digits tell them apart."""
+    return r.scored.filter("factor_name = 'amihud_20'").select(
+        "date", "symbol", "factor_name", (F.col("winsorized_value") * 1e9).alias("winsorized_value_e9"), "score", "score_size_neutral", "point_in_time_status", "preprocessing_reason"
+    )
+
+
 @query()
 def winsorized_scores(r):
     return preprocess.score(r.panel).select("date", "symbol", "factor_name", "score", "preprocessing_reason")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from panelweave.operators.factors import FACTORS
 from panelweave.plans.oracles import ORACLE_SQL
 from panelweave.plans.queries import QUERIES
 
@@ -43,6 +44,14 @@ def test_query_equals_sql(spark, name):
     assert want.shape[0] > 0
 
 
+def test_every_factor_is_preprocessed(spark):
+    test_query_equals_sql(spark, "preprocess_scores_amihud")
+    got = QUERIES["preprocess_scores_amihud"](spark, SF)
+    others = QUERIES["preprocess_scores"](spark, SF)
+    assert got.filter("abs(winsorized_value_e9) > 0.001").count() > 0
+    assert {r[0] for r in got.unionByName(others, allowMissingColumns=True).select("factor_name").distinct().collect()} == {f.name for f in FACTORS}
+
+
 def test_every_query_but_the_listed_ones_has_sql():
     assert set(QUERIES) - set(ORACLE_SQL) == {
         "factor_p_values", "buffered_portfolio", "path_summary", "fama_macbeth_monthly", "fama_macbeth_summary", "block_bootstrap", "robustness_verdicts",
