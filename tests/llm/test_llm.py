@@ -236,6 +236,26 @@ def test_quality(spark, docs, empty):
     assert quality.quality_counts(empty).count() == 0
 
 
+def test_each_fence_rejects_what_the_base_rules_pass(spark):
+    nth = lambda i: "".join("bcdfghjklm"[int(x)] for x in f"{i:05d}")
+    fresh = iter(nth(i) for i in range(10**5))
+    some = lambda n: " ".join(next(fresh) for _ in range(n))
+    clean = [some(100) for _ in range(200)]
+    five, line = some(5), some(4)
+    clean += [f"{five} {some(90)} {five}", "\n".join([line, some(4), some(4), line, some(4)])]
+    nine, lines = some(9), [some(4) for _ in range(13)]
+    planted = [
+        some(99) + " " + "#" * 25,
+        "\n".join(lines + lines[::-2]),
+        f"{nine} {some(82)} {nine}",
+        " ".join(next(fresh) * 2 for _ in range(100)),
+    ]
+    rows = [(i, t, "en", "a") for i, t in enumerate(clean + planted)]
+    got = quality.quality_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(len(clean), len(rows)))
+
+
 def test_quality_does_not_depend_on_partitions(spark, docs):
     a, b = (quality.quality_counts(d).select("doc_id", "kept") for d in (docs, docs.repartition(13)))
     assert not a.exceptAll(b).head(1) and not b.exceptAll(a).head(1)
