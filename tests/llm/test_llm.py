@@ -135,9 +135,10 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
+def brute_components(rows, links=False):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
+    linked = [0] * len(rows)
 
     def find(x):
         while parent[x] != x:
@@ -149,17 +150,84 @@ def brute_components(rows):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
+                linked[i] += 1
+                linked[j] += 1
     least = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)].append(d)
-    return sorted(((d is None, d or 0), len(sets[i]), min(least[find(i)], default=-1)) for i, (d, _) in enumerate(rows))
+    return sorted(((d is None, d or 0), len(sets[i]), min(least[find(i)], default=-1), *[linked[i]] * links) for i, (d, _) in enumerate(rows))
+
+
+def components(df):
+    return sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(df).collect())
 
 
 def test_ngram_join(spark, docs, empty):
-    got = ngram_join.jaccard_components(docs).collect()
-    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in got) == brute_components(plain(docs))
-    assert ngram_join.jaccard_components(empty).count() == 0
+    assert components(docs) == brute_components(plain(docs), links=True)
+    assert components(empty) == []
+
+
+@pytest.mark.parametrize("hot, block", [(1, 16), (30, 2048)])
+def test_ngram_join_with_hot_shingles(spark, monkeypatch, hot, block):
+    """Shared passages, chains of near copies and copies of all lengths, whatever counts as hot and however blocks are cut."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(hot)
+    word = lambda: f"w{rng.randrange(5000)}"
+    shared = [[word() for _ in range(n)] for n in (15, 40, 70)]
+    made = []
+    for _ in range(60):
+        made.append([word() for _ in range(rng.randint(3, 60))] + rng.choice(shared) + [word() for _ in range(rng.randint(0, 30))])
+        made.append(rng.choice(shared) + [word() for _ in range(rng.randint(0, 14))] + rng.choice(shared))
+    for _ in range(12):
+        now = list(rng.choice(made))
+        for _ in range(12):
+            now = list(now)
+            for _ in range(rng.randint(1, 3)):
+                now[rng.randrange(len(now))] = word()
+            made.append(now)
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    rows += [(1000 + i, rows[5][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert components(df) == brute_components(rows, links=True)
+
+
+def test_pages_of_one_template_are_not_compared(spark):
+    """Unlinked pages that share most of their words meet in no list, so work grows with their number."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    sizes = []
+    for n in (500, 2000):
+        pages = [template + [f"o{rng.randrange(10**6)}" for _ in range(rng.randint(70, 80))] for _ in range(n)]
+        sets = [s for b in blocks(pa.array([" ".join(p) for p in pages]), lower=True) for s in ngram_join.shingle_sets(b)]
+        df = spark.createDataFrame([(" ".join(p),) for p in pages], "text string")
+        table = ngram_join.rarity(df, 4)
+        held = collections.Counter()
+        for s in sets:
+            for c in np.unique(ngram_join.codes(s, table)):
+                held[int(c) | 1, int(c) & 1] += 1
+        sizes.append(sum(h * (h - 1) // 2 + h * held[c, 1] for (c, light), h in held.items() if not light))
+    assert sizes[1] <= 4 * sizes[0] + 2000
+
+
+def test_intersections_by_products_and_by_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 400, rng.integers(1, 90)).astype(np.uint64)) for _ in range(n)] for n in (30, 21))
+    want = np.array([[len(np.intersect1d(a, b)) for b in right] for a in left])
+    for dense, chunk in ((0, 7), (20, 64), (10**9, 64)):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        assert (ngram_join.common_counts(left, right) == want).all()
+
+
+def test_one_of_each_with_odd_ids(spark):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    near = [b.replace(f"{c}9 ", "x ") for b, c in zip(base, "abc", strict=True)]
+    rows = [(None, base[0]), (None, near[0]), (3, base[1]), (None, near[1]), (4, base[2]), (4, near[1]), (4, base[2]), (None, None), (9, ""), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(df).collect()]
+    assert len(got) == 5 and {(3, base[1]), (4, base[2]), (None, None), (9, "")} < set(got) and (None in [d for d, t in got if t in (base[0], near[0])])
 
 
 def test_sketch_bounds_difference():
