@@ -2,9 +2,11 @@
 
 Each document gets a hash-random key.  Keys are cut into ranges of equal width, so a
 source of any size is spread over as many (source, range) groups as its rows need.
-Inside a group a window sums token counts in key order; the totals of the ranges before
-are added.  A source's integer budget is then cut at exactly that many words: whole
-epochs first, then the documents in key order, the last of them in part.
+Prefix sums of the ranges' token counts tell in which range a source's integer budget
+ends, after whole epochs: documents of the ranges before it are taken once more, those
+after it are not.  Only the rows of that one range, some two thousand a source, are sorted
+by key and summed up to find the key at which the budget is cut, the last document in
+part.  The documents themselves, with their texts, are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, bucket_count, neutral, written
 
+#: Sources up to which their table (some 100 bytes a row) is broadcast; above, the joins shuffle.
+BROADCAST_SOURCES = 50_000
+
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, limit: int) -> DataFrame:
     """Water level over the table of sources: one row a source, ``__words`` its size.
@@ -57,8 +62,8 @@ def mix_sources(
 
     Null text counts 0 words; a null source is a source of its own, after all others.
     Empty input gives an empty result; a source without words has target 0.  Rows equal
-    in id and text share a key and stand next to each other in any order: they are
-    interchangeable.  Further columns of any name pass through, except those with the
+    in id and text share a key: they are interchangeable, and if the budget ends among
+    them some are taken once more and others not.  Further columns of any name pass through, except those with the
     name of a result.
     """
     names = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken")]
@@ -69,44 +74,64 @@ def mix_sources(
     )
     buckets = bucket_count(docs.count())
     high = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     keyed = (
         docs.withColumn("__key", key)
-        .withColumn("__size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("__source", F.col(source_col))
         .withColumn("__bucket", F.shiftright(high * F.lit(buckets), 32).cast("int"))
     )
-    sums = written(
-        keyed.select("__source", "__bucket", "__size").groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words")),
-        "mix-sums",
-    )
+    sums = written(keyed.select("__source", "__bucket", size.alias("__size")).groupBy("__source", "__bucket").agg(F.sum("__size").alias("__words")), "mix-sums")
     targets = _targets(sums.groupBy("__source").agg(F.sum("__words").alias("__words")), weights, share, limit)
-    earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0))).drop("__words")
-    ranges = ranges.alias("r").join(
-        targets.alias("t"), F.col("r.__source").eqNullSafe(F.col("t.__source"))
-    ).select("r.__source", "r.__bucket", "__before", "__words", "__target")
-    inside = (
-        Window.partitionBy("__source", "__bucket").orderBy("__key", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    targets = targets.withColumn("__budget", F.floor("__target").cast("long")).withColumn(
+        "__epochs", F.when(F.col("__words") > 0, F.expr("__budget div __words")).otherwise(F.lit(0)).cast("long")
     )
-    keyed = keyed.withColumn("__sum", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    joined = keyed.alias("k").join(
-        ranges.alias("r"),
-        F.col("k.__source").eqNullSafe(F.col("r.__source")) & (F.col("k.__bucket") == F.col("r.__bucket")),
+    targets = written(targets.withColumn("__rest", F.col("__budget") - F.col("__epochs") * F.col("__words")).drop("__budget"), "mix-targets")
+    few = targets.count() <= BROADCAST_SOURCES
+    with_source = lambda rows, by: rows.join(
+        F.broadcast(by.withColumnRenamed("__source", "__of")) if few else by.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))
+    ).drop("__of")
+    cuts = written(_cuts(sums, targets, keyed, size, with_source), "mix-cuts")
+    ends = targets.alias("t").join(cuts.alias("c"), F.col("t.__source").eqNullSafe(F.col("c.__source")), "left")
+    ends = ends.select("t.__source", "__words", "__target", "__epochs", "__cut", "__whole", "__part")
+    joined = with_source(keyed, ends)
+    at_cut = F.coalesce(F.col("__key") == F.col("__cut"), F.lit(False))
+    before = F.coalesce(F.col("__key") < F.col("__cut"), F.lit(False))
+    order = F.row_number().over(Window.partitionBy("__source", "__key").orderBy("__key"))
+    rows = joined.filter(~at_cut).withColumn("__extra", before.cast("long")).withColumn("__words_extra", F.lit(0).cast("long"))
+    tied = joined.filter(at_cut).withColumn("__n", order)
+    tied = tied.withColumn("__extra", (F.col("__n") <= F.col("__whole")).cast("long")).withColumn(
+        "__words_extra", F.when(F.col("__n") == F.col("__whole") + 1, F.col("__part")).otherwise(F.lit(0)).cast("long")
     )
-    budget = F.floor("__target")
-    epochs: Column = F.when(F.col("__words") > 0, F.floor(budget / F.col("__words"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - F.col("__epochs") * F.col("__words") - F.col("__before") - F.col("__sum")
-    return joined.withColumn("__epochs", epochs).select(
-        *[F.col(f"k.{named[c]}").alias(c) for c in names],
+    sized = rows.unionByName(tied.drop("__n")).withColumn("__size", size)
+    return sized.select(
+        *[F.col(named[c]).alias(c) for c in names],
         F.col("__size").alias("mix_size"),
         F.col("__words").alias("mix_source_size"),
         F.col("__target").alias("mix_target"),
-        (F.col("__epochs") * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), rest)))
-        .cast("long")
-        .alias("mix_taken"),
+        ((F.col("__epochs") + F.col("__extra")) * F.col("__size") + F.col("__words_extra")).alias("mix_taken"),
     )
 
 
+def _cuts(sums: DataFrame, targets: DataFrame, keyed: DataFrame, size: Column, with_source) -> DataFrame:
+    """source, cut, whole, part: the key at which the last epoch of a source ends.
+
+    Of the rows with that key ``whole`` are taken in full and one for ``part`` words.  Only
+    the rows of one key range a source are put in order.
+    """
+    earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0)))
+    inside = (F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("r.__words"))
+    hit = ranges.alias("r").join(targets.alias("t"), F.col("r.__source").eqNullSafe(F.col("t.__source"))).filter(inside & (F.col("__rest") > 0))
+    hit = hit.select("r.__source", F.col("__bucket").alias("__at"), (F.col("__rest") - F.col("__before")).alias("__left"))
+    rows = with_source(keyed, hit).filter("__bucket = __at").withColumn("__size", size).filter("__size > 0")
+    groups = rows.groupBy("__source", "__key", "__size", "__left").agg(F.count(F.lit(1)).alias("__n"))
+    by_key = Window.partitionBy("__source").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("__sum", F.coalesce(F.sum(F.col("__size") * F.col("__n")).over(by_key), F.lit(0)))
+    ends = groups.filter((F.col("__sum") <= F.col("__left")) & (F.col("__left") < F.col("__sum") + F.col("__size") * F.col("__n")))
+    over = F.col("__left") - F.col("__sum")
+    return ends.select("__source", F.col("__key").alias("__cut"), F.expr("(__left - __sum) div __size").alias("__whole"), (over % F.col("__size")).alias("__part"))
+
+
 def repeat_taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each whole copy that the mix takes; a part of a document of half or more counts as a copy."""
     copies = F.floor((F.col("mix_taken") * 2 + F.col("mix_size")) / (F.col("mix_size") * 2)).cast("int")

@@ -381,6 +381,18 @@ def test_mixing(spark, docs, empty):
     assert {(r["doc_id"], r["mix_taken"]) for r in got} == again
 
 
+def test_mixing_cut_among_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 7 + [(2, "d e", "t")] * 5 + [(3, None, "u"), (4, "x " * 50, None)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        size[r["source"]] += r["mix_size"]
+        taken[r["source"]] += r["mix_taken"]
+        target[r["source"]] = r["mix_target"]
+        assert 0 <= r["mix_taken"] <= 2 * r["mix_size"]
+    assert len(got) == len(rows) and all(taken[s] == int(target[s]) for s in size)
+
+
 def test_warc(spark):
     tough = "<p>\r\n\r\n" * 40 + "WARC/1.1\r\nContent-Length: 3\r\n\r\n" + "é\r" * 60
     rows = [(1, "http://a/ b\n", tough), (2, None, tough), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", tough), (7, "u", "z" * 5000), (0, "u", "y" * 100 + "\r\n"), (8, "u", "y" * 100 + "\r\n"), (7, "u", "z" * 5000)]
