@@ -336,24 +336,38 @@ def test_counts_over_block_borders():
         assert [(a, b, c, e, f) for a, b, c, _, e, f in got.tolist()] == [brute_quality(x) for x in t]
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(130)]
-    rows += [(200, None), (201, [0.1, None, 0.2, 0.1, 0.1, 0.1]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (None, [0.1] * 6), (250, rows[3][1]), (251, [0.5, 0.25]), (252, [0.1, 0.2])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    v = topk.integer_vectors(df)
-    kept = {r["vec_id"]: np.array(r["v"]) for r in v.collect()}
-    assert set(kept) == {*range(130), 250, 251, 252}
-    for bits in (2, 6):
-        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 5, bits).collect()}
-        want = {}
-        for q in (0, 50, 100, 250):
-            scores = sorted((-int(kept[q] @ x), i) for i, x in kept.items() if i != q and len(x) == len(kept[q]))[:5]
-            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scores)}
-        assert got == want
+    rows += [(200, None), (201, [0.1, None, 0.2, 0.1, 0.1, 0.1]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, []), (251, [0.5, 0.25]), (252, [0.1, 0.2])]
+    rows += [(250, rows[3][1]), (250, rows[4][1]), (100, rows[5][1]), (None, [0.9] * 6), (7, [0.9] * 6), (300, [-0.5] * 6)]
+    rows += [(1000 + i, [0.7] * 6) for i in range(40)]  # many copies of one vector, four of them queries or more
+    df = spark.createDataFrame([(i, v, "clash", 1, 2) for i, v in rows], "vec_id long, embedding array<float>, v string, g int, row int").repartition(3)
+    kept = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = collections.Counter()
+    for n, (i, q) in enumerate(kept):
+        if i is not None and i % 50 == 0:
+            scores = sorted((-int(q @ x), j is None, j or 0) for m, (j, x) in enumerate(kept) if m != n and len(x) == len(q))[:5]
+            want.update((i, rank + 1, None if none else j, -s) for rank, (s, none, j) in enumerate(scores))
+    for bits, volume in ((2, 1 << 24), (6, 200)):
+        monkeypatch.setattr(topk, "QUERY_BYTES", volume)
+        got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5, bits).collect()
+        assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert topk.top_k(topk.integer_vectors(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_scan_keeps_what_may_be_best():
+    rng = np.random.default_rng(8)
+    q, codes = rng.integers(-40, 40, (9, 5)).astype(float), rng.integers(0, 64, (700, 5)).astype(float)
+    best = topk._Best(np.arange(9), q, 4)
+    for i in range(0, 700, 90):
+        best.see(np.arange(700)[i : i + 90], -100 + 7 * codes[i : i + 90], 7)
+    exact = q @ (-100 + 7 * codes + rng.integers(0, 7, codes.shape)).T
+    a, g, _ = best.left()
+    for i in range(9):
+        assert set(np.argsort(-exact[i], kind="stable")[:4]) <= set(g[a == i]) and (a == i).sum() < 300
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count()
