@@ -462,6 +462,73 @@ def test_pii(spark, docs, empty):
     assert pii.with_spans(empty, ["doc_id"]).count() == 0
 
 
+NAMED = [
+    "mail jo{i}.x{i}@mail{i}.example.com now",
+    "call +1 (5{i:02}) 555-10{i:02} or not",
+    "host 10.{i}.7.{i} is up",
+    "card {c} paid",
+    "the {i} of them in 19{i:02} for 3.{i}",
+]
+
+
+def personal(i):
+    card = f"4{i:03}{i * 37:06}{i * 11:05}"
+    card += next(str(d) for d in range(10) if pii._luhn(card + str(d)))
+    return " ".join(x.format(i=i, c=card) for x in NAMED)
+
+
+@pytest.fixture(scope="module")
+def field():
+    graphs = [(g.x, g.y, g.chain, g.skip) for i in range(10, 60) for g in pii._graphs(i, personal(i))]
+    return pii.learn(graphs)
+
+
+def added(text, model):
+    _, more = pii.find([text], model)
+    return [(pii.KINDS[k], text[a:b]) for k, a, b in more[0]]
+
+
+def test_field_finds_what_the_base_patterns_miss(field):
+    hit = total = 0
+    for i in range(60, 99):
+        text = personal(i)
+        other, moved = pii.broken(text, pii.base_spans(text), random.Random(i))
+        base, more = pii.find([other], field)
+        for k, a, b in moved:
+            total += 1
+            hit += any(kind == k and s < b and e > a for kind, s, e in [*base[0], *more[0]])
+    assert total == 4 * 39 and hit >= 0.9 * total
+    ordinary = pii.ordinary(random.Random(77))
+    assert len(added(ordinary, field)) <= 4
+
+
+def test_a_skip_link_alone_adds_a_span(field):
+    assert added("ring 5235551055 now", field) == []
+    linked = "ring +1 (523) 555-1055 at noon, or else " + "word " * 500 + "5235551055 now"
+    assert added(linked, field) == [("phone", "5235551055")]
+    cut = {**field, "skip": np.zeros_like(field["skip"])}
+    assert added(linked, cut) == []
+    many = "ring +1 (523) 555-1055 " + "word 5235551055 word " * 60
+    assert added(many, field) == [("phone", "5235551055")] * 60
+
+
+def test_propagation_with_a_cycle_is_near_the_exact_marginals():
+    rng = np.random.default_rng(1)
+    n, k = 4, len(pii.LABELS)
+    unary = np.log(rng.dirichlet(np.ones(k), n))
+    chain, skip = rng.normal(0, 0.4, (k, k)), rng.normal(0, 0.4, (k, k))
+    skip = (skip + skip.T) / 2
+    links = [([(0, 1), (1, 2), (2, 3)], chain), ([(0, 3), (0, 2)], skip)]
+    full = np.zeros((k,) * n)
+    for at in np.ndindex(*full.shape):
+        full[at] = np.exp(sum(unary[i, at[i]] for i in range(n)) + sum(p[at[a], at[b]] for ends, p in links for a, b in ends))
+    full /= full.sum()
+    p = pii.marginals(unary, links)
+    for i in range(n):
+        exact = full.sum(axis=tuple(j for j in range(n) if j != i))
+        assert np.abs(p[i] - exact).max() < 0.05 and p[i].argmax() == exact.argmax()
+
+
 def test_skip_links_spread_labels():
     n = len(pii.LABELS)
     agree = np.where(np.eye(n) > 0, 2.0, -2.0)
