@@ -29,8 +29,27 @@ W = 3
 BAND = 8
 LEAST_COVERAGE = 0.8
 
-# Public license statements and the notices their authors ask to be used.
+# Public license statements, the notices their authors ask to be used, and short licenses in full.
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT '
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_GNU_END = (
+    "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+    "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+)
 TEMPLATES: dict[str, str] = {
+    "All-rights-reserved": "All rights reserved.",
     "MIT-statement": "Released under the MIT License.",
     "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
@@ -44,23 +63,65 @@ TEMPLATES: dict[str, str] = {
     'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
     "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
     "permissions and limitations under the License.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+    "version. This program " + _GNU_END + "General Public License for more details. You should have received a copy of the GNU General "
+    "Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, "
+    "Boston, MA 02110-1301 USA.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
-    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "version. This program " + _GNU_END + "General Public License for more details. You should have received a copy of the GNU General "
+    "Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any "
+    "later version. This library " + _GNU_END + "Lesser General Public License for more details. You should have received a copy of the "
+    "GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin "
+    "Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+    "later version. This program " + _GNU_END + "Affero General Public License for more details. You should have received a copy of the "
+    "GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to '
     "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
     "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
     'shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF '
     "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
-    "AND NONINFRINGEMENT.",
+    "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
-    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
-    "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    'provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE '
+    "AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO "
+    "EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING "
+    "FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": _BSD_START + _BSD_END,
+    "BSD-3-Clause": _BSD_START + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission. " + _BSD_END,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+    "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+    "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The "
+    "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+    "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+    "versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be "
+    "removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit '
+    "the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+    "so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license "
+    "grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+    "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code "
+    'generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+    "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO "
+    "EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+    "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+    "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate "
+    "any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at "
+    "large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+    "perpetuity of all present and future rights to this software under copyright law.",
 }
 
 _WORD_BYTES = np.zeros(256, bool)
@@ -92,41 +153,64 @@ def index(templates: dict[str, str]):
     return np.array(prints, np.uint64)[order], np.array(owner)[order], np.array(place)[order], words
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND, free: np.ndarray | None = None, least: int = 1):
-    """(matched template words, first word, last word) of the best local alignment within the band.
+def align(template: np.ndarray, words: np.ndarray, diagonals: np.ndarray, band: int = BAND, free: np.ndarray | None = None, least: int = 1):
+    """For each diagonal (matched template words, first word, last word) of the best local alignment within its band, as three arrays.
 
-    Match +2, substitution and gap -1; row by row of the template, words i + diagonal +- band.
-    Only words flagged in ``free`` are aligned, so no alignment lies over another word, and
-    only alignments that match ``least`` template words count; (0, -1, -1) where there is none.
+    Match +2, substitution and gap -1; row by row of the template, words i + diagonal +- band,
+    all diagonals at once.  Only words flagged in ``free`` are aligned, so no alignment lies
+    over another word, and only alignments that match ``least`` template words count;
+    (0, -1, -1) where there is none.  Of equal scores more matches win, then a later start.
+    A cell is one number: score, matches and start in 14, 13 and 34 bits.
     """
+    diagonals = np.atleast_1d(np.asarray(diagonals, np.int64))
     width = 2 * band + 1
-    score = np.zeros(width, np.int64)
-    matched = np.zeros(width, np.int64)
-    first = np.full(width, -1)
-    best = (0, 0, -1, -1)
+    reach = np.arange(width) - band
+    point, match, starts = np.int64(1) << 47, np.int64(1) << 34, (np.int64(1) << 34) - 1
+    cells = np.zeros((len(diagonals), width), np.int64)
+    best = np.zeros((3, len(diagonals)), np.int64)
+    best[1:] = -1
+    top = np.zeros(len(diagonals), np.int64)
+    every = np.arange(len(diagonals))
+    free = np.ones(len(words), bool) if free is None else free
     for i in range(len(template)):
-        at = i + diagonal - band + np.arange(width)
+        at = diagonals[:, None] + (i + reach)
         inside = (at >= 0) & (at < len(words))
-        if free is not None:
-            inside[inside] = free[at[inside]]
-        same = np.zeros(width, bool)
-        same[inside] = words[at[inside]] == template[i]
-        new, got, start = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1)
-        for j in np.flatnonzero(inside):
-            options = [(0, 0, -1)]
-            if same[j]:
-                options.append((score[j] + 2, matched[j] + 1, first[j] if score[j] > 0 else at[j]))
-            elif score[j] > 1:
-                options.append((score[j] - 1, matched[j], first[j]))
-            if j + 1 < width and score[j + 1] > 1:  # a template word is missing
-                options.append((score[j + 1] - 1, matched[j + 1], first[j + 1]))
-            if j and new[j - 1] > 1:  # a word is inserted
-                options.append((new[j - 1] - 1, got[j - 1], start[j - 1]))
-            new[j], got[j], start[j] = max(options, key=lambda o: (o[0], o[1]))
-            if same[j] and new[j] > best[0] and got[j] >= least:
-                best = (int(new[j]), int(got[j]), int(start[j]), int(at[j]))
-        score, matched, first = new, got, start
-    return best[1:]
+        near = np.clip(at, 0, max(len(words) - 1, 0))
+        inside &= free[near]
+        same = inside & (words[near] == template[i])
+        lost = np.where(cells >= 2 * point, cells - point, 0)
+        new = np.where(same, np.where(cells >= point, cells, at) + 2 * point + match, lost)
+        new[:, :-1] = np.maximum(new[:, :-1], lost[:, 1:])  # a template word is missing
+        new = np.where(inside, new, 0)
+        if new.any():
+            step = 1
+            whole = inside[:, 1:] & inside[:, :-1]  # cells step apart with all between them inside
+            while step < width and whole.any():  # words are inserted
+                moved = np.where(whole & (new[:, :-step] >= (step + 1) * point), new[:, :-step] - step * point, 0)
+                new[:, step:] = np.maximum(new[:, step:], moved)
+                if 2 * step >= width:
+                    break
+                whole = whole[:, step:] & whole[:, :-step]
+                step *= 2
+            counts = np.where(same & ((new >> 34) % 8192 >= least), new >> 47, 0)
+            j = counts.argmax(axis=1)
+            better = np.flatnonzero(counts[every, j] > top)
+            if len(better):
+                cell = new[better, j[better]]
+                top[better] = cell >> 47
+                best[:, better] = (cell >> 34) % 8192, cell & starts, at[better, j[better]]
+        cells = new
+    return best
+
+
+def votes_needed(template: np.ndarray, least: float) -> int:
+    """Fingerprints of a template that a text must share near one diagonal to be aligned.
+
+    A share ``1 - least`` of other words spoils ``K`` times that share of the word runs at
+    most; half of the fingerprints of the runs that are left are asked for.
+    """
+    prints = len(template) * 2 // (W + 1)
+    return max(1, int(prints * (1 - K * (1 - least)) / 2))
 
 
 COLUMNS = "doc_id long, template string, matched_words long, coverage double, span_start long, span_end long"
@@ -143,6 +227,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     templates = TEMPLATES if templates is None else templates
     prints, owner, place, words = index(templates)
     names = list(templates)
+    needed = [votes_needed(w, least) for w in words]
 
     def scan_one(block, i: int):
         a, b = int(block.bounds[i]), int(block.bounds[i + 1])
@@ -161,20 +246,27 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         free = np.ones(len(own), bool)
         found: list[tuple] = []
 
-        def look(t, d):
-            matched, first, last = align(words[t], own, d * BAND + BAND // 2, BAND + BAND // 2, free, math.ceil(least * len(words[t])))
-            if matched:
-                heapq.heappush(found, (-matched, -matched / len(words[t]), t, first, last, d))
+        def look(t, buckets):
+            for low in range(0, len(buckets), 1024):
+                part = buckets[low : low + 1024]
+                best = align(words[t], own, np.array(part) * BAND + BAND // 2, BAND + BAND // 2, free, math.ceil(least * len(words[t])))
+                for d, matched, first, last in zip(part, *best.tolist(), strict=True):
+                    if matched:
+                        heapq.heappush(found, (-matched, -matched / len(words[t]), t, first, last, d))
 
+        near: dict = defaultdict(list)
         for t, d in sorted(votes):
-            look(t, d)
+            if sum(votes.get((t, d + k), 0) for k in (-1, 0, 1)) >= needed[t]:
+                near[t].append(d)
+        for t, buckets in near.items():
+            look(t, buckets)
         # A band may hold several matches: after each that is taken, the bands over it are aligned again without its words.
         while found:
             m, c, t, first, last, d = heapq.heappop(found)
             if free[first : last + 1].all():
                 free[first : last + 1] = False
                 yield names[t], -m, -c, int(block.starts[a + first]), int(block.ends[a + last])
-            look(t, d)
+            look(t, [d])
 
     def run(batches):
         for batch in batches:
