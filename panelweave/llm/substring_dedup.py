@@ -5,9 +5,9 @@ double in length (9, 18, 35 for 35 words).  At each level but the last, a text w
 stands for itself by its minimizer, the smallest hash among its sub-windows of the
 level's length; two equal windows have the same minimizer, so only minimizers have to be
 counted, about one position in fourteen at the first level.  Those that occur twice set
-bits in a sieve of fixed size (``SIEVE_BITS``, broadcast); windows that fall through are
-not extended to the next level.  A sieve only ever lets too much through: what decides
-is the last level, where whole windows are compared by their full hashes.
+bits in a sieve (broadcast, of ``SIEVE_BITS`` to ``MOST_BITS`` by the bytes of text); windows that
+fall through are not extended to the next level.  A sieve only ever lets too much through:
+what decides is the last level, where whole windows are compared by 96 bits of two hashes.
 
 Each map task hands over arrays of hashes by bucket, not a row a window.  A hash that is
 met twice in one task is settled there and sent on once, so a passage that a third of
@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import neutral
+from .common import neutral, written
 from .textcore import Block, Ranges, blocks, mix
 
 SIEVE_BITS = 27
+MOST_BITS = 30
+BUCKET_BYTES = 32 << 20
+SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 FLUSH = 1 << 21
 NONE = np.uint32(0xFFFFFFFF)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -67,7 +70,7 @@ def _hashes(block: Block, ranges, room: np.ndarray, k: int) -> np.ndarray:
 
 
 def _survivors(block: Block, sizes: list[int], sieves: list[np.ndarray], bits: int):
-    """Window starts that pass the sieves, the hashes of the next level, and their window minima."""
+    """Window starts that pass the sieves, the hashes of the next level, their window minima and those of the first level."""
     room = block.room()
     ranges = Ranges(mix(block.hashes))
     length = sizes[-1]
@@ -85,6 +88,19 @@ def _survivors(block: Block, sizes: list[int], sieves: list[np.ndarray], bits: i
     raise AssertionError
 
 
+def _second(block: Block, at: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits for the windows of k words that start at ``at``, independent of the first hash."""
+    return (Ranges(mix(block.hashes ^ SALT)).hash(at, at + k) >> np.uint64(32)).astype(np.uint32)
+
+
+def _same(hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts by both hashes, the first place of each value in it, and how often it occurs."""
+    order = np.lexsort((more, hashes))
+    h, m = hashes[order], more[order]
+    firsts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (m[1:] != m[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return order, firsts, np.diff(np.append(firsts, len(h)))
+
+
 def _cut(keys: np.ndarray, n_buckets: int, bits: int) -> np.ndarray:
     """The bucket of each hash: buckets are ranges of the sieve's bits."""
     low = keys & np.uint64((1 << bits) - 1)
@@ -197,13 +213,11 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
         parts: list[tuple] = []
 
         def flush(direct):
-            rows = {"bucket": [], "kind": [], "keys": [], "head": [], "hashes": [], "at": []}
+            rows = {"bucket": [], "kind": [], "keys": [], "head": [], "hashes": [], "more": [], "at": []}
             if parts:
-                hashes, at, minima = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                order = np.argsort(hashes, kind="stable")
-                hashes, at, minima = hashes[order], at[order], minima[order]
-                firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-                counts = np.diff(np.append(firsts, len(hashes)))
+                hashes, more, at, minima = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                order, firsts, counts = _same(hashes, more)
+                hashes, more, at, minima = hashes[order], more[order], at[order], minima[order]
                 many = np.repeat(counts > 1, counts)
                 begin = np.array(starts, np.int64)
                 settled = np.sort(at[many])
@@ -211,10 +225,10 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
                     direct.append((keys[i], _intervals(local)))
                 ask = firsts
                 pos = np.where(counts > 1, np.int64(-1), at[ask])
-                hashes, minima = hashes[ask], minima[ask]
+                hashes, more, minima = hashes[ask], more[ask], minima[ask]
                 bucket = _cut(minima, n_buckets, bits)
                 order = np.lexsort((pos, bucket))
-                hashes, pos, bucket = hashes[order], pos[order], bucket[order]
+                hashes, more, pos, bucket = hashes[order], more[order], pos[order], bucket[order]
                 for number, a, b in runs_of(bucket):
                     p = pos[a:b]
                     owner = np.searchsorted(begin, p, side="right") - 1
@@ -224,6 +238,7 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
                     rows["keys"].append(b"".join(keys[i] for i in used))
                     rows["head"].append(begin[used].astype(np.uint32).tobytes())
                     rows["hashes"].append(hashes[a:b].tobytes())
+                    rows["more"].append(more[a:b].tobytes())
                     rows["at"].append(np.where(p >= 0, p, int(NONE)).astype(np.uint32).tobytes())
             for key, runs in direct:
                 rows["bucket"].append(int.from_bytes(key[:4], "big") % n_buckets)
@@ -231,6 +246,7 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
                 rows["keys"].append(key)
                 rows["head"].append(b"")
                 rows["hashes"].append(b"")
+                rows["more"].append(b"")
                 rows["at"].append(runs.tobytes())
             keys.clear()
             starts.clear()
@@ -238,7 +254,7 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
             state["n"] = 0
             return pa.RecordBatch.from_arrays(
                 [pa.array(rows["bucket"], pa.int32()), pa.array(rows["kind"], pa.int32())]
-                + [pa.array(rows[c], pa.binary()) for c in ("keys", "head", "hashes", "at")],
+                + [pa.array(rows[c], pa.binary()) for c in ("keys", "head", "hashes", "more", "at")],
                 list(rows),
             )
 
@@ -259,11 +275,12 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
                     continue
                 # Positions are those of the words in this flush; texts without a living window take no room.
                 owner = np.searchsorted(block.bounds, at, side="right") - 1
+                more = _second(block, at, length)
                 for i in np.unique(owner):
                     a, b = np.searchsorted(owner, [i, i + 1])
                     keys.append(names[block.first + i])
                     starts.append(state["n"])
-                    parts.append((hashes[at[a:b]], at[a:b] - block.bounds[i] + state["n"], first[at[a:b]]))
+                    parts.append((hashes[at[a:b]], more[a:b], at[a:b] - block.bounds[i] + state["n"], first[at[a:b]]))
                     state["n"] += int(block.bounds[i + 1] - block.bounds[i])
                 size += len(at)
                 if size >= FLUSH or state["n"] >= 1 << 30:
@@ -272,7 +289,7 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
         yield flush(direct)
 
     def settle(group: pa.Table) -> pa.Table:
-        keys, at_key, at_pos, hashes, marked = [], [], [], [], []
+        keys, at_key, at_pos, hashes, more, marked = [], [], [], [], [], []
         settled: dict[tuple, None] = {}
         base = 0
         for row in group.to_pylist():
@@ -289,15 +306,14 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
             at_key.append(np.where(known, text + base, -1))
             at_pos.append(np.where(known, pos - (head[text] if len(head) else 0), 0).astype(np.uint32))
             hashes.append(h)
+            more.append(np.frombuffer(row["more"], np.uint32))
             marked.append(~known)
             base += len(own)
         out_keys, out_runs = [k for k, _ in settled], [r for _, r in settled]
         if hashes:
             h, k, p, m = (np.concatenate(x) for x in (hashes, at_key, at_pos, marked))
-            order = np.argsort(h, kind="stable")
-            h, k, p, m = h[order], k[order], p[order], m[order]
-            firsts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            counts = np.diff(np.append(firsts, len(h)))
+            order, firsts, counts = _same(h, np.concatenate(more))
+            k, p, m = k[order], p[order], m[order]
             twice = (counts > 1) | (np.maximum.reduceat(m, firsts) if len(firsts) else np.zeros(0, bool))
             flag = np.repeat(twice, counts) & (k >= 0)
             names, index = np.unique(np.concatenate(keys), return_inverse=True) if base else (np.zeros(0, "V16"), np.zeros(0, np.int64))
@@ -308,7 +324,7 @@ def _repeats(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_buck
                 out_runs.append(_intervals(pos[a:b]).tobytes())
         return pa.table({"key": pa.array(out_keys, pa.binary()), "runs": pa.array(out_runs, pa.binary())})
 
-    asked = texts.mapInArrow(emit, "bucket int, kind int, keys binary, head binary, hashes binary, at binary")
+    asked = texts.mapInArrow(emit, "bucket int, kind int, keys binary, head binary, hashes binary, more binary, at binary")
     return asked.groupBy("bucket").applyInArrow(settle, "key binary, runs binary")
 
 
@@ -319,7 +335,7 @@ def _by_text(at: np.ndarray, begin: np.ndarray):
 
 
 def remove_repeats(
-    docs: DataFrame, *, length: int = 35, text_col: str = "text", first: int = 9, bits: int = SIEVE_BITS, drop_text: bool = False
+    docs: DataFrame, *, length: int = 35, text_col: str = "text", first: int = 9, bits: int | None = None, drop_text: bool = False
 ) -> DataFrame:
     """The columns of ``docs`` (without the text if ``drop_text``) and n_words, n_removed, kept.
 
@@ -331,18 +347,20 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     sizes = levels(length, first)
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept") and not (drop_text and c == text_col)]
     docs, named = neutral(docs)
     text_col = named[text_col]
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     texts = keyed.select("__key", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    volume = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES + 1)
+    # About four bits of the first sieve for each of its minimizers (one in some 80 bytes).
+    bits = min(MOST_BITS, max(SIEVE_BITS, (volume // 20).bit_length())) if bits is None else bits
     sieves: list[np.ndarray] = []
     for _ in sizes[:-1]:
         sieves.append(_sieve(texts, sizes, sieves, bits, n_buckets))
-    runs = _repeats(texts, sizes, sieves, bits, n_buckets).groupBy(F.col("key").alias("__key")).agg(
-        F.collect_list("runs").alias("__runs")
-    )
+    runs = written(_repeats(texts, sizes, sieves, bits, n_buckets), "substring-runs")
+    runs = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list("runs").alias("__runs"))
     columns = [named[c] for c in own]
     schema = docs.select(*columns).schema
 
