@@ -474,6 +474,18 @@ def test_warc(spark):
     assert max(r["chunks"] for r in got) == -(-5000 // 64)
 
 
+def test_warc_of_empty_long_and_clashing(spark):
+    schema = "page_id long, url string, html string, payload string, digest int, bytes string, record_type int, first_id long, again boolean"
+    assert warc.archive_round_trip(spark.createDataFrame([], schema)).count() == 0
+    long_ = "é" * (4 << 20)
+    rows = [(i, "u", h, "x", 1, "y", 2, 7, True) for i, h in ((2, long_), (1, long_), (3, "z" * 99), (4, "z" * 99))]
+    got = {r["page_id"]: r for r in warc.archive_round_trip(spark.createDataFrame(rows, schema)).collect()}
+    assert {i: (r["payload_bytes"], r["record_type"], r["refers_to"]) for i, r in got.items()} == {
+        1: (8 << 20, "response", None), 2: (8 << 20, "revisit", 1), 3: (99, "response", None), 4: (99, "response", None)
+    }
+    assert got[1]["payload_digest"] == got[2]["payload_digest"] == hashlib.sha256(long_.encode()).hexdigest() and got[1]["chunks"] == (8 << 20) // warc.SEGMENT
+
+
 def test_warc_reader_refuses_changes():
     body = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1:0>\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     with pytest.raises(ValueError, match="digest"):
@@ -641,5 +653,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 0
 
 
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
