@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, padded_symbol, positive
+from ..functions.columns import finite, padded_symbol, positive, require_none, require_unique
 
 ACTION = ["symbol", "ex_date", "effective_date", "cash_per_share", "share_ratio", "source"]
 
@@ -41,9 +41,17 @@ def first_of_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__i", F.row_number().over(w)).filter("__i = 1").drop("__i")
 
 
-def overridden(df: DataFrame, overrides: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """``column`` replaced where ``overrides`` has a value for the key."""
+def overridden(df: DataFrame, overrides: DataFrame, keys: list[str], column: str, *, replace: bool = True) -> DataFrame:
+    """``column`` replaced where ``overrides`` has a value for the key.
+
+    Raises ValueError if a key of ``overrides`` repeats or matches no row, or, unless values may
+    be replaced, if it differs from a value that is there.
+    """
+    require_unique(overrides, keys, "overrides")
+    require_none(unmatched(overrides, df, keys), F.lit(True), "an override matches no row")
     new = overrides.select(*keys, F.col(column).alias("__new"))
+    if not replace:
+        require_none(df.join(new, keys), F.col(column) != F.col("__new"), f"an override conflicts with {column}")
     return df.join(new, keys, "left").withColumn(column, F.coalesce("__new", column)).drop("__new").select(*df.columns)
 
 
@@ -51,6 +59,22 @@ def unmatched(overrides: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame
     return overrides.join(df.select(*keys).distinct(), keys, "left_anti")
 
 
+def apply_actions(positions: DataFrame, actions: DataFrame, applied: DataFrame | None = None) -> DataFrame:
+    """symbol, shares, cash after the actions of one effective date; shares round half to even.
+
+    ``positions``: symbol, shares (long); ``actions``: action_id, symbol, cash_per_share,
+    share_ratio.  An id that repeats or is among ``applied`` (action_id) raises ValueError.
+    Several actions of a symbol pay on the shares held before and multiply one another.
+    """
+    require_unique(actions, ["action_id"], "actions")
+    if applied is not None:
+        require_none(actions.join(applied.select("action_id"), "action_id", "left_semi"), F.lit(True), "a corporate action is already applied")
+    each = actions.groupBy("symbol").agg(F.sum("cash_per_share").alias("__cash"), F.product(1.0 + F.col("share_ratio")).alias("__ratio"))
+    rows = positions.join(each, "symbol", "left")
+    shares = F.bround(F.col("shares") * F.coalesce("__ratio", F.lit(1.0))).cast("long")
+    return rows.select("symbol", shares.alias("shares"), (F.col("shares") * F.coalesce("__cash", F.lit(0.0))).alias("cash"))
+
+
 def first_on_or_after(events: DataFrame, observed: DataFrame, date: str) -> DataFrame:
     """Adds ``date`` of the symbol's first observed row on or after the event's date: a forward as-of join in one sorted pass."""
     seen = observed.select("symbol", F.col("date").alias("__d"), F.lit(1).alias("__kind"), F.col("date").alias("__seen")).distinct()
@@ -89,14 +113,21 @@ def stale_intervals(positions: DataFrame, panel: DataFrame, events: DataFrame, e
 
 
 def marked_positions(targets: DataFrame, panel: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Daily positions of target weights held until the next target: price as of the date, its age in days, and weight.
+    """Daily positions of target weights held until the next target, the last one to the end of the calendar: price as of the date, its age in days, and weight.
 
     date, portfolio_name, symbol, close_price, market_value (per unit of capital), is_stale, stale_days, asset_weight.
     """
-    dates = targets.select("portfolio_name", "date").distinct().withColumn("until", F.lead("date").over(Window.partitionBy("portfolio_name").orderBy("date")))
-    spans = targets.join(dates, ["portfolio_name", "date"]).select("portfolio_name", "symbol", F.col("date").alias("since"), "until", "target_weight")
     days = calendar.select("date").distinct()
-    held = spans.join(F.broadcast(days), (F.col("date") >= F.col("since")) & (F.col("date") < F.coalesce("until", F.date_add("since", 31))))
+    # The number of calendar dates before each date that occurs, so that a span of dates is a sequence of numbers.
+    every = days.withColumn("__day", F.lit(1)).unionByName(targets.select("date").distinct().withColumn("__day", F.lit(0))).groupBy("date").agg(F.max("__day").alias("__day"))
+    every = every.withColumn("n", F.coalesce(F.sum("__day").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = every.filter("__day = 1").select("date", "n")
+    dates = targets.select("portfolio_name", "date").distinct().join(F.broadcast(every.select("date", "n")), "date")
+    dates = dates.crossJoin(F.broadcast(numbered.agg(F.count(F.lit(1)).alias("days"))))  # one row
+    dates = dates.withColumn("until", F.coalesce(F.lead("n").over(Window.partitionBy("portfolio_name").orderBy("date")), F.col("days")))
+    spans = targets.join(dates.filter("until > n"), ["portfolio_name", "date"])
+    spans = spans.select("portfolio_name", "symbol", F.col("date").alias("since"), "target_weight", F.explode(F.sequence("n", F.col("until") - 1)).alias("n"))
+    held = spans.join(F.broadcast(numbered), "n").drop("n")
     marks = panel.filter(positive("close_raw")).select("symbol", "date", F.struct(F.col("date").alias("d"), F.col("close_raw").alias("c")).alias("__m"), F.lit(0).alias("__kind"))
     asked = held.select("symbol", "date").distinct().withColumn("__m", F.lit(None).cast("struct<d:date,c:double>")).withColumn("__kind", F.lit(1))
     upto = Window.partitionBy("symbol").orderBy("date", "__kind").rowsBetween(Window.unboundedPreceding, 0)

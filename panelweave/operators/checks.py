@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, invalid_ohlc, market, positive, require_none
@@ -19,11 +19,8 @@ def _any_null(columns: list[str]):
     return bad
 
 
-def panel_issues(panel: DataFrame) -> DataFrame:
-    """severity, code, count of each rule that some row breaks; errors first, then by code.
-
-    Rules on columns that the panel lacks are left out.
-    """
+def row_rules(columns: list[str]) -> dict[tuple[str, str], Column]:
+    """(severity, code) of each rule on single rows, and what breaks it; rules on columns that are not there are left out."""
     rules = {
         ("error", "missing_price"): (PRICES, lambda: _any_null(PRICES)),
         ("error", "invalid_ohlc"): (PRICES, invalid_ohlc),
@@ -36,7 +33,12 @@ def panel_issues(panel: DataFrame) -> DataFrame:
         ("warning", "missing_valuation"): (["pe_ttm", "pb", "ps_ttm"], lambda: _any_null(["pe_ttm", "pb", "ps_ttm"])),
         ("warning", "zero_volume_amount"): (["volume", "amount"], lambda: (F.col("volume") == 0) | (F.col("amount") == 0)),
     }
-    found = {k: v() for k, (need, v) in rules.items() if set(need) <= set(panel.columns)}
+    return {k: v() for k, (need, v) in rules.items() if set(need) <= set(columns)}
+
+
+def panel_issues(panel: DataFrame) -> DataFrame:
+    """severity, code, count of each rule that some row breaks; errors first, then by code."""
+    found = row_rules(panel.columns)
     counts = panel.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"{s}|{code}") for (s, code), c in found.items()])
     wide = counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"), F.col(f"`{s}|{c}`").alias("count")) for s, c in found])).alias("x"))
     keys = panel.groupBy("date", "symbol").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))

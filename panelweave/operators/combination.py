@@ -187,17 +187,17 @@ def quintile_excess(quantiles: DataFrame, name: str) -> DataFrame:
     return rows.groupBy(name, "quantile").agg(F.avg("excess").alias("mean_excess"), F.count(F.lit(1)).alias("months"))
 
 
-def leg_decomposition(quantiles: DataFrame, name: str, buckets: int = 5, horizon: int = 20) -> DataFrame:
-    """Long leg (top over universe) and short leg (universe over bottom) with Newey-West t values."""
+def leg_decomposition(quantiles: DataFrame, name: str | list[str], buckets: int = 5, horizon: int = 20) -> DataFrame:
+    """Long leg (top over universe) and short leg (universe over bottom) with Newey-West t values, for each object."""
+    keys = [name] if isinstance(name, str) else name
     at = lambda q: F.max(F.when(F.col("quantile") == q, F.col("mean_return")))
-    monthly = quantiles.groupBy("date", name).agg((F.sum(F.col("mean_return") * F.col("n_obs")) / F.sum("n_obs")).alias("u"), at(buckets).alias("top"), at(1).alias("low")).dropna(subset=["u", "top", "low"])
-    legs = monthly.select("date", name, F.explode(F.array(F.struct(F.lit("long").alias("leg"), (F.col("top") - F.col("u")).alias("v")), F.struct(F.lit("short").alias("leg"), (F.col("u") - F.col("low")).alias("v")))).alias("x")).select("date", name, "x.*")
-    test = newey_west(legs, [name, "leg"], "date", "v", published_lag(F.lit(horizon)), with_p=False)
+    monthly = quantiles.groupBy("date", *keys).agg((F.sum(F.col("mean_return") * F.col("n_obs")) / F.sum("n_obs")).alias("u"), at(buckets).alias("top"), at(1).alias("low")).dropna(subset=["u", "top", "low"])
+    both = F.array(F.struct(F.lit("long").alias("leg"), (F.col("top") - F.col("u")).alias("v")), F.struct(F.lit("short").alias("leg"), (F.col("u") - F.col("low")).alias("v")))
+    legs = monthly.select("date", *keys, F.explode(both).alias("x")).select("date", *keys, "x.*")
+    test = newey_west(legs, [*keys, "leg"], "date", "v", published_lag(F.lit(horizon)), with_p=False)
     pick = lambda leg, c: F.max(F.when(F.col("leg") == leg, F.col(c)))
-    out = test.groupBy(name).agg(
+    out = test.groupBy(*keys).agg(
         F.max("n").alias("months"), pick("long", "mean").alias("long_leg"), pick("long", "t").alias("long_leg_t"), pick("short", "mean").alias("short_leg"), pick("short", "t").alias("short_leg_t")
     )
     spread = F.col("long_leg") + F.col("short_leg")
     return out.withColumn("spread", spread).withColumn("long_share", F.when(spread > 0, F.try_divide("long_leg", spread)))
-
-

@@ -119,7 +119,7 @@ def factor_summary(scored: DataFrame, ic: DataFrame, quantiles: DataFrame, turno
 
 
 def classify(summary: DataFrame, periods: DataFrame, *, primary_horizon: int, coverage: float = 0.8, months: int = 60, q: float = 0.05) -> DataFrame:
-    """candidate, watch or reject for each factor, with the reasons in order."""
+    """candidate, watch or reject for each factor, with the reasons in order (their codes are fixed values)."""
     mine = F.create_map(*[x for f in FACTORS for x in (F.lit(f.name), F.lit(primary_variant(f.name)))])[F.col("factor_name")]
     good = periods.groupBy("factor_name", "score_variant").agg(F.count_if(finite("mean_ic") & (F.col("mean_ic") > 0)).alias("positive_subperiods"))
     rows = summary.filter((F.col("horizon") == primary_horizon) & (F.col("score_variant") == mine)).join(good, ["factor_name", "score_variant"], "left")
@@ -155,6 +155,17 @@ def primary_scores(scored: DataFrame) -> DataFrame:
     return scored.select("date", "symbol", "factor_name", value.alias("value"))
 
 
+REASONS = ("insufficient_common_observations", "constant_score", "constant_score")
+
+
+def monthly_correlations(scored: DataFrame, minimum: int = MINIMUM) -> DataFrame:
+    """factor_a <= factor_b, date, n_obs, rank_ic, reason for every month in which both have rows, valid or not."""
+    rows = primary_scores(scored)
+    a = rows.select("date", "symbol", F.col("factor_name").alias("factor_a"), F.col("value").alias("x"))
+    b = rows.select("date", "symbol", F.col("factor_name").alias("factor_b"), F.col("value").alias("y"))
+    return spearman(a.join(b, ["date", "symbol"]).filter("factor_a <= factor_b"), ["date", "factor_a", "factor_b"], "x", "y", minimum, REASONS)
+
+
 def redundancy(scored: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     """factor_a, factor_b, mean_correlation, common_months: mean monthly rank correlation over common symbols.
 
@@ -165,7 +176,7 @@ def redundancy(scored: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     a = rows.select("date", "symbol", F.col("factor_name").alias("factor_a"), F.col("value").alias("x"))
     b = rows.select("date", "symbol", F.col("factor_name").alias("factor_b"), F.col("value").alias("y"))
     pairs = a.join(b, ["date", "symbol"]).filter("factor_a <= factor_b")
-    monthly = spearman(pairs, ["date", "factor_a", "factor_b"], "x", "y", minimum, ("insufficient_common_observations", "constant_score", "constant_score"))
+    monthly = spearman(pairs, ["date", "factor_a", "factor_b"], "x", "y", minimum, REASONS)
     half = monthly.groupBy("factor_a", "factor_b").agg(F.avg("rank_ic").alias("mean_correlation"), F.count("rank_ic").alias("common_months"))
     other = half.filter("factor_a <> factor_b").select(F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b"), "mean_correlation", "common_months")
     return half.unionByName(other)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import equal_bucket, finite, positive, ticks
+from ..functions.columns import equal_bucket, finite, market, positive, require_none, ticks
 
 TARGET = ["portfolio_name", "date", "symbol", "target_weight"]
 
@@ -25,19 +25,26 @@ def rebalance_schedule(scores: DataFrame, every: int) -> DataFrame:
     return scores.join(F.broadcast(dates.filter(F.col("__i") % every == 0).select("date")), "date", "left_semi")
 
 
-def liquid_universe(scores: DataFrame, liquidity: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most liquid scored symbols of each date."""
+def liquid_universe(scores: DataFrame, liquidity: DataFrame, size: int, strict: bool = True) -> DataFrame:
+    """The ``size`` most liquid scored symbols of each date.
+
+    A date with fewer raises when it is computed, or keeps what it has if not ``strict``.
+    """
     cross = Window.partitionBy("date").orderBy(F.col("liquidity").desc_nulls_last(), "symbol")
     rows = scores.join(liquidity.select("date", "symbol", "liquidity"), ["date", "symbol"], "left")
-    return rows.withColumn("__i", F.row_number().over(cross)).filter(F.col("__i") <= size).drop("__i", "liquidity")
+    short = F.raise_error(F.concat(F.lit(f"fewer than {size} scored symbols on "), F.col("date").cast("string"))).cast("int")
+    many = F.count(F.lit(1)).over(Window.partitionBy("date")) >= size
+    place = F.row_number().over(cross)
+    return rows.withColumn("__i", F.when(many, place).otherwise(short) if strict else place).filter(F.col("__i") <= size).drop("__i", "liquidity")
 
 
-def size_groups(scores: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
-    """Adds size_group (equal-count by size, ties by symbol) and group_rank (best score first)."""
+def size_groups(scores: DataFrame, sizes: DataFrame, groups: int, keys: list[str] | None = None) -> DataFrame:
+    """Adds size_group (equal-count by size, ties by symbol) and group_rank (best score first) for each date and ``keys``."""
+    by = ["date", *(keys or [])]
     rows = scores.join(sizes.select("date", "symbol", "log_market_cap"), ["date", "symbol"]).filter(finite("score") & finite("log_market_cap"))
-    cross = Window.partitionBy("date")
+    cross = Window.partitionBy(*by)
     rows = rows.withColumn("size_group", equal_bucket(F.row_number().over(cross.orderBy("log_market_cap", "symbol")), F.count(F.lit(1)).over(cross), groups))
-    return rows.withColumn("group_rank", F.row_number().over(Window.partitionBy("date", "size_group").orderBy(F.desc("score"), "symbol")))
+    return rows.withColumn("group_rank", F.row_number().over(Window.partitionBy(*by, "size_group").orderBy(F.desc("score"), "symbol")))
 
 
 def buffered_portfolio(ranked: DataFrame, *, per_group: int, buffer_rank: int, name: str, scenario: str = "method") -> DataFrame:
@@ -70,13 +77,13 @@ def buffered_portfolio(ranked: DataFrame, *, per_group: int, buffer_rank: int, n
 
 
 def diagnostics(targets: DataFrame) -> DataFrame:
-    """portfolio_name, date, one_way_turnover (against the date before), holdings, max_weight, hhi, effective_holdings."""
+    """portfolio_name, date, one_way_turnover (against the date before; 12 digits, free of the order of sums), holdings, max_weight, hhi, effective_holdings."""
     dates = targets.select("portfolio_name", "date").distinct()
     dates = dates.withColumn("next", F.lead("date").over(Window.partitionBy("portfolio_name").orderBy("date")))
     old = targets.join(dates, ["portfolio_name", "date"]).filter("next IS NOT NULL")
     old = old.select("portfolio_name", F.col("next").alias("date"), "symbol", (-F.col("target_weight")).alias("w"))
     moves = targets.select("portfolio_name", "date", "symbol", F.col("target_weight").alias("w")).unionByName(old).groupBy("portfolio_name", "date", "symbol").agg(F.sum("w").alias("d"))
-    turnover = moves.groupBy("portfolio_name", "date").agg((F.sum(F.abs("d")) * 0.5).alias("one_way_turnover"))
+    turnover = moves.groupBy("portfolio_name", "date").agg(F.round(F.sum(F.abs("d")) * 0.5, 12).alias("one_way_turnover"))
     stats = targets.groupBy("portfolio_name", "date").agg(F.count(F.lit(1)).alias("holdings"), F.max("target_weight").alias("max_weight"), F.sum(F.col("target_weight") * F.col("target_weight")).alias("hhi"))
     return stats.join(turnover, ["portfolio_name", "date"]).withColumn("effective_holdings", 1.0 / F.col("hhi"))
 
@@ -179,14 +186,17 @@ def with_fees(trades: DataFrame, stamp: DataFrame, transfer: DataFrame, *, commi
     """Adds commission, stamp_duty, transfer_fee and total_cost.
 
     ``stamp``: start, end, buy_rate, sell_rate; ``transfer``: start, end, market, basis,
-    rate, minimum.  Both are small rule tables with one rule a day (and market).
+    rate, minimum.  Both are small rule tables.  Rules that overlap raise ValueError; a
+    trade on a day (and market) without a rule raises when it is computed.
     """
-    code = F.when(F.col("symbol").startswith("6"), "sh").otherwise("sz")
-    rows = trades.withColumn("market", code)
+    for rules, keys in ((stamp, []), (transfer, ["market"])):
+        _one_rule_a_day(rules, keys)
+    rows = trades.withColumn("market", market("symbol"))
     within = lambda t: (F.col("date") >= F.col(f"{t}.start")) & (F.col("date") <= F.col(f"{t}.end"))
     rows = rows.join(F.broadcast(stamp).alias("s"), within("s"), "left").join(F.broadcast(transfer).alias("f"), within("f") & (F.col("f.market") == rows["market"]), "left")
-    basis = F.when(F.col("f.basis") == "amount", F.col("amount")).otherwise(F.col("fill_quantity"))
-    rate = F.when(F.col("side") == "buy", F.col("s.buy_rate")).otherwise(F.col("s.sell_rate"))
+    none = lambda what: F.raise_error(F.concat(F.lit(f"no {what} rule for "), F.col("symbol"), F.lit(" on "), F.col("date").cast("string")))
+    basis = F.when(F.col("f.basis").isNull(), none("transfer fee").cast("double")).when(F.col("f.basis") == "amount", F.col("amount")).otherwise(F.col("fill_quantity"))
+    rate = F.when(F.col("s.start").isNull(), none("stamp duty").cast("double")).otherwise(F.when(F.col("side") == "buy", F.col("s.buy_rate")).otherwise(F.col("s.sell_rate")))
     out = rows.select(
         *[F.col(c) for c in trades.columns], F.greatest(F.lit(least), F.col("amount") * commission).alias("commission"), (F.col("amount") * rate).alias("stamp_duty"),
         F.greatest(F.col("f.minimum"), basis * F.col("f.rate")).alias("transfer_fee"),
@@ -194,6 +204,12 @@ def with_fees(trades: DataFrame, stamp: DataFrame, transfer: DataFrame, *, commi
     return out.withColumn("total_cost", F.col("commission") + F.col("stamp_duty") + F.col("transfer_fee") + F.col("slippage_cost") + F.col("impact_cost"))
 
 
+def _one_rule_a_day(rules: DataFrame, keys: list[str]) -> None:
+    """Raises ValueError if two rules of a key hold on one day; rule tables are a handful of rows."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    require_none(rules.withColumn("__until", F.lag("end").over(w)), F.coalesce(F.col("__until") >= F.col("start"), F.lit(False)), "fee rules overlap")
+
+
 def uncovered_days(rules: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """Days (and keys) of a range for which not exactly one rule holds."""
     days = rules.sparkSession.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS day")

@@ -29,9 +29,10 @@ def with_(needs: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select
 
 
-def r(columns: str, digits: int = 6, shift: str = "") -> str:
-    """Column list in which names that end in * are rounded."""
-    return ", ".join(f"round({c[:-1]}{shift}, {digits}) AS {c[:-1]}" if c.endswith("*") else c for c in columns.split())
+def r(columns: str, digits: int = 6, exact: bool = False) -> str:
+    """Column list in which names that end in * are rounded, as decimals if ``exact``."""
+    number = lambda c: f"CAST(round(CAST({c} AS DECIMAL(28,9)), {digits}) AS DOUBLE)" if exact else f"round({c}, {digits})"
+    return ", ".join(f"{number(c[:-1])} AS {c[:-1]}" if c.endswith("*") else c for c in columns.split())
 
 
 H = (5, 20, 60)
@@ -182,12 +183,13 @@ cte(
 )
 
 
-def newey(source: str, keys: str, order: str, value: str, lag: str, name: str) -> str:
-    """Bartlett-kernel test with at most two lags."""
+def newey(source: str, keys: str, order: str, value: str, lag: str, name: str, most: int = 2) -> str:
+    """Bartlett-kernel test with at most ``most`` lags."""
+    steps = range(1, most + 1)
     return f"""{name}0 AS (SELECT {keys}, {order} AS o, {value} AS v, {value} - avg({value}) OVER k AS e FROM {source} WHERE {value} IS NOT NULL WINDOW k AS (PARTITION BY {keys})),
-{name}1 AS (SELECT *, lag(e, 1) OVER k AS e1, lag(e, 2) OVER k AS e2 FROM {name}0 WINDOW k AS (PARTITION BY {keys} ORDER BY o)),
-{name}2 AS (SELECT {keys}, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, {lag} AS lag, sum(e * e) / count(*) AS g0, coalesce(sum(e * e1), 0) / count(*) AS g1, coalesce(sum(e * e2), 0) / count(*) AS g2 FROM {name}1 GROUP BY {keys}),
-{name} AS (SELECT *, CASE WHEN n > 1 AND lrv > 0 THEN mean / sqrt(lrv / n) END AS t FROM (SELECT *, g0 + CASE WHEN least(lag, n - 1) >= 1 THEN 2 * (1 - 1 / (lag + 1.0)) * g1 ELSE 0 END + CASE WHEN least(lag, n - 1) >= 2 THEN 2 * (1 - 2 / (lag + 1.0)) * g2 ELSE 0 END AS lrv FROM {name}2))"""
+{name}1 AS (SELECT *, {", ".join(f"lag(e, {i}) OVER k AS e{i}" for i in steps)} FROM {name}0 WINDOW k AS (PARTITION BY {keys} ORDER BY o)),
+{name}2 AS (SELECT {keys}, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, {lag} AS lag, sum(e * e) / count(*) AS g0, {", ".join(f"coalesce(sum(e * e{i}), 0) / count(*) AS g{i}" for i in steps)} FROM {name}1 GROUP BY {keys}),
+{name} AS (SELECT *, CASE WHEN n > 1 AND lrv > 0 THEN mean / sqrt(lrv / n) END AS t FROM (SELECT *, g0 + {" + ".join(f"CASE WHEN least(lag, n - 1) >= {i} THEN 2 * (1 - {i} / (lag + 1.0::DOUBLE)) * g{i} ELSE 0 END" for i in steps)} AS lrv FROM {name}2))"""
 
 
 LAG = "greatest(0, CAST(ceil(any_value(horizon) / 21.0) AS INT) - 1)"
@@ -268,7 +270,7 @@ cte(
     "dia",
     """d0 AS (SELECT portfolio_name, date, lead(date) OVER (PARTITION BY portfolio_name ORDER BY date) AS nxt FROM (SELECT DISTINCT portfolio_name, date FROM tgt)),
 d1 AS (SELECT portfolio_name, date, symbol, target_weight AS w FROM tgt UNION ALL SELECT portfolio_name, nxt, symbol, -target_weight FROM tgt JOIN d0 USING (portfolio_name, date) WHERE nxt IS NOT NULL),
-d2 AS (SELECT portfolio_name, date, 0.5 * sum(abs(d)) AS one_way_turnover FROM (SELECT portfolio_name, date, symbol, sum(w) AS d FROM d1 GROUP BY ALL) GROUP BY ALL),
+d2 AS (SELECT portfolio_name, date, round(0.5 * sum(abs(d)), 12) AS one_way_turnover FROM (SELECT portfolio_name, date, symbol, sum(w) AS d FROM d1 GROUP BY ALL) GROUP BY ALL),
 dia AS (SELECT *, 1 / hhi AS effective_holdings FROM (SELECT portfolio_name, date, count(*) AS holdings, max(target_weight) AS max_weight, sum(target_weight * target_weight) AS hhi FROM tgt GROUP BY ALL) JOIN d2 USING (portfolio_name, date))""",
     "tgt",
 )
@@ -315,7 +317,7 @@ cte(
 cte(
     "pos",
     """z0 AS (SELECT portfolio_name, date, lead(date) OVER (PARTITION BY portfolio_name ORDER BY date) AS until FROM (SELECT DISTINCT portfolio_name, date FROM tgt)),
-z1 AS (SELECT t.portfolio_name, t.symbol, t.target_weight, t.date AS since, c.date FROM tgt t JOIN z0 USING (portfolio_name, date) JOIN cal c ON c.date >= t.date AND c.date < coalesce(z0.until, t.date + 31)),
+z1 AS (SELECT t.portfolio_name, t.symbol, t.target_weight, t.date AS since, c.date FROM tgt t JOIN z0 USING (portfolio_name, date) JOIN cal c ON c.date >= t.date AND (z0.until IS NULL OR c.date < z0.until)),
 z2 AS (SELECT z1.*, p.date AS d, p.close_raw AS close_price FROM z1 ASOF JOIN bars p ON z1.symbol = p.symbol AND z1.date >= p.date),
 z3 AS (SELECT z2.*, p.close_raw AS base FROM z2 ASOF JOIN bars p ON z2.symbol = p.symbol AND z2.since >= p.date),
 z4 AS (SELECT *, target_weight * close_price / base AS market_value, CAST(date - d AS INT) AS stale_days FROM z3),
@@ -402,11 +404,74 @@ cte(
 j1 AS (SELECT *, round(open_raw * (1 + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (5.0 + impact) / 10000), 2) AS price FROM j0),
 j2 AS (SELECT *, fill_quantity * price AS amount, fill_quantity * open_raw / 10000 * 5.0 AS slippage_cost, fill_quantity * open_raw / 10000 * impact AS impact_cost FROM j1),
 j3 AS (SELECT *, greatest(5.0, amount * 0.0003) AS commission, amount * CASE WHEN date <= DATE '1998-06-11' THEN 0.003 WHEN side = 'buy' THEN 0.0 ELSE 0.004 END AS stamp_duty,
-  CASE WHEN symbol LIKE '6%' THEN greatest(1.0, fill_quantity * 0.001) WHEN date <= DATE '1999-12-31' THEN 0.0 ELSE amount * 0.00002 END AS transfer_fee FROM j2),
+  CASE WHEN symbol[1] IN ('5', '6', '9') THEN greatest(1.0, fill_quantity * 0.001) WHEN date <= DATE '1999-12-31' THEN 0.0 ELSE amount * 0.00002 END AS transfer_fee FROM j2),
 cost AS (SELECT *, commission + stamp_duty + transfer_fee + slippage_cost + impact_cost AS total_cost FROM j3)""",
     "ord",
 )
 
+cte(
+    "exl",
+    """exl AS (SELECT s.date, s.symbol, CASE WHEN d5 <= DATE '2001-06-30' THEN o5 / o - 1 END AS x5, CASE WHEN d20 <= DATE '2001-06-30' THEN o20 / o - 1 END AS x20
+  FROM (SELECT DISTINCT date, symbol FROM pan) s JOIN cal USING (date) LEFT JOIN (SELECT symbol, date AS next_date, open_adj AS o, lead(open_adj, 5) OVER w AS o5, lead(date, 5) OVER w AS d5, lead(open_adj, 20) OVER w AS o20, lead(date, 20) OVER w AS d20
+  FROM v WHERE is_valid AND open_adj > 0 WINDOW w AS (PARTITION BY symbol ORDER BY date)) a ON a.symbol = s.symbol AND a.next_date = cal.next_date)""",
+    "v cal pan",
+)
+cte(
+    "obj",
+    "obj AS (SELECT 'factor' AS object_type, factor_name AS object_name, date, symbol, value FROM ps UNION ALL SELECT 'composite', method, date, symbol, score FROM comp)",
+    "ps comp",
+)
+cte(
+    "per",
+    "per AS (SELECT * FROM (VALUES ('1995-1997', DATE '1995-01-01', DATE '1997-12-31'), ('1998-1999', DATE '1998-01-01', DATE '1999-12-31'), ('2000-2001', DATE '2000-01-01', DATE '2001-12-31')) AS p(period, s, e))",
+)
+cte(
+    "slc",
+    """sl0 AS (SELECT date, equal_weight AS nav, cap_weight AS zero FROM bench WHERE date >= (SELECT max(date) FROM bench WHERE date <= DATE '1998-12-31')),
+sl1 AS (SELECT *, nav / lag(nav) OVER w - 1 AS r, nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM sl0 WINDOW w AS (ORDER BY date)),
+sl2 AS (SELECT min(date) AS start_date, max(date) AS end_date, (DATE '2001-12-31' - DATE '1999-01-01') / 365.25 AS years, arg_max(nav, date) / arg_min(nav, date) AS g, arg_max(zero, date) / arg_min(zero, date) AS z, stddev_samp(r) AS s, min(d) AS maximum_drawdown, avg(nav) AS m FROM sl1),
+slc AS (SELECT start_date, end_date, years, pow(g, 1 / years) - 1 AS annual_return, pow(z, 1 / years) - 1 AS zero_cost_annual_return, pow(z, 1 / years) - pow(g, 1 / years) AS cost_erosion, s * sqrt(252.0::DOUBLE) AS annual_volatility, maximum_drawdown,
+  (SELECT sum(amount) FROM cost WHERE portfolio_name = 'top20_equal' AND date > start_date) / (m * 2 * years) AS turnover FROM sl2)""",
+    "bench cost",
+)
+cte(
+    "ver",
+    """ve0 AS (SELECT CASE WHEN portfolio_name = 'top20_equal' THEN 'portfolio_baseline' ELSE portfolio_name END AS experiment_id, avg(one_way_turnover) AS turnover, avg(hhi) AS hhi FROM dia GROUP BY portfolio_name),
+ve1 AS (SELECT experiment_id, 'ready' AS status, metric, value FROM (SELECT * FROM ve0 UNPIVOT (value FOR metric IN (turnover, hhi)))),
+ve2 AS (SELECT g.experiment_id, category, coalesce(status, 'not_run') AS status, metric, value FROM (VALUES ('portfolio_baseline', 'portfolio'), ('top10_equal', 'portfolio'), ('execution_full_cost', 'execution'), ('never_run', 'factor_ablation')) AS g(experiment_id, category) LEFT JOIN ve1 USING (experiment_id)),
+ve3 AS (SELECT ve2.*, CASE WHEN category = 'execution' THEN 'execution_full_cost' ELSE 'portfolio_baseline' END AS baseline_experiment_id FROM ve2),
+ver AS (SELECT ve3.*, b.value AS baseline_value, ve3.value - b.value AS baseline_delta, CASE WHEN ve3.status <> 'ready' THEN 'failed' WHEN ve3.metric = 'turnover' AND b.value IS NOT NULL THEN CASE WHEN abs(ve3.value - b.value) <= 0.05 THEN 'stable' ELSE 'sensitive' END ELSE 'reported' END AS interpretation
+  FROM ve3 LEFT JOIN ve1 b ON b.experiment_id = baseline_experiment_id AND b.metric = ve3.metric)""",
+    "dia",
+)
+cte(
+    "fmx",
+    """fm0 AS (SELECT s.date, max(CASE WHEN factor_name = 'reversal_20' THEN score END) AS a, max(CASE WHEN factor_name = 'turnover_20' THEN score END) AS b, max(CASE WHEN factor_name = 'volatility_60' THEN score END) AS c, any_value(l.forward_return_20) AS y
+  FROM sco s JOIN lab l USING (date, symbol) WHERE factor_name IN ('reversal_20', 'turnover_20', 'volatility_60') GROUP BY s.date, s.symbol),
+fm1 AS (SELECT date, count(*) AS n, stddev_samp(a) AS sa, stddev_samp(b) AS sb, stddev_samp(c) AS sc, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy, covar_pop(y, y) AS yy
+  FROM fm0 WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL GROUP BY date HAVING count(*) >= 20 AND max(a) > min(a) AND max(b) > min(b) AND max(c) > min(c)),
+fm2 AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM fm1),
+fm3 AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS ka, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS kb, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS kc FROM fm2),
+fmx AS (SELECT date, u.factor_name, u.k AS coefficient, n AS n_obs, (ka * ay + kb * by_ + kc * cy) / yy AS r_squared FROM fm3, LATERAL (VALUES ('reversal_20', ka * sa), ('turnover_20', kb * sb), ('volatility_60', kc * sc)) AS u(factor_name, k))""",
+    "sco lab",
+)
+cte(
+    "idx",
+    """ix0 AS (SELECT date, row_number() OVER w AS i, equal_weight, cap_weight, lag(equal_weight) OVER w AS eb, lag(cap_weight) OVER w AS cb FROM bench WINDOW w AS (ORDER BY date)),
+idx AS (SELECT 'equal' AS "index", date, equal_weight AS close, eb AS preclose FROM ix0 WHERE i > 2 UNION ALL SELECT 'cap', date, cap_weight, cb FROM ix0 WHERE i > 2)""",
+    "bench",
+)
+cte(
+    "lst",
+    "lst AS (SELECT * REPLACE (lpad(CAST(CAST(symbol AS BIGINT) * 10007 % 1000000 AS VARCHAR), 6, '0') AS symbol) FROM bars)",
+    "bars",
+)
+HERE = "symbol NOT LIKE '92%' AND symbol[1] IN ('0', '1', '2', '3', '5', '6', '9')"
+BAD = (
+    "(open_raw <= 0 OR high_raw <= 0 OR low_raw <= 0 OR close_raw <= 0 OR high_raw < greatest(open_raw, close_raw) OR low_raw > least(open_raw, close_raw) "
+    "OR close_adj <= 0 OR high_adj < greatest(open_adj, close_adj) OR low_adj > least(open_adj, close_adj))"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "mvp_rank_ic": with_(
         "msig sig",
@@ -419,10 +484,11 @@ ORACLE_SQL: dict[str, str] = {
     "mvp_signal": with_("msig", "SELECT " + r("date symbol momentum* forward_return* momentum_z*") + " FROM msig"),
     "research_universe": with_("uni", "SELECT " + r("date symbol is_valid history_observations amount_mean* liquidity_rank is_eligible") + " FROM uni"),
     "forward_labels": with_("lab", "SELECT " + r("date symbol " + " ".join(f"forward_return_{h}* forward_calendar_days_{h} forward_skipped_observations_{h}" for h in H), 9) + " FROM lab"),
-    "month_end_panel": with_("bars sig", "SELECT date, symbol, round(close_adj + 2e-8::DOUBLE, 6) AS close_adj FROM bars SEMI JOIN sig USING (date)"),
+    "month_end_panel": with_("bars sig", "SELECT " + r("date symbol close_adj*", 6, True) + " FROM bars SEMI JOIN sig USING (date)"),
     "factor_panel": with_("pan", "SELECT " + r("date symbol factor_name family raw_value*", 9) + " FROM pan"),
     "preprocess_scores": with_(
-        "sco", "SELECT " + r("date symbol factor_name winsorized_value* score* score_size_neutral* point_in_time_status preprocessing_reason") + " FROM sco WHERE factor_name <> 'amihud_20'"
+        "sco",
+        "SELECT " + r("date symbol factor_name score* score_size_neutral* point_in_time_status preprocessing_reason") + ", round(winsorized_value * CASE WHEN factor_name = 'amihud_20' THEN 1e9::DOUBLE ELSE 1 END, 6) AS winsorized_value FROM sco",
     ),
     "preprocess_scores_amihud": with_(
         "sco",
@@ -537,8 +603,8 @@ SELECT date, symbol, size_group, CAST(row_number() OVER (PARTITION BY date, size
         "SELECT date, symbol, round(score, 6) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.date ORDER BY -p.raw_value DESC NULLS LAST, s.symbol) AS i FROM stat s LEFT JOIN (SELECT * FROM pan WHERE factor_name = 'amihud_20') p ON p.date = s.date AND p.symbol = s.symbol WHERE method = 'family_equal') WHERE i <= 15",
     ),
     "execution_panel": with_("exe", "SELECT " + r("date symbol adv* limit_rate* is_suspended") + " FROM exe"),
-    "rebalance_orders": with_("ord", "SELECT " + r("portfolio_name signal_date date symbol side quantity fill_quantity open_raw* adv* reason", 6, " + 2e-8::DOUBLE") + " FROM ord"),
-    "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*", 6, " + 2e-8::DOUBLE") + " FROM cost"),
+    "rebalance_orders": with_("ord", "SELECT " + r("portfolio_name signal_date date symbol side quantity fill_quantity open_raw* adv* reason", 6, True) + " FROM ord"),
+    "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*", 6, True) + " FROM cost"),
     "fee_coverage": "SELECT CAST(day AS DATE) AS day, 'sz' AS market, CAST(0 AS BIGINT) AS rules FROM generate_series(DATE '2000-01-01', DATE '2000-02-29', INTERVAL 1 DAY) AS t(day)",
     "blocked_orders": with_("ord", "SELECT portfolio_name, side, reason, count(*) AS orders FROM ord WHERE reason IS NOT NULL GROUP BY ALL"),
     "universe_benchmark": with_("bench", "SELECT date, round(ln(equal_weight), 6) AS log_equal_weight, round(ln(cap_weight), 6) AS log_cap_weight, member_count FROM bench"),
@@ -553,7 +619,7 @@ SELECT 'equal_over_cap' AS pair, round(pow(gs, 1 / 6.75) - 1, 6) AS strategy_ann
         "bench", "SELECT 'equal' AS path, CAST(y AS INT) AS year, round(v / lag(v, 1, 1.0) OVER (ORDER BY y) - 1, 6) AS annual_return FROM (SELECT year(date) AS y, arg_max(equal_weight, date) AS v FROM bench GROUP BY 1)"
     ),
     "market_return": with_("mkt", "SELECT " + r("date market_return*") + " FROM mkt"),
-    "market_regimes": with_("reg", "SELECT " + r("date market_return* trailing_market_return* market_volatility* market_trend volatility_regime", 2) + " FROM reg"),
+    "market_regimes": with_("reg", "SELECT " + r("date market_return* trailing_market_return* market_volatility* market_trend volatility_regime") + " FROM reg"),
     "regime_summary": with_(
         "reg mkt",
         """, a0 AS (SELECT date, market_return AS x, 'trend' AS segment_type, market_trend AS segment FROM reg UNION ALL SELECT date, market_return, 'time_period', CASE WHEN date <= DATE '1998-12-31' THEN 'early' ELSE 'late' END FROM mkt),
@@ -611,7 +677,7 @@ SELECT symbol, code, CASE WHEN code LIKE '92%' OR code[1] IN ('4', '8') THEN 'bj
         "UNION ALL SELECT 'second', count(*), round(sum(cash_per_share), 6), count(*) FROM act WHERE share_ratio > 0 AND ex_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'",
     ),
     "first_quote_after_action": with_("act bars", "SELECT a.symbol, a.ex_date, min(b.date) AS date FROM act a JOIN bars b ON b.symbol = a.symbol AND b.date >= a.ex_date GROUP BY ALL"),
-    "marked_positions": with_("pos", "SELECT " + r("portfolio_name date symbol close_price* market_value* is_stale stale_days asset_weight*", 6, " + 2e-8::DOUBLE") + " FROM pos"),
+    "marked_positions": with_("pos", "SELECT " + r("portfolio_name date symbol close_price* market_value* is_stale stale_days asset_weight*", 6, True) + " FROM pos"),
     "shadow_audit": with_(
         "act bars pos cal",
         """, a0 AS (SELECT a.symbol, a.ex_date, a.cash_per_share, a.share_ratio, min(b.date) AS date FROM act a JOIN bars b ON b.symbol = a.symbol AND b.date >= a.ex_date GROUP BY ALL),
@@ -627,7 +693,159 @@ SELECT date, round(sum(d * v) / sum(v), 6) AS portfolio_return_difference, round
 SELECT a0.symbol, first_stale_date, last_stale_date, maximum_stale_days, round(w, 6) AS maximum_asset_weight, CASE WHEN l.last > last_stale_date THEN 'explained_resumption' WHEN e.symbol IS NOT NULL THEN 'explained_security_event' WHEN a0.symbol > '000080' THEN 'explained_public_evidence' ELSE 'unexplained' END AS classification
 FROM a0 LEFT JOIN (SELECT symbol, max(date) AS last FROM bars WHERE date < DATE '2001-06-01' GROUP BY symbol) l ON l.symbol = a0.symbol LEFT JOIN (SELECT DISTINCT symbol FROM act WHERE share_ratio > 0 AND symbol < '000030') e ON e.symbol = a0.symbol""",
     ),
-    "protocol_gate": "SELECT CAST(0 AS BIGINT) AS fatal_rows, CAST(1 AS BIGINT) AS missing_experiments, 'incomplete' AS status",
+    "protocol_gate": with_(
+        "ver",
+        "SELECT count(*) FILTER (status = 'fatal') AS fatal_rows, count(DISTINCT CASE WHEN status = 'not_run' THEN experiment_id END) AS missing_experiments, CASE WHEN count(*) FILTER (status = 'fatal') > 0 THEN 'fatal_defect' WHEN count(*) FILTER (status = 'not_run') > 0 THEN 'incomplete' ELSE 'ready_to_seal' END AS status FROM ver",
+    ),
+    "robustness_verdicts": with_("ver", "SELECT " + r("experiment_id category status metric value* baseline_experiment_id baseline_value* baseline_delta* interpretation") + " FROM ver"),
+    "path_summary": with_(
+        "bench",
+        """, a0 AS (SELECT 'equal' AS path, date, equal_weight AS nav FROM bench UNION ALL SELECT 'cap', date, cap_weight FROM bench),
+a1 AS (SELECT *, nav / lag(nav) OVER w - 1 AS r, nav / max(nav) OVER (PARTITION BY path ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM a0 WINDOW w AS (PARTITION BY path ORDER BY date)),
+a2 AS (SELECT path, min(date) AS start_date, max(date) AS end_date, count(*) AS observations, arg_max(nav, date) / arg_min(nav, date) AS g, avg(r) AS m, stddev_samp(r) AS s, min(d) AS maximum_drawdown FROM a1 GROUP BY path),
+a3 AS (SELECT path, date_trunc('month', date) AS mo, arg_max(nav, date) AS v FROM a0 GROUP BY ALL),
+a4 AS (SELECT path, avg(CAST(q > 0 AS INT)) AS monthly_win_rate FROM (SELECT path, v / lag(v) OVER (PARTITION BY path ORDER BY mo) - 1 AS q FROM a3) WHERE q IS NOT NULL GROUP BY path)
+SELECT a2.path, start_date, end_date, observations, round(g - 1, 6) AS total_return, round(pow(g, 1 / greatest((end_date - start_date) / 365.25::DOUBLE, 1 / 252.0::DOUBLE)) - 1, 6) AS annual_return, round(s * sqrt(252.0::DOUBLE), 6) AS annual_volatility,
+  round(coalesce(m / s * sqrt(252.0::DOUBLE), 0), 6) AS sharpe_zero_rate, round(maximum_drawdown, 6) AS maximum_drawdown, round(monthly_win_rate, 6) AS monthly_win_rate FROM a2 JOIN a4 USING (path)""",
+    ),
+    "fama_macbeth_monthly": with_("fmx", "SELECT " + r("date factor_name coefficient* n_obs r_squared*") + " FROM fmx"),
+    "fama_macbeth_summary": with_("fmx", "")
+    + ",\n"
+    + newey("fmx", "factor_name", "date", "coefficient", "0", "na", 1)
+    + ",\n"
+    + newey("fmx", "factor_name", "date", "coefficient", "CAST(floor(4 * pow(count(*) / 100.0::DOUBLE, 2 / 9.0::DOUBLE)) AS INT)", "nb", 5)
+    + " SELECT na.factor_name, na.n AS months, round(na.mean, 6) AS mean_coefficient, na.lag AS published_lag, round(na.t, 6) AS t_published_lag, nb.lag AS automatic_lag, round(nb.t, 6) AS t_automatic_lag, round(z.a, 6) AS mean_n_obs, round(z.b, 6) AS mean_r_squared"
+    " FROM na JOIN nb USING (factor_name) JOIN (SELECT factor_name, avg(n_obs) AS a, avg(r_squared) AS b FROM fmx GROUP BY factor_name) z USING (factor_name)",
+    "buffered_portfolio": with_("comp sco", "").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, a0 AS (SELECT c.method, c.date, c.symbol, c.score, b.raw_value AS z FROM comp c JOIN sco b ON b.date = c.date AND b.symbol = c.symbol AND b.factor_name = 'log_market_cap' WHERE b.raw_value IS NOT NULL AND c.score IS NOT NULL),
+a1 AS (SELECT *, CAST((row_number() OVER (g ORDER BY z, symbol) - 1) * 5 // count(*) OVER g + 1 AS INT) AS size_group FROM a0 WINDOW g AS (PARTITION BY method, date)),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY method, date, size_group ORDER BY score DESC, symbol) AS group_rank, dense_rank() OVER (PARTITION BY method ORDER BY date) AS m FROM a1),
+a3 AS MATERIALIZED (SELECT * FROM a2 WHERE group_rank <= 4),
+rec AS (SELECT method, date, m, symbol, size_group, group_rank FROM a3 WHERE m = 1 AND group_rank <= 2
+  UNION ALL SELECT method, date, m, symbol, size_group, group_rank FROM (SELECT n.*, row_number() OVER (PARTITION BY n.method, n.size_group ORDER BY CASE WHEN p.symbol IS NULL THEN 1 ELSE 0 END, n.group_rank) AS k
+    FROM a3 n JOIN (SELECT DISTINCT method, m FROM rec) o ON o.method = n.method AND n.m = o.m + 1 LEFT JOIN rec p ON p.method = n.method AND p.symbol = n.symbol) WHERE k <= 2)
+SELECT 'size_stratified_buffered' AS portfolio_name, method, date, symbol, size_group, CAST(group_rank AS INT) AS group_rank, round(1.0::DOUBLE / count(*) OVER (PARTITION BY method, date), 6) AS target_weight FROM rec""",
+    "executable_ic": with_(
+        "obj lab exl",
+        """, a0 AS (SELECT o.*, h.horizon, h.f, h.x FROM obj o JOIN lab l USING (date, symbol) JOIN exl e USING (date, symbol), LATERAL (VALUES (5, l.forward_return_5, e.x5), (20, l.forward_return_20, e.x20)) AS h(horizon, f, x)),
+a1 AS (SELECT object_type, object_name, horizon, count(CASE WHEN f IS NOT NULL AND x IS NOT NULL THEN 1 END) / count(f) AS label_coverage FROM a0 GROUP BY ALL),
+a2 AS (SELECT object_type, object_name, horizon, date, value AS x, u.label, u.y FROM a0, LATERAL (VALUES ('close', f), ('open', a0.x)) AS u(label, y) WHERE f IS NOT NULL AND a0.x IS NOT NULL AND value IS NOT NULL),
+"""
+        + spearman_sql("a2", "object_type, object_name, horizon, label, date", "CASE WHEN object_type = 'factor' THEN 20 ELSE 3 END", "a3", ("few", "flat"))
+        + ",\n"
+        + newey("a3", "object_type, object_name, horizon, label", "date", "c", LAG, "a4")
+        + """, a5 AS (SELECT *, CASE WHEN std > 0 THEN mean / std * sqrt(12.0::DOUBLE) END AS icir FROM a4),
+a6 AS (SELECT object_type, object_name, horizon, max(CASE WHEN label = 'open' THEN n END) AS months, """
+        + ", ".join(f"max(CASE WHEN label = '{side}' THEN {c} END) AS {side}_{n}" for side in ("close", "open") for c, n in (("mean", "mean_ic"), ("icir", "icir"), ("t", "t")))
+        + """ FROM a5 GROUP BY ALL)
+SELECT a1.object_type, a1.object_name, a1.horizon, round(label_coverage, 6) AS label_coverage, months, """
+        + ", ".join(f"round({side}_{n}, 6) AS {side}_{n}" for side in ("close", "open") for n in ("mean_ic", "icir", "t"))
+        + ", round(open_mean_ic - close_mean_ic, 6) AS mean_ic_change, round(open_mean_ic / close_mean_ic, 6) AS mean_ic_retained FROM a1 LEFT JOIN a6 USING (object_type, object_name, horizon)",
+    ),
+    "lag_table": with_(
+        "ic cic per",
+        f""", a0 AS (SELECT 'factor' AS object_type, factor_name AS object_name, date, rank_ic FROM ic WHERE horizon = 20 AND score_variant = {PRIMARY} UNION ALL SELECT 'composite', method, date, rank_ic FROM cic WHERE horizon = 20),
+a1 AS (SELECT period, a0.* FROM a0 JOIN per ON date BETWEEN s AND e),
+"""
+        + newey("a1", "period, object_type, object_name", "date", "rank_ic", "0", "na", 1)
+        + ",\n"
+        + newey("a1", "period, object_type, object_name", "date", "rank_ic", "CAST(floor(4 * pow(count(*) / 100.0::DOUBLE, 2 / 9.0::DOUBLE)) AS INT)", "nb", 5)
+        + " SELECT period, object_type, object_name, na.n AS months, round(na.mean, 6) AS mean_ic, na.lag AS published_lag, round(na.t, 6) AS t_published_lag, nb.lag AS automatic_lag, round(nb.t, 6) AS t_automatic_lag FROM na JOIN nb USING (period, object_type, object_name)",
+    ),
+    "relative_by_period": with_(
+        "bench per",
+        """, a0 AS (SELECT period, (e - s) / 365.25::DOUBLE AS years, date, equal_weight AS x, cap_weight AS y FROM bench JOIN per ON date BETWEEN s AND e OR date = (SELECT max(date) FROM bench WHERE date < s)),
+a1 AS (SELECT *, x / lag(x) OVER w - 1 AS a, y / lag(y) OVER w - 1 AS b FROM a0 WINDOW w AS (PARTITION BY period ORDER BY date)),
+a2 AS (SELECT period, years, arg_max(x, date) / arg_min(x, date) AS gx, arg_max(y, date) / arg_min(y, date) AS gy, stddev_samp(a - b) * sqrt(252.0::DOUBLE) AS te, avg(a - b) AS ma, covar_samp(a, b) / var_samp(b) AS beta, corr(a, b) AS c FROM a1 GROUP BY ALL)
+SELECT period, 'equal_over_cap' AS pair, round(years, 6) AS years, round(pow(gx, 1 / years) - 1, 6) AS strategy_annual_return, round(pow(gy, 1 / years) - 1, 6) AS benchmark_annual_return, round(pow(gx / gy, 1 / years) - 1, 6) AS annual_relative_return, round(te, 6) AS tracking_error, round(ma * 252 / te, 6) AS information_ratio, round(beta, 6) AS beta, round(c, 6) AS correlation FROM a2""",
+    ),
+    "slice_metrics": with_("slc", "SELECT 'equal' AS candidate, " + r("start_date end_date years* annual_return* zero_cost_annual_return* cost_erosion* annual_volatility* maximum_drawdown* turnover*") + " FROM slc"),
+    "slice_verdicts": with_(
+        "slc",
+        """SELECT 'equal' AS experiment_id, metric, round(value, 6) AS value, round(delta, 6) AS delta, CASE WHEN metric = 'maximum_drawdown' THEN CASE WHEN delta >= -0.05 THEN 'stable' ELSE 'sensitive' END WHEN abs(delta) <= t THEN 'stable' ELSE 'sensitive' END AS verdict
+FROM slc, LATERAL (VALUES ('annual_return', annual_return, annual_return - zero_cost_annual_return, 0.02), ('maximum_drawdown', maximum_drawdown, maximum_drawdown - (maximum_drawdown + 0.1), 0.05), ('turnover', turnover, 0.0::DOUBLE, 0.5)) AS u(metric, value, delta, t)""",
+    ),
+    "validation_metrics": with_(
+        "bench dia",
+        """, a0 AS (SELECT date, equal_weight AS nav, cap_weight AS zero FROM bench WHERE date BETWEEN (SELECT max(date) FROM bench WHERE date < DATE '1999-01-01') AND DATE '2001-12-31'),
+a1 AS (SELECT *, nav / lag(nav) OVER w - 1 AS q, nav / max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM a0 WINDOW w AS (ORDER BY date)),
+a2 AS (SELECT (DATE '2001-12-31' - DATE '1999-01-01') / 365.25::DOUBLE AS years, arg_max(nav, date) / arg_min(nav, date) AS g, arg_max(zero, date) / arg_min(zero, date) AS z, stddev_samp(q) AS s, min(d) AS m, max(CASE WHEN date >= DATE '1999-01-01' THEN abs(ln(nav) - ln(zero)) END) AS gap FROM a1)
+SELECT 'equal' AS candidate, round(pow(g, 1 / years) - 1, 6) AS net_annual_return, round(s * sqrt(252.0::DOUBLE), 6) AS annual_volatility, round(m, 6) AS maximum_drawdown, 0.05::DOUBLE AS average_cash_weight, round(t.a, 6) AS turnover, round(t.b, 6) AS average_target_deviation, round(gap, 6) AS maximum_reconciliation_difference,
+  round(pow(z, 1 / years) - pow(g, 1 / years), 6) AS cost_erosion FROM a2, (SELECT avg(one_way_turnover) AS a, avg(max_weight) AS b FROM dia WHERE portfolio_name = 'top20_equal' AND date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31') t""",
+    ),
+    "index_levels": with_("bench", """SELECT date, round(ln(equal_weight), 6) AS "equal", round(ln(cap_weight), 6) AS cap FROM (SELECT *, row_number() OVER (ORDER BY date) AS i FROM bench) WHERE i > 1"""),
+    "index_violations": with_(
+        "idx cal",
+        """, a0 AS (SELECT "index", date, close, CASE WHEN "index" = 'cap' AND day(date) = 15 THEN preclose * 2 ELSE preclose END AS preclose FROM idx WHERE "index" = 'equal' OR day(date) <> 7),
+a1 AS (SELECT *, lag(close) OVER w AS last FROM a0 WINDOW w AS (PARTITION BY "index" ORDER BY date)),
+a2 AS (SELECT "index", count(*) FILTER (date < DATE '1996-01-01' OR date > DATE '2001-06-30') AS outside_range, 0::BIGINT AS duplicate_date, count(*) FILTER (NOT (close > 0 AND preclose > 0)) AS invalid_level, count(*) FILTER (abs(preclose - last) > 1e-9) AS broken_chain, min(date) AS a, max(date) AS b, count(*) AS n FROM a1 GROUP BY 1),
+a3 AS (SELECT a2.*, (SELECT count(*) FROM cal WHERE date BETWEEN a AND b) - n AS missing_date, 0::BIGINT AS unknown_date FROM a2)
+SELECT "index", rule, violations FROM (SELECT "index", outside_range, duplicate_date, invalid_level, broken_chain, missing_date, unknown_date FROM a3) UNPIVOT (violations FOR rule IN (outside_range, duplicate_date, invalid_level, broken_chain, missing_date, unknown_date))""",
+    ),
+    "combination_audit": with_(
+        "stat roll wts",
+        """, a0 AS (SELECT date, method, count(*) AS scored_securities, min(family_count) AS minimum_family_count FROM (SELECT date, method, family_count FROM stat UNION ALL SELECT date, method, family_count FROM roll) GROUP BY ALL)
+SELECT a0.*, fallback_factor_count, minimum_history_months FROM a0 LEFT JOIN (SELECT date, count(*) FILTER (fallback_equal) AS fallback_factor_count, min(history_months) AS minimum_history_months FROM wts GROUP BY date) w USING (date)""",
+    ),
+    "panel_coverage": with_("sco", "SELECT factor_name, family, point_in_time_status, count(*) AS rows, count(score_size_neutral) AS finite_scores, count(*) - count(score_size_neutral) AS missing_scores, round(count(score_size_neutral) / count(*), 6) AS coverage FROM sco GROUP BY ALL"),
+    "redundancy_reasons": with_(
+        "ps",
+        """, a0 AS (SELECT a.date, a.factor_name AS factor_a, b.factor_name AS factor_b, a.value AS x, b.value AS y FROM ps a JOIN ps b ON a.date = b.date AND a.symbol = b.symbol AND a.factor_name <= b.factor_name),
+a1 AS (SELECT * FROM a0 WHERE x IS NOT NULL AND y IS NOT NULL),
+"""
+        + spearman_sql("a1", "date, factor_a, factor_b", 45, "a2", ("insufficient_common_observations", "constant_score"))
+        + """, a3 AS (SELECT factor_a, factor_b, c, CASE WHEN n IS NULL THEN 'insufficient_common_observations' ELSE reason END AS reason FROM (SELECT DISTINCT date, factor_a, factor_b FROM a0) k LEFT JOIN a2 USING (date, factor_a, factor_b)),
+a4 AS (SELECT factor_a, factor_b, reason, count(*) AS n, count(c) AS k FROM a3 GROUP BY ALL)
+SELECT factor_a, factor_b, CAST(sum(k) AS BIGINT) AS common_months, CASE WHEN sum(k) = 0 THEN 'no_valid_common_months:' || string_agg(reason || CASE WHEN n > 1 THEN '=' || n ELSE '' END, ',' ORDER BY reason) END AS reason FROM a4 GROUP BY ALL""",
+    ),
+    "composite_subperiods": with_("cic per", "SELECT period AS subperiod, method, horizon, round(avg(rank_ic), 6) AS mean_ic, count(rank_ic) AS valid_months FROM cic JOIN per ON date BETWEEN s AND e GROUP BY ALL"),
+    "legs_by_period": with_(
+        "cqr per",
+        """, a0 AS (SELECT period, date, method, sum(mean_return * n_obs) / sum(n_obs) AS u, max(CASE WHEN quantile = 5 THEN mean_return END) AS top, max(CASE WHEN quantile = 1 THEN mean_return END) AS low FROM cqr JOIN per ON date BETWEEN s AND e GROUP BY ALL),
+a1 AS (SELECT *, top - u - avg(top - u) OVER g AS el, u - low - avg(u - low) OVER g AS es FROM a0 WHERE top IS NOT NULL AND low IS NOT NULL WINDOW g AS (PARTITION BY period, method)),
+a2 AS (SELECT period, method, count(*) AS months, avg(top - u) AS l, avg(u - low) AS s, sum(el * el) / count(*) AS vl, sum(es * es) / count(*) AS vs FROM a1 GROUP BY period, method)
+SELECT period, method, months, round(l, 6) AS long_leg, round(l / sqrt(vl / months), 6) AS long_leg_t, round(s, 6) AS short_leg, round(s / sqrt(vs / months), 6) AS short_leg_t, round(l + s, 6) AS spread, round(CASE WHEN l + s > 0 THEN l / (l + s) END, 6) AS long_share FROM a2""",
+    ),
+    "quantile_frames": with_(
+        "qr cqr per",
+        f"SELECT period, object_name, quantile, count(*) AS months, round(avg(mean_return), 6) AS mean_return, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM (SELECT date, factor_name AS object_name, quantile, n_obs, mean_return FROM qr WHERE score_variant = {PRIMARY} UNION ALL SELECT date, method, quantile, n_obs, mean_return FROM cqr) JOIN per ON date BETWEEN s AND e GROUP BY period, object_name, quantile",
+    ),
+    "cost_components": with_(
+        "cost",
+        """, a0 AS (SELECT portfolio_name, sum(amount) AS amount, sum(total_cost) AS total, sum(commission) AS commission, sum(stamp_duty) AS stamp_duty, sum(transfer_fee) AS transfer_fee, sum(slippage_cost) AS slippage_cost, sum(impact_cost) AS impact_cost FROM cost GROUP BY 1)
+SELECT portfolio_name, component, round(c * 1e4 / amount, 6) AS bps, round(c / total, 6) AS share FROM a0 UNPIVOT (c FOR component IN (commission, stamp_duty, transfer_fee, slippage_cost, impact_cost))""",
+    ),
+    "correlation_matrix": with_(
+        "red",
+        """, a0 AS (SELECT * FROM (VALUES ('reversal_5', 0), ('reversal_20', 1), ('turnover_20', 2), ('amihud_20', 3), ('log_market_cap', 4)) AS t(name, i))
+SELECT a.i AS "row", b.i AS "column", factor_a, factor_b, round(mean_correlation, 6) AS mean_correlation FROM red JOIN a0 a ON a.name = factor_a JOIN a0 b ON b.name = factor_b""",
+    ),
+    "continuous_targets": with_("tgt", "SELECT date, symbol, round(target_weight, 6) AS target_weight FROM tgt WHERE portfolio_name = CASE WHEN date <= DATE '1998-12-31' THEN 'top10_equal' ELSE 'top20_equal' END"),
+    "applied_actions": with_(
+        "act bars",
+        """, a0 AS (SELECT symbol, arg_max(cash_per_share, effective_date) AS c, arg_max(share_ratio, effective_date) AS q FROM act GROUP BY symbol), a1 AS (SELECT DISTINCT symbol, CAST(symbol AS BIGINT) * 7 + 100 AS shares FROM bars)
+SELECT symbol, CAST(round_even(shares * coalesce(1 + q, 1.0::DOUBLE), 0) AS BIGINT) AS shares, round(shares * coalesce(c, 0), 6) AS cash FROM a1 LEFT JOIN a0 USING (symbol)""",
+    ),
+    "redundancy_input": with_(
+        "sco",
+        """SELECT u.rule, u.n AS violations FROM (SELECT count(*) FILTER (date IS NULL OR symbol IS NULL OR factor_name IS NULL) AS a, count(*) FILTER (trim(symbol) = '' OR trim(factor_name) = '') AS b, count(*) FILTER (date < DATE '1996-06-01' OR date > DATE '2001-06-30') AS c,
+  count(*) - count(DISTINCT (date, symbol, factor_name)) AS d FROM sco) t, LATERAL (VALUES ('null_key', a), ('blank_key', b), ('outside_period', c), ('unknown_factor', 0::BIGINT), ('other_family', 0::BIGINT), ('duplicate_key', d), ('several_signal_dates', 0::BIGINT)) AS u(rule, n)""",
+    ),
+    "metric_tables": with_(
+        "fs red",
+        f""", a0 AS (SELECT DISTINCT factor_name, score_variant, horizon FROM fs WHERE NOT (factor_name = 'bp' AND horizon = 60)), a1 AS (SELECT * FROM red WHERE NOT (factor_a = 'bp' AND factor_b = 'sp_ttm')),
+a2 AS (SELECT factor_a, factor_b FROM a1 WHERE {PLACE.format("factor_a")} < {PLACE.format("factor_b")} AND abs(mean_correlation) >= 0.5)
+SELECT 'missing_metric' AS rule, {3 * sum(1 + f.size_neutral for f in FACTORS)} - count(*) AS violations FROM a0 UNION ALL SELECT 'unknown_metric', 0 UNION ALL SELECT 'duplicate_metric', 0
+UNION ALL SELECT 'asymmetric_pair', count(*) FROM a1 x LEFT JOIN a1 y ON y.factor_a = x.factor_b AND y.factor_b = x.factor_a WHERE y.factor_a IS NULL OR y.mean_correlation IS DISTINCT FROM x.mean_correlation OR y.common_months <> x.common_months
+UNION ALL SELECT 'flag_mismatch', (SELECT count(*) FROM a2 WHERE factor_a = 'reversal_5') + (SELECT count(*) FROM (SELECT factor_a, factor_b FROM red WHERE {PLACE.format("factor_a")} < {PLACE.format("factor_b")} AND abs(mean_correlation) >= 0.5 AND factor_a <> 'reversal_5' EXCEPT SELECT * FROM a2))""",
+    ),
+    "panel_build_counts": with_("lst", f"SELECT year(date) AS year, count(*) AS rows, min(date) AS minimum_date, max(date) AS maximum_date FROM lst WHERE {HERE} AND NOT coalesce({BAD}, false) GROUP BY 1"),
+    "panel_build_records": with_(
+        "lst",
+        f""", a0 AS (SELECT date, count(*) FILTER (NOT ({HERE})) AS a, count(*) FILTER ({HERE} AND coalesce({BAD}, false)) AS b, count(*) FILTER ({HERE} AND NOT coalesce({BAD}, false)) AS kept,
+  count(*) FILTER ({HERE} AND NOT coalesce({BAD}, false) AND (prev_close_raw IS NULL OR prev_close_adj IS NULL)) AS c, count(*) FILTER ({HERE} AND NOT coalesce({BAD}, false) AND (pe_ttm IS NULL OR pb IS NULL OR ps_ttm IS NULL)) AS d FROM lst GROUP BY date)
+SELECT date, u.severity, u.code, u.n AS count FROM a0, LATERAL (VALUES ('warning', 'outside_supported_markets_excluded', a), ('warning', 'invalid_ohlc_quarantined', b), ('warning', 'missing_prev_close', c), ('warning', 'missing_valuation', d), ('error', 'no_rows_left', CASE WHEN kept = 0 THEN 1::BIGINT ELSE 0::BIGINT END)) AS u(severity, code, n) WHERE u.n > 0""",
+    ),
     "candidate_selection": with_(
         "cnw stb",
         """, a0 AS (SELECT c.method AS candidate, mean AS net_annual_return, -top10_turnover AS maximum_drawdown, top10_turnover AS turnover FROM cnw c JOIN stb s ON s.method = c.method WHERE horizon = 20),

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import equal_bucket, market
 from ..functions.statistics import benjamini_hochberg, newey_west, published_lag
-from ..operators import audits, checks, performance, portfolio, preprocess, universe
+from ..operators import audits, checks, performance, portfolio, preprocess, supplements, universe
 from ..operators import combination as comb
 from ..operators import evaluation as ev
 from ..operators.factors import FACTORS, liquidity_proxy, raw_factors
+from ..sources import panel_io
 from ..streaming.events import windowed_events
-from .research import HISTORY, HORIZONS, LOOKBACK, PRIMARY, UNIVERSE, Research, research
+from .research import HISTORY, HORIZONS, LOOKBACK, PERIODS, PRIMARY, UNIVERSE, Research, research
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CONTRACT = checks.Contract(
@@ -22,17 +23,19 @@ CONTRACT = checks.Contract(
 )
 
 
-def rounded(df: DataFrame, digits: int = 6, shift: float = 0.0) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, exact: bool = False) -> DataFrame:
     """Floating columns rounded, so that results of other engines compare equal.
 
-    ``shift`` moves exact decimals off the half-way points, which engines round differently.
+    ``exact`` rounds in decimal arithmetic: columns of short decimals lie on half-way
+    points, which engines round differently as floating numbers.
     """
-    return df.select(*[F.round(F.col(c) + shift, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    number = lambda c: F.round(F.col(c).cast("decimal(28,9)"), digits).cast("double") if exact else F.round(c, digits)
+    return df.select(*[number(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(digits: int = 6, shift: float = 0.0):
+def query(digits: int = 6, exact: bool = False):
     def register(f: Callable[[Research], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(research(spark, sf_dir)), digits, shift)
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(research(spark, sf_dir)), digits, exact)
         return f
 
     return register
@@ -74,7 +77,7 @@ def forward_labels(r):
     return r.labels
 
 
-@query(6, 2e-8)
+@query(6, exact=True)
 def month_end_panel(r):
     return universe.month_ends(r.bars).select("date", "symbol", "close_adj")
 
@@ -100,14 +103,14 @@ def factor_panel(r):
 
 @query()
 def preprocess_scores(r):
-    return r.scored.select("date", "symbol", "factor_name", "winsorized_value", "score", "score_size_neutral", "point_in_time_status", "preprocessing_reason").filter(
-        "factor_name <> 'amihud_20'"
-    )
+    """Values of ``amihud_20`` are given in billionths, so that six digits tell them apart."""
+    value = F.when(F.col("factor_name") == "amihud_20", F.col("winsorized_value") * 1e9).otherwise(F.col("winsorized_value"))
+    return r.scored.select("date", "symbol", "factor_name", value.alias("winsorized_value"), "score", "score_size_neutral", "point_in_time_status", "preprocessing_reason")
 
 
 @query()
 def preprocess_scores_amihud(r):
-    """The factor that ``preprocess_scores`` leaves out; its tiny values are scaled so that six digits tell them apart."""
+    """The factor with the smallest values alone."""
     return r.scored.filter("factor_name = 'amihud_20'").select(
         "date", "symbol", "factor_name", (F.col("winsorized_value") * 1e9).alias("winsorized_value_e9"), "score", "score_size_neutral", "point_in_time_status", "preprocessing_reason"
     )
@@ -307,8 +310,7 @@ def size_groups(r):
 
 @query()
 def buffered_portfolio(r):
-    ranked = portfolio.size_groups(r.composites, r.sizes.join(r.composites.select("method").distinct(), how="cross").select("date", "symbol", "log_market_cap").distinct(), 5)
-    ranked = ranked.withColumn("group_rank", F.row_number().over(Window.partitionBy("method", "date", "size_group").orderBy(F.desc("score"), "symbol")))
+    ranked = portfolio.size_groups(r.composites, r.sizes, 5, ["method"])
     return portfolio.buffered_portfolio(ranked, per_group=2, buffer_rank=4, name="size_stratified_buffered")
 
 
@@ -319,7 +321,7 @@ def rebalance_schedule(r):
 
 @query()
 def liquid_universe(r):
-    return portfolio.liquid_universe(r.static.filter("method = 'family_equal'"), liquidity_proxy(r.panel), 15).select("date", "symbol", "score")
+    return portfolio.liquid_universe(r.static.filter("method = 'family_equal'"), liquidity_proxy(r.panel), 15, strict=False).select("date", "symbol", "score")
 
 
 @query()
@@ -331,7 +333,7 @@ def _orders(r: Research) -> DataFrame:
     return portfolio.rebalance_orders(r.targets, universe.execution_panel(r.bars), r.calendar, capital=1e7, lot=100, participation=0.5)
 
 
-@query(6, 2e-8)
+@query(6, exact=True)
 def rebalance_orders(r):
     return _orders(r)
 
@@ -345,7 +347,7 @@ def _rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return stamp, transfer
 
 
-@query(6, 2e-8)
+@query(6, exact=True)
 def trade_costs(r):
     return portfolio.with_fees(portfolio.priced(_orders(r)), *_rules(r.spark)).select(
         "portfolio_name", "date", "symbol", "side", "fill_quantity", "amount", "commission", "stamp_duty", "transfer_fee", "slippage_cost", "impact_cost", "total_cost"
@@ -409,7 +411,7 @@ def market_return(r):
     return performance.market_return(r.bars)
 
 
-@query(2)
+@query()
 def market_regimes(r):
     return performance.market_regimes(performance.market_return(r.bars), 20, 10)
 
@@ -476,9 +478,7 @@ def contract_violations(r):
 
 @query()
 def frame_statistics(r):
-    from ..sources.panel_io import frame_statistics as stats
-
-    return stats(r.bars)
+    return panel_io.frame_statistics(r.bars)
 
 
 @query()
@@ -526,7 +526,7 @@ def _positions(r: Research) -> DataFrame:
     return audits.marked_positions(r.targets, r.bars, r.calendar)
 
 
-@query(6, 2e-8)
+@query(6, exact=True)
 def marked_positions(r):
     return _positions(r)
 
@@ -544,8 +544,7 @@ def stale_positions(r):
     return audits.stale_intervals(_positions(r), r.bars.filter("date < DATE'2001-06-01'"), events, evidence, 10)
 
 
-@query()
-def robustness_verdicts(r):
+def _verdicts(r: Research) -> DataFrame:
     registry = r.spark.sql("SELECT * FROM VALUES ('portfolio_baseline', 'portfolio'), ('top10_equal', 'portfolio'), ('execution_full_cost', 'execution'), ('never_run', 'factor_ablation') AS t(experiment_id, category)")
     d = portfolio.diagnostics(r.targets).groupBy("portfolio_name").agg(F.avg("one_way_turnover").alias("turnover"), F.avg("hhi").alias("hhi"))
     name = F.when(F.col("portfolio_name") == "top20_equal", "portfolio_baseline").otherwise(F.col("portfolio_name"))
@@ -553,9 +552,14 @@ def robustness_verdicts(r):
     return audits.verdicts(results, registry, turnover=0.05)
 
 
+@query()
+def robustness_verdicts(r):
+    return _verdicts(r)
+
+
 @query()
 def protocol_gate(r):
-    return audits.protocol_gate(r.spark.sql("SELECT * FROM VALUES ('a', 'ready'), ('b', 'not_run'), ('b', 'not_run') AS t(experiment_id, status)"))
+    return audits.protocol_gate(_verdicts(r))
 
 
 @query()
@@ -565,6 +569,193 @@ def candidate_selection(r):
     return audits.select_candidate(summary.join(stable, "candidate"), "candidate_equal", improvement=-0.01, deterioration=0.2, turnover_increase=0.05)
 
 
+# --- tables by period and object, gates ---------------------------------------------
+
+BOUNDARY, LAST = "1998-12-31", "2001-12-31"
+
+
+def _objects(r: Research) -> DataFrame:
+    """Primary factor scores and composites as one table of objects."""
+    factor = ev.primary_scores(r.scored).select(F.lit("factor").alias("object_type"), F.col("factor_name").alias("object_name"), "date", "symbol", "value")
+    composite = r.composites.select(F.lit("composite").alias("object_type"), F.col("method").alias("object_name"), "date", "symbol", F.col("score").alias("value"))
+    return factor.unionByName(composite)
+
+
+@query()
+def executable_ic(r):
+    horizons = (5, 20)
+    labels = universe.executable_labels(r.bars, r.panel.select("date", "symbol").distinct(), horizons, "2001-06-30")
+    rows = _objects(r).join(r.signal_labels.select("date", "symbol", *[f"forward_return_{h}" for h in horizons]), ["date", "symbol"]).join(labels, ["date", "symbol"])
+    return supplements.executable_ic(rows, horizons)
+
+
+@query()
+def lag_table(r):
+    """p and q values are left to ``factor_p_values``, as SQL has no error function."""
+    primary = F.when(F.col("factor_name") == "log_market_cap", "score").otherwise("score_size_neutral")
+    factor = r.ic.filter((F.col("horizon") == PRIMARY) & (F.col("score_variant") == primary)).select(F.lit("factor").alias("object_type"), F.col("factor_name").alias("object_name"), "date", "rank_ic")
+    composite = r.composite_ic.filter(F.col("horizon") == PRIMARY).select(F.lit("composite").alias("object_type"), F.col("method").alias("object_name"), "date", "rank_ic")
+    table = supplements.lag_table(factor.unionByName(composite), PERIODS)
+    return table.select("period", "object_type", "object_name", "months", "mean_ic", "published_lag", "t_published_lag", "automatic_lag", "t_automatic_lag")
+
+
+def _pair(r: Research) -> DataFrame:
+    return _benchmark(r).select("date", F.lit("equal_over_cap").alias("pair"), F.col("equal_weight").alias("strategy"), F.col("cap_weight").alias("benchmark"))
+
+
+@query()
+def relative_by_period(r):
+    return supplements.relative_by_period(_pair(r), PERIODS, ["pair"])
+
+
+def _nav(r: Research) -> DataFrame:
+    """The benchmark's two paths as a net and a costless NAV, with a made-up cash share."""
+    return _benchmark(r).select("date", F.lit("equal").alias("candidate"), F.col("equal_weight").alias("nav"), F.col("cap_weight").alias("zero_cost_nav"), (F.col("equal_weight") * 0.05).alias("cash"))
+
+
+def _slice(r: Research) -> DataFrame:
+    nav = _nav(r)
+    boundary = nav.filter(F.col("date") <= F.lit(BOUNDARY).cast("date")).agg(F.max("date")).first()[0]
+    trades = portfolio.priced(_orders(r)).filter("portfolio_name = 'top20_equal'").select("date", F.lit("equal").alias("candidate"), "amount")
+    return supplements.slice_metrics(nav, trades, ["candidate"], boundary=str(boundary), start="1999-01-01", end=LAST)
+
+
+@query()
+def slice_metrics(r):
+    return _slice(r)
+
+
+@query()
+def slice_verdicts(r):
+    own = _slice(r).withColumnRenamed("candidate", "experiment_id")
+    base = own.withColumn("experiment_id", F.lit("baseline")).withColumn("annual_return", F.col("zero_cost_annual_return")).withColumn("maximum_drawdown", F.col("maximum_drawdown") + 0.1)
+    return supplements.judged(own.unionByName(base), "baseline", {"annual_return": 0.02, "maximum_drawdown": 0.05, "turnover": 0.5})
+
+
+@query()
+def validation_metrics(r):
+    own = portfolio.diagnostics(r.targets).filter("portfolio_name = 'top20_equal'").withColumn("candidate", F.lit("equal"))
+    gap = _nav(r).select("candidate", "date", (F.ln("nav") - F.ln("zero_cost_nav")).alias("difference"))
+    return supplements.validation_metrics(_nav(r), own, own.withColumn("target_deviation_l1", F.col("max_weight")), gap, start="1999-01-01", end=LAST)
+
+
+def _index(r: Research) -> DataFrame:
+    """The benchmark's paths as two published indices, from the third date on."""
+    w = Window.orderBy("date")
+    rows = _benchmark(r).select("date", F.row_number().over(w).alias("i"), *[x for c in ("equal_weight", "cap_weight") for x in (F.col(c), F.lag(c).over(w).alias(f"{c}_before"))])
+    both = F.array(*[F.struct(F.lit(n).alias("index"), F.col(c).alias("close"), F.col(f"{c}_before").alias("preclose")) for n, c in (("equal", "equal_weight"), ("cap", "cap_weight"))])
+    return rows.filter("i > 2").select("date", F.explode(both).alias("x")).select("date", "x.*")
+
+
+@query()
+def index_levels(r):
+    """Levels as natural logarithms, like ``universe_benchmark``."""
+    return supplements.index_levels(_index(r), r.calendar, ["equal", "cap"]).select("date", F.ln("equal").alias("equal"), F.ln("cap").alias("cap"))
+
+
+@query()
+def index_violations(r):
+    broken = _index(r).filter("index = 'equal' OR day(date) <> 7").withColumn("preclose", F.when((F.col("index") == "cap") & (F.day("date") == 15), F.col("preclose") * 2).otherwise(F.col("preclose")))
+    return supplements.index_violations(broken, r.calendar, start="1996-01-01", end="2001-06-30", tolerance=1e-9)
+
+
+@query()
+def combination_audit(r):
+    return supplements.combination_audit(r.composites, r.weights)
+
+
+@query()
+def panel_coverage(r):
+    return supplements.panel_coverage(r.scored)
+
+
+@query()
+def redundancy_reasons(r):
+    return supplements.correlation_reasons(ev.monthly_correlations(r.scored, 45))
+
+
+@query()
+def composite_subperiods(r):
+    return supplements.composite_subperiods(r.composite_ic, PERIODS)
+
+
+@query()
+def legs_by_period(r):
+    return comb.leg_decomposition(supplements.tagged(r.composite_quantiles, PERIODS), ["period", "method"]).withColumn("months", F.col("months").cast("long"))
+
+
+@query()
+def quantile_frames(r):
+    """Mean return of each quantile by period, factors' primary scores and composites together."""
+    primary = F.when(F.col("factor_name") == "log_market_cap", "score").otherwise("score_size_neutral")
+    factor = r.quantiles.filter(F.col("score_variant") == primary).select("date", F.col("factor_name").alias("object_name"), "quantile", "n_obs", "mean_return")
+    both = factor.unionByName(r.composite_quantiles.select("date", F.col("method").alias("object_name"), "quantile", "n_obs", "mean_return"))
+    rows = supplements.tagged(both, PERIODS)
+    return rows.groupBy("period", "object_name", "quantile").agg(F.count(F.lit(1)).alias("months"), F.avg("mean_return").alias("mean_return"), F.sum("n_obs").alias("n_obs"))
+
+
+COSTS = ["commission", "stamp_duty", "transfer_fee", "slippage_cost", "impact_cost"]
+
+
+@query()
+def cost_components(r):
+    trades = portfolio.with_fees(portfolio.priced(_orders(r)), *_rules(r.spark))
+    return supplements.cost_components(trades, ["portfolio_name"], COSTS)
+
+
+@query()
+def correlation_matrix(r):
+    order = [f.name for f in FACTORS if f.family in ("reversal", "liquidity", "size")]
+    return supplements.correlation_matrix(ev.redundancy(r.scored), order)
+
+
+@query()
+def continuous_targets(r):
+    split = F.lit(BOUNDARY).cast("date")
+    early = r.targets.filter((F.col("portfolio_name") == "top10_equal") & (F.col("date") <= split))
+    late = r.targets.filter((F.col("portfolio_name") == "top20_equal") & (F.col("date") > split))
+    return supplements.continuous_targets(early, late, start="1999-01-01", end=LAST)
+
+
+@query()
+def applied_actions(r):
+    """The last action of each symbol on made-up holdings of odd sizes."""
+    last = audits.first_of_each(_actions(r), ["symbol"], [F.desc("effective_date")]).withColumn("action_id", F.col("symbol"))
+    held = r.bars.select("symbol").distinct().withColumn("shares", F.col("symbol").cast("long") * 7 + 100)
+    return audits.apply_actions(held, last)
+
+
+@query()
+def redundancy_input(r):
+    return supplements.redundancy_input_violations(r.scored, start="1996-06-01", end="2001-06-30")
+
+
+@query()
+def metric_tables(r):
+    pairs = ev.redundancy(r.scored)
+    flags = ev.redundancy_flags(pairs, 0.5).filter("factor_a <> 'reversal_5'")
+    return supplements.metric_table_violations(r.summary.filter("NOT (factor_name = 'bp' AND horizon = 60)"), pairs.filter("NOT (factor_a = 'bp' AND factor_b = 'sp_ttm')"), flags, HORIZONS, 0.5)
+
+
+@query()
+def panel_build_counts(r):
+    """Partitions of the panel that a build keeps."""
+    kept, _ = panel_io.cleaned(_listed(r), ("sh", "sz"))
+    return panel_io.year_counts(kept)
+
+
+@query()
+def panel_build_records(r):
+    _, records = panel_io.cleaned(_listed(r), ("sh", "sz"))
+    return records
+
+
+def _listed(r: Research) -> DataFrame:
+    """The bars under codes that spread over all markets."""
+    number = F.lpad((F.substring("symbol", 1, 6).cast("long") * 10007 % 1000000).cast("string"), 6, "0")
+    return r.bars.withColumn("symbol", number)
+
+
 @query()
 def event_windows(r):
     return windowed_events(r.spark.read.parquet(f"{r.sf_dir}/events.parquet"))

@@ -28,15 +28,26 @@ WINDOW, MINIMUM = 24, 12
 _plans: dict = {}
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """Number, bytes and latest change of the files of a table, from the listing alone."""
+    files = spark.read.format("binaryFile").load(path).agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"))
+    return tuple(files.first())
+
+
 def research(spark: SparkSession, sf_dir: str) -> Research:
-    """The plan of a folder, one in each session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The plan of a folder; its stage tables are used again as long as the files of the table they come from stay the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _plans:
-        _plans.clear()
+        forget()
         _plans[key] = Research(spark, sf_dir)
     return _plans[key]
 
 
+def forget() -> None:
+    """Let the next query start from the tables."""
+    _plans.clear()
+
+
 class Research:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir

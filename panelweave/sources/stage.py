@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder below ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process (``local[...]``) may do without the setting; it
+    gets a temporary folder that goes when Python ends.  On a cluster executors would write
+    where nobody reads, so a missing setting raises ValueError.
+    """
+    context = spark.sparkContext
+    name = f"panelweave-{context.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{name}"
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors have no folder in common")
+    if name not in _local:
+        _local[name] = tempfile.mkdtemp(prefix="panelweave-")
+        atexit.register(shutil.rmtree, _local[name], ignore_errors=True)
+    return f"file://{_local[name]}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written to its scratch folder; results that still read from it can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and return a scan of it.
+    """Write ``df`` as Parquet to the scratch folder and return a scan of it.
 
     Later plans start from the scan: they stay small, and nothing before it is computed
-    again when an executor is lost.  Only where the setting is absent (a local test) a
-    temporary folder is made.
+    again when an executor is lost.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="panelweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import average_rank, equal_bucket, invalid_ohlc, market, require_unique, safe_return, ticks
 from panelweave.functions.statistics import benjamini_hochberg, newey_west, spearman
-from panelweave.operators import audits, checks, evaluation, performance, portfolio, universe
+from panelweave.operators import audits, checks, combination, evaluation, performance, portfolio, supplements, universe
 from panelweave.operators.factors import raw_factors
 from panelweave.operators.preprocess import preprocess
 from panelweave.sources import panel_io
@@ -222,9 +222,9 @@ def test_csv_pairs_and_partitions(spark, tmp_path):
         for i in range(2):
             lines = [",".join(headers)]
             for code in ("1", "600000"):
-                values = {"日期": str(day(i)), "代码": code, "是否ST": "否"}
+                values = {"日期": str(day(i)), "代码": code, "是否ST": "否", "上市时间": "1999-01-01", "退市时间": "-", "总股本（股）": "7"}
                 lines.append(",".join(values.get(h, "2.5") for h in headers))
-            (tmp_path / kind / f"{i}.csv").write_text("\n".join(lines))
+            (tmp_path / kind / f"{day(i)}_x.csv").write_text("\n".join(lines))
     both = panel_io.read_daily_pairs(spark, str(tmp_path / "raw"), str(tmp_path / "adj"))
     assert both.count() == 4 and {r["symbol"] for r in both.collect()} == {"000001", "600000"}
     assert both.select("is_st").distinct().collect()[0][0] is False
@@ -232,9 +232,128 @@ def test_csv_pairs_and_partitions(spark, tmp_path):
     assert panel_io.scan_panel(spark, str(tmp_path / "out"), str(day(0)), str(day(0)), ["date", "symbol"]).count() == 2
     good, log = panel_io.quarantine(both)
     assert good.count() == 4 and log.count() == 0
-    (tmp_path / "adj" / "1.csv").unlink()
+    assert {(r["list_date"], r["delist_date"], r["total_shares"], r["is_margin"]) for r in both.collect()} == {(dt.date(1999, 1, 1), None, 7, None)}
+    sides = str(tmp_path / "raw"), str(tmp_path / "adj")
+    years, records = panel_io.build_panel(spark, *sides, f"file://{tmp_path}/built", str(day(0)), str(day(1)), markets=("sh",))
+    assert [(r["year"], r["rows"]) for r in years.collect()] == [(2000, 2)]
+    assert {(r["date"], r["code"], r["count"]) for r in records.filter("code LIKE 'outside%'").collect()} == {(day(0), "outside_supported_markets_excluded", 1), (day(1), "outside_supported_markets_excluded", 1)}
+    with pytest.raises(ValueError, match="no_rows_left"):
+        panel_io.build_panel(spark, *sides, f"file://{tmp_path}/none", str(day(0)), str(day(1)), markets=("bj",))
+    with pytest.raises(ValueError, match="precedes"):
+        panel_io.build_panel(spark, *sides, f"file://{tmp_path}/none", str(day(1)), str(day(0)))
+    late = tmp_path / "adj" / f"{day(1)}_x.csv"
+    late.rename(tmp_path / "adj" / f"{day(2)}_x.csv")
+    with pytest.raises(ValueError, match="not that of its file"):
+        panel_io.read_daily_pairs(spark, *sides, panel_io.FILE_DATE)
+    with pytest.raises(ValueError, match="unpaired"):
+        panel_io.discover_pairs(spark, *sides, str(day(0)), str(day(5)))
+    (tmp_path / "adj" / f"{day(2)}_x.csv").unlink()
+    with pytest.raises(ValueError, match="keys differ"):
+        panel_io.read_daily_pairs(spark, *sides)
+
+
+def test_scans_and_sinks(spark, panel, tmp_path):
+    two = spark.createDataFrame([("000001",), ("000002",), ("000002",)], "symbol string")
+    assert panel_io.scan_symbols(panel, two).select("symbol").distinct().count() == 2 and panel_io.scan_symbols(panel, two).count() == 180
+    assert panel_io.require_range(panel, str(day(0)), str(day(89))) is panel
     with pytest.raises(ValueError):
-        panel_io.read_daily_pairs(spark, str(tmp_path / "raw"), str(tmp_path / "adj"))
+        panel_io.require_range(panel, str(day(0)), str(day(88)))
+    panel_io.write_families(panel.limit(9).withColumn("family", F.lit("value")), str(tmp_path / "families"))
+    assert spark.read.parquet(str(tmp_path / "families")).filter("family = 'value'").count() == 9
+    panel.select("date", "symbol").write.parquet(str(tmp_path / "kept"))
+    assert panel_io.read_verified(spark, str(tmp_path / "kept"), rows=2700, start=str(day(0)), end=str(day(89))).count() == 2700
+    for rows, end in ((2699, day(89)), (2700, day(88))):
+        with pytest.raises(ValueError):
+            panel_io.read_verified(spark, str(tmp_path / "kept"), rows=rows, start=str(day(0)), end=str(end))
+    with pytest.raises(ValueError):
+        checks.require_markets(panel, ("sh",))
+    with pytest.raises(ValueError, match="invalid_ohlc"):
+        checks.raise_on_errors(checks.panel_issues(panel.withColumn("low_adj", F.lit(1e9))))
+    assert frozenset(r["symbol"] for r in audits.first_of_each(panel, ["symbol"], [F.desc("date")]).filter(F.col("date") == day(89)).collect()) == frozenset(f"{s:06d}" for s in range(30))
+
+
+def test_overrides_and_actions(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, x int")
+    over = spark.createDataFrame([("b", 5)], "k string, x int")
+    assert {(r["k"], r["x"]) for r in audits.overridden(rows, over, ["k"], "x", replace=False).collect()} == {("a", 1), ("b", 5)}
+    for bad in ([("a", 2)], [("c", 1)], [("b", 1), ("b", 2)]):
+        with pytest.raises(ValueError):
+            audits.overridden(rows, spark.createDataFrame(bad, "k string, x int"), ["k"], "x", replace=False)
+    held = spark.createDataFrame([("s", 5), ("t", 15), ("u", 3)], "symbol string, shares long")
+    acts = spark.createDataFrame([("1", "s", 0.5, 0.1), ("2", "t", 0.0, 0.1), ("3", "v", 1.0, 1.0)], "action_id string, symbol string, cash_per_share double, share_ratio double")
+    assert {(r["symbol"], r["shares"], r["cash"]) for r in audits.apply_actions(held, acts).collect()} == {("s", 6, 2.5), ("t", 16, 0.0), ("u", 3, 0.0)}
+    with pytest.raises(ValueError):
+        audits.apply_actions(held, acts, acts.select("action_id").limit(1))
+
+
+def test_halves_round_to_even(spark):
+    held = spark.createDataFrame([("s", 5), ("t", 7)], "symbol string, shares long")
+    acts = spark.createDataFrame([("1", "s", 0.0, 0.5), ("2", "t", 0.0, 0.5)], "action_id string, symbol string, cash_per_share double, share_ratio double")
+    assert {r["symbol"]: r["shares"] for r in audits.apply_actions(held, acts).collect()} == {"s": 8, "t": 10}
+
+
+def test_fees_need_one_rule(spark):
+    trades = spark.createDataFrame([("600000", day(1), "buy", 100, 1000.0, 1.0, 1.0), ("430001", day(1), "buy", 100, 1000.0, 1.0, 1.0)], "symbol string, date date, side string, fill_quantity long, amount double, slippage_cost double, impact_cost double")
+    stamp = spark.createDataFrame([(day(0), day(9), 0.0, 0.001)], "start date, end date, buy_rate double, sell_rate double")
+    fee = spark.createDataFrame([(day(0), day(9), "sh", "amount", 0.0001, 0.0)], "start date, end date, market string, basis string, rate double, minimum double")
+    assert portfolio.with_fees(trades.filter("symbol = '600000'"), stamp, fee).first()["total_cost"] == pytest.approx(5.0 + 0.1 + 2.0)
+    with pytest.raises(Exception, match="no transfer fee rule for 430001"):
+        portfolio.with_fees(trades, stamp, fee).collect()
+    with pytest.raises(ValueError, match="overlap"):
+        portfolio.with_fees(trades, stamp.unionByName(stamp), fee)
+
+
+def test_a_turnover_of_one_half_is_no_warning(spark):
+    rows = [("p", day(0), f"{i}", 1 / 6) for i in range(6)] + [("p", day(30), f"{i + 3}", 1 / 6) for i in range(6)]
+    d = portfolio.diagnostics(spark.createDataFrame(rows, "portfolio_name string, date date, symbol string, target_weight double"))
+    assert {r["date"]: r["one_way_turnover"] for r in d.collect()}[day(30)] == 0.5
+
+
+def test_positions_are_held_to_the_end(spark):
+    bars = spark.createDataFrame([(day(i), "a", 1.0 + i) for i in range(0, 60, 5)], "date date, symbol string, close_raw double")
+    targets = spark.createDataFrame([("p", day(10), "a", 1.0)], "portfolio_name string, date date, symbol string, target_weight double")
+    got = audits.marked_positions(targets, bars, universe.next_dates(bars)).collect()
+    assert sorted(r["date"] for r in got) == [day(i) for i in range(10, 60, 5)]
+
+
+def test_gates(spark):
+    registry = [(n, f, "candidate", "score_size_neutral") for f, ns in combination.CANDIDATES.items() for n in ns]
+    schema = "factor_name string, family string, classification string, primary_score_variant string"
+    assert supplements.require_registry(spark.createDataFrame([*registry, ("bp", "value", "watch", "score")], schema)).count() == 7
+    for bad in (registry[1:], [*registry, ("bp", "value", "candidate", "score_size_neutral")], [(*registry[0][:1], "size", *registry[0][2:]), *registry[1:]]):
+        with pytest.raises(ValueError):
+            supplements.require_registry(spark.createDataFrame(bad, schema))
+    prices = spark.createDataFrame([(day(1), "a")], "date date, symbol string")
+    schema = "signal_date date, execution_date date, symbol string, target_weight double"
+    assert supplements.require_targets(spark.createDataFrame([(day(0), day(1), "a", 1.0)], schema), prices).count() == 1
+    for bad in ([(day(1), day(1), "a", 1.0)], [(day(0), day(2), "a", 1.0)], [(day(0), day(1), "a", 0.5)] * 2):
+        with pytest.raises(ValueError):
+            supplements.require_targets(spark.createDataFrame(bad, schema), prices)
+    weights = spark.createDataFrame([(day(0), "a", 1.0)], "date date, symbol string, target_weight double")
+    with pytest.raises(ValueError, match="cross"):
+        supplements.continuous_targets(weights, weights, start=str(day(0)), end=str(day(9)))
+    with pytest.raises(ValueError, match="labels"):
+        supplements.redundancy_input_violations(weights.withColumn("forward_return_5", F.lit(1.0)), start="2000-01-01", end="2000-12-31")
+    index = spark.createDataFrame([("i", day(1), 2.0, 1.0), ("i", day(2), 3.0, 2.0)], "index string, date date, close double, preclose double")
+    days = spark.createDataFrame([(day(i),) for i in range(4)], "date date")
+    assert [(r["date"], r["i"]) for r in supplements.index_levels(index, days, ["i"]).orderBy("date").collect()] == [(day(0), 1.0), (day(1), 2.0), (day(2), 3.0)]
+    with pytest.raises(ValueError):
+        supplements.index_levels(index.filter(F.col("date") == day(1)).unionByName(index.withColumn("date", F.lit(day(3))).limit(1)), days, ["i"])
+    nav = spark.createDataFrame([("c", day(i), 1.0 + i, 1.0 + i, 0.0) for i in range(4)], "candidate string, date date, nav double, zero_cost_nav double, cash double")
+    with pytest.raises(ValueError, match="boundary"):
+        supplements.slice_metrics(nav, nav.withColumn("amount", F.lit(1.0)), ["candidate"], boundary=str(day(9)), start=str(day(9)), end=str(day(99)))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from panelweave.sources.stage import scratch_dir
+
+    session = lambda base, master: SimpleNamespace(conf={"spark.checkpoint.dir": base} if base else {}, sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    assert scratch_dir(session("s3://b/x/", "yarn")) == "s3://b/x/panelweave-app"
+    assert scratch_dir(session(None, "local[4]")).startswith("file:///")
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(session(None, "yarn"))
 
 
 def test_event_stream_equals_batch(spark, tmp_path):
