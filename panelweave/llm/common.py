@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from ..sources.stage import scratch_dir
 
-    The session names it in ``spark.checkpoint.dir``; only where that is unset (a
-    local test session) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="panelweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
