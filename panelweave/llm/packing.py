@@ -32,12 +32,20 @@ _OUT = pa.schema([*[(c, pa.int64()) for c in _FIELDS], ("part", pa.int64()), ("i
 
 _encoders: dict = {}
 
+# Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+
+
+def _bytes_of(token: str) -> bytes:
+    return bytes(_BYTE[c] for c in token)
+
 
 def encoder(json_path: str):
     """text -> token ids, as the ``tokenizers`` file says with add_special_tokens=False.
 
-    The same vocabulary as byte-pair ranks runs several times faster, so ranks are read
-    out of the file and used; only a text that spells a special token goes through the
+    The same vocabulary as byte-pair ranks runs several times faster, so the ranks beside the
+    file are used once every token of both has proved to stand for the same bytes; only a text that spells a special token goes through the
     file's own tokenizer.  One encoder is kept in each Python worker.
     """
     if json_path not in _encoders:
@@ -54,7 +62,8 @@ def encoder(json_path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(json_path) as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        if not set(vocabulary.values()) - set(own.get_added_tokens_decoder()) <= set(ranks.values()):
+        added = set(own.get_added_tokens_decoder())
+        if {_bytes_of(t): i for t, i in vocabulary.items() if i not in added} != {t: i for t, i in ranks.items() if i not in added}:
             raise ValueError(f"{twin} is not the vocabulary of {json_path}")
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 

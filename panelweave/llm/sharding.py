@@ -83,7 +83,10 @@ class Packing:
 
 
 def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int) -> Packing:
-    """Pack ``count`` groups of each ``size`` (sizes decreasing); a group over the capacity gets a bin alone."""
+    """Pack ``count`` groups of each ``size`` (sizes decreasing); a group over the capacity gets a bin alone.
+
+    The open bins stand on the driver: some hundred bytes a bin, whatever lies in it.
+    """
     tree, out, rank = Tree(), Packing([], [], [], 0), 0
     for size, count in classes:
         while count:

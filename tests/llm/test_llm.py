@@ -99,6 +99,12 @@ def test_shares_are_even():
     classes = sorted(collections.Counter(R.randint(1, 4000) for _ in range(5000)).items(), reverse=True)
     packed = sharding.smallest_capacity(classes, 16)
     assert packed.n_bins == 16
+    loads, sizes = collections.Counter(), [s for s, n in classes for _ in range(n)]
+    for a, b, bin_, step in zip(packed.starts, [*packed.starts[1:], len(sizes)], packed.bins, packed.step, strict=True):
+        for k in range(a, b):
+            loads[bin_ + ((k - a) // step if step else 0)] += sizes[k]
+    even = sum(loads.values()) / 16
+    assert len(loads) == 16 and all(0.99 * even <= x <= 1.01 * even for x in loads.values())
 
 
 def test_packing(spark, docs, empty):
@@ -130,6 +136,18 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    own, encode = Tokenizer.from_file(path), packing.encoder(path)
+    rng = random.Random(9)
+    odd = ["\u200b\u00ad\ufeff", "e\u0301 \u00e9", "\U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1e9\U0001f1ea", "\x00\x1f\x7f\x85\xa0", "\u2028\u3000\u1680x", "\uff21\uff11 \u0661\u0662", "a" * 3000, " " * 500 + "\t\r\n" * 50, "it's IT'S we\u2019ll", "<|endoftext|>", "\ufffd\ufffe\U0010ffff"]
+    odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(128, 0x3000), rng.randrange(0x10000, 0x1F000)])) for _ in range(200)) for _ in range(40)]
+    for t in odd:
+        assert encode(t) == own.encode(t, add_special_tokens=False).ids
+
+
 def shingles(t):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
