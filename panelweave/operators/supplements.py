@@ -286,11 +286,8 @@ def _rules(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in tests])).alias("x")).select("x.*")
 
 
-def redundancy_input_violations(panel: DataFrame, *, start: str, end: str) -> DataFrame:
-    """rule, violations of a scored panel before its factors are compared; a panel with labels raises ValueError."""
-    labels = [c for c in panel.columns if c.startswith("forward_")]
-    if labels:
-        raise ValueError("factor comparison must not see labels: " + ", ".join(labels))
+def panel_input_violations(panel: DataFrame, *, start: str, end: str) -> DataFrame:
+    """rule, violations of a scored panel before it is evaluated: keys, period, registered factors and families, one status a factor."""
     family = F.create_map(*[x for f in FACTORS for x in (F.lit(f.name), F.lit(f.family))])[F.col("factor_name")]
     rows = _rules(
         panel,
@@ -305,7 +302,19 @@ def redundancy_input_violations(panel: DataFrame, *, start: str, end: str) -> Da
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
     twice = panel.groupBy("date", "symbol", "factor_name").count().filter("count > 1")
     months = panel.select("factor_name", "date").distinct().groupBy("factor_name", F.trunc("date", "month")).count().filter("count > 1")
-    return rows.unionByName(count(twice, "duplicate_key")).unionByName(count(months, "several_signal_dates"))
+    out = rows.unionByName(count(twice, "duplicate_key")).unionByName(count(months, "several_signal_dates"))
+    if "point_in_time_status" in panel.columns:
+        odd = panel.groupBy("factor_name").agg(F.countDistinct("point_in_time_status").alias("n")).filter("n > 1")
+        out = out.unionByName(count(odd, "several_statuses"))
+    return out
+
+
+def redundancy_input_violations(panel: DataFrame, *, start: str, end: str) -> DataFrame:
+    """:func:`panel_input_violations` before factors are compared; a panel with labels raises ValueError."""
+    labels = [c for c in panel.columns if c.startswith("forward_")]
+    if labels:
+        raise ValueError("factor comparison must not see labels: " + ", ".join(labels))
+    return panel_input_violations(panel, start=start, end=end)
 
 
 def metric_table_violations(summary: DataFrame, correlations: DataFrame, flags: DataFrame, horizons: tuple[int, ...], threshold: float) -> DataFrame:
@@ -347,9 +356,100 @@ def require_targets(targets: DataFrame, prices: DataFrame) -> DataFrame:
     require_none(targets, F.coalesce(F.col("execution_date") <= F.col("signal_date"), F.lit(True)), "execution must come after the signal")
     days = prices.select(F.col("date").alias("execution_date")).distinct()
     require_none(targets.join(days, "execution_date", "left_anti"), F.lit(True), "an execution date is missing from prices")
+    each = targets.groupBy("execution_date").agg(F.countDistinct("signal_date").alias("signals"), F.sum("target_weight").alias("w"), F.count_if(~(finite("target_weight") & (F.col("target_weight") >= 0))).alias("odd"))
+    require_none(each, F.col("signals") != 1, "an execution date has several signals")
+    require_none(each, (F.col("odd") > 0) | (F.abs(F.col("w") - 1) > 1e-9), "weights must be finite, not negative, and sum to one")
     return targets
 
 
 def ic_p_values(table: DataFrame, t: str = "t") -> DataFrame:
     """Adds the two-sided normal p-value of a column of t values."""
     return table.withColumn("p", two_sided_p(t))
+
+
+def ic_summary(ic: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, months, mean_ic, ic_std, icir (a year), positive_ic_rate of monthly rank correlations; null months are left out."""
+    valid = F.when(finite("rank_ic"), F.col("rank_ic"))
+    out = ic.groupBy(*(keys or [])).agg(
+        F.count(valid).alias("months"), F.avg(valid).alias("mean_ic"), F.stddev_samp(valid).alias("ic_std"), F.avg((valid > 0).cast("int")).alias("positive_ic_rate")
+    )
+    return out.withColumn("icir", F.when(F.col("ic_std") > 0, F.try_divide("mean_ic", "ic_std") * math.sqrt(12.0)))
+
+
+def attach_composite_metrics(metrics: DataFrame, summary: DataFrame, methods: dict[str, str], horizon: int = 20) -> DataFrame:
+    """Adds rank_ic, icir and monotonicity of the composite behind each candidate (``methods``: candidate to method)."""
+    rows = summary.filter(F.col("horizon") == horizon)
+    require_unique(rows, ["method"], "composite summary")
+    own = rows.select(F.col("method").alias("__m"), F.col("mean_ic").alias("rank_ic"), "icir", "monotonicity")
+    method = F.create_map(*[x for c, m in methods.items() for x in (F.lit(c), F.lit(m))])[F.col("candidate")]
+    return metrics.withColumn("__m", method).join(F.broadcast(own), "__m", "left").drop("__m")  # one row a method
+
+
+def target_violations(targets: DataFrame, keys: list[str], *, names: int, before: str | None = None, tolerance: float = 1e-10) -> DataFrame:
+    """rule, violations: dates with another number of names or weights that do not sum to one; rows with bad weights or dates from ``before`` on."""
+    by_date = targets.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("n"), F.sum("target_weight").alias("w"))
+    rows = {"bad_weight": ~(finite("target_weight") & (F.col("target_weight") >= 0))}
+    if before:
+        rows["late_date"] = F.col("date") >= F.lit(before).cast("date")
+    return _rules(by_date, {"other_count": F.col("n") != names, "other_sum": F.abs(F.col("w") - 1) > tolerance}).unionByName(_rules(targets, rows))
+
+
+def sealed_dates(tables: dict[str, DataFrame], sealed: str) -> DataFrame:
+    """table, column, latest, is_sealed: the last value of each date column named ``date`` or ``*_date``, and whether it stays before ``sealed``."""
+    out = None
+    for name, df in tables.items():
+        columns = [f.name for f in df.schema.fields if f.dataType.typeName() == "date" and (f.name == "date" or f.name.endswith("_date"))]
+        if not columns:
+            continue
+        found = df.agg(*[F.max(c).alias(c) for c in columns]).unpivot([], columns, "column", "latest").select(F.lit(name).alias("table"), "column", "latest")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no table has a date column")
+    return out.withColumn("is_sealed", F.coalesce(F.col("latest") < F.lit(sealed).cast("date"), F.lit(True)))
+
+
+def source_coverage(expected: DataFrame, cached: DataFrame, payments: DataFrame) -> DataFrame:
+    """status, expected_symbols, cached_symbols, missing_symbols, payment_dates_missing of an action cache.
+
+    ``expected``, ``cached``: symbol; ``payments``: symbol, cash_per_share, payment_date.  The
+    status is ``blocked`` if a symbol is not cached or a cash payment has no date.
+    """
+    want, have = expected.select("symbol").distinct(), cached.select("symbol").distinct().withColumn("__have", F.lit(1))
+    symbols = want.withColumn("__want", F.lit(1)).join(have, "symbol", "full_outer").agg(
+        F.count("__want").alias("expected_symbols"), F.count("__have").alias("cached_symbols"), F.count_if(F.col("__have").isNull()).alias("missing_symbols")
+    )
+    unpaid = payments.agg(F.count_if((F.col("cash_per_share") > 0) & F.col("payment_date").isNull()).alias("payment_dates_missing"))
+    rows = symbols.crossJoin(unpaid)  # one row each
+    blocked = (F.col("missing_symbols") > 0) | (F.col("payment_dates_missing") > 0)
+    return rows.withColumn("status", F.when(blocked, "blocked").otherwise("ready"))
+
+
+VARIANT = ("portfolio_size", "buffer_rank", "universe_size", "rebalance_months")
+
+
+def variant_parameters(baseline: dict[str, int], variants: dict[str, dict[str, int]]) -> dict[str, dict[str, int]]:
+    """All parameters of each portfolio variant; a variant that does not change just one of the baseline's raises ValueError."""
+    if set(baseline) != set(VARIANT):
+        raise ValueError("the baseline needs " + ", ".join(VARIANT))
+    full = {}
+    for name, own in variants.items():
+        full[name] = baseline | own
+        if set(own) - set(VARIANT) or sum(full[name][k] != baseline[k] for k in VARIANT) != 1:
+            raise ValueError(f"a variant must change one assumption: {name}")
+    return {"baseline": dict(baseline)} | full
+
+
+def variant_targets(scores: DataFrame, sizes: DataFrame, liquidity: DataFrame, parameters: dict[str, dict[str, int]], groups: int = 5, strict: bool = True) -> DataFrame:
+    """variant and the size-stratified buffered targets of each: liquid universe, schedule, groups, buffer."""
+    from .portfolio import buffered_portfolio, liquid_universe, rebalance_schedule, size_groups
+
+    ranked = None
+    for name, p in parameters.items():
+        if p["portfolio_size"] % groups:
+            raise ValueError("the portfolio size must be a multiple of the size groups")
+        rows = rebalance_schedule(liquid_universe(scores, liquidity, p["universe_size"], strict), p["rebalance_months"])
+        kept = buffered_portfolio(
+            size_groups(rows, sizes, groups).withColumn("variant", F.lit(name)), per_group=p["portfolio_size"] // groups, buffer_rank=p["buffer_rank"], name="size_stratified_buffered", scenario="variant"
+        )
+        ranked = kept if ranked is None else ranked.unionByName(kept)
+    return ranked

@@ -466,6 +466,15 @@ cte(
     "lst AS (SELECT * REPLACE (lpad(CAST(CAST(symbol AS BIGINT) * 10007 % 1000000 AS VARCHAR), 6, '0') AS symbol) FROM bars)",
     "bars",
 )
+#: Months in order: members of the month before stay while they rank within the buffer, the best of a size group fill up.
+BUFFERED = """
+a1 AS (SELECT *, CAST((row_number() OVER (g ORDER BY z, symbol) - 1) * 5 // count(*) OVER g + 1 AS INT) AS size_group FROM a0 WINDOW g AS (PARTITION BY k, date)),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY k, date, size_group ORDER BY score DESC, symbol) AS group_rank, dense_rank() OVER (PARTITION BY k ORDER BY date) AS m FROM a1),
+a3 AS MATERIALIZED (SELECT * FROM a2 WHERE group_rank <= greatest(buffer, 2 * per_group)),
+rec AS (SELECT k, date, m, symbol, size_group, group_rank FROM a3 WHERE m = 1 AND group_rank <= per_group
+  UNION ALL SELECT k, date, m, symbol, size_group, group_rank FROM (SELECT n.*, row_number() OVER (PARTITION BY n.k, n.size_group ORDER BY CASE WHEN p.symbol IS NOT NULL AND n.group_rank <= n.buffer THEN 0 ELSE 1 END, n.group_rank) AS place
+    FROM a3 n JOIN (SELECT DISTINCT k, m FROM rec) o ON o.k = n.k AND n.m = o.m + 1 LEFT JOIN rec p ON p.k = n.k AND p.symbol = n.symbol) WHERE place <= per_group)
+SELECT 'size_stratified_buffered' AS portfolio_name, k AS {k}, date, symbol, size_group, CAST(group_rank AS INT) AS group_rank, round(1.0::DOUBLE / count(*) OVER (PARTITION BY k, date), 6) AS target_weight FROM rec"""
 HERE = "symbol NOT LIKE '92%' AND symbol[1] IN ('0', '1', '2', '3', '5', '6', '9')"
 BAD = (
     "(open_raw <= 0 OR high_raw <= 0 OR low_raw <= 0 OR close_raw <= 0 OR high_raw < greatest(open_raw, close_raw) OR low_raw > least(open_raw, close_raw) "
@@ -717,14 +726,46 @@ SELECT a2.path, start_date, end_date, observations, round(g - 1, 6) AS total_ret
     + " SELECT na.factor_name, na.n AS months, round(na.mean, 6) AS mean_coefficient, na.lag AS published_lag, round(na.t, 6) AS t_published_lag, nb.lag AS automatic_lag, round(nb.t, 6) AS t_automatic_lag, round(z.a, 6) AS mean_n_obs, round(z.b, 6) AS mean_r_squared"
     " FROM na JOIN nb USING (factor_name) JOIN (SELECT factor_name, avg(n_obs) AS a, avg(r_squared) AS b FROM fmx GROUP BY factor_name) z USING (factor_name)",
     "buffered_portfolio": with_("comp sco", "").replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, a0 AS (SELECT c.method, c.date, c.symbol, c.score, b.raw_value AS z FROM comp c JOIN sco b ON b.date = c.date AND b.symbol = c.symbol AND b.factor_name = 'log_market_cap' WHERE b.raw_value IS NOT NULL AND c.score IS NOT NULL),
-a1 AS (SELECT *, CAST((row_number() OVER (g ORDER BY z, symbol) - 1) * 5 // count(*) OVER g + 1 AS INT) AS size_group FROM a0 WINDOW g AS (PARTITION BY method, date)),
-a2 AS (SELECT *, row_number() OVER (PARTITION BY method, date, size_group ORDER BY score DESC, symbol) AS group_rank, dense_rank() OVER (PARTITION BY method ORDER BY date) AS m FROM a1),
-a3 AS MATERIALIZED (SELECT * FROM a2 WHERE group_rank <= 4),
-rec AS (SELECT method, date, m, symbol, size_group, group_rank FROM a3 WHERE m = 1 AND group_rank <= 2
-  UNION ALL SELECT method, date, m, symbol, size_group, group_rank FROM (SELECT n.*, row_number() OVER (PARTITION BY n.method, n.size_group ORDER BY CASE WHEN p.symbol IS NULL THEN 1 ELSE 0 END, n.group_rank) AS k
-    FROM a3 n JOIN (SELECT DISTINCT method, m FROM rec) o ON o.method = n.method AND n.m = o.m + 1 LEFT JOIN rec p ON p.method = n.method AND p.symbol = n.symbol) WHERE k <= 2)
-SELECT 'size_stratified_buffered' AS portfolio_name, method, date, symbol, size_group, CAST(group_rank AS INT) AS group_rank, round(1.0::DOUBLE / count(*) OVER (PARTITION BY method, date), 6) AS target_weight FROM rec""",
+    + ", a0 AS (SELECT c.method AS k, c.date, c.symbol, c.score, b.raw_value AS z, 2 AS per_group, 4 AS buffer FROM comp c JOIN sco b ON b.date = c.date AND b.symbol = c.symbol AND b.factor_name = 'log_market_cap' WHERE b.raw_value IS NOT NULL AND c.score IS NOT NULL),"
+    + BUFFERED.format(k="method"),
+    "variant_targets": with_("roll pan sco", "").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, b0 AS (SELECT * FROM (VALUES ('baseline', 4, 25, 1), ('quarterly', 4, 25, 3), ('tight_buffer', 2, 25, 1), ('wide', 4, 40, 1)) AS v(k, buffer, universe, every)),
+b1 AS (SELECT r.*, dense_rank() OVER (ORDER BY r.date) - 1 AS month, row_number() OVER (PARTITION BY r.date ORDER BY -p.raw_value DESC NULLS LAST, r.symbol) AS i FROM roll r LEFT JOIN (SELECT * FROM pan WHERE factor_name = 'amihud_20') p ON p.date = r.date AND p.symbol = r.symbol),
+a0 AS (SELECT b0.k, c.date, c.symbol, c.score, s.raw_value AS z, 2 AS per_group, b0.buffer FROM b1 c JOIN b0 ON c.i <= universe AND month % every = 0 JOIN sco s ON s.date = c.date AND s.symbol = c.symbol AND s.factor_name = 'log_market_cap' WHERE s.raw_value IS NOT NULL),"""
+    + BUFFERED.format(k="variant"),
+    "mvp_ic_summary": with_(
+        "msig sig",
+        """, a0 AS (SELECT date, momentum_z AS x, forward_return AS y FROM msig SEMI JOIN sig USING (date) WHERE momentum_z IS NOT NULL AND forward_return IS NOT NULL),
+"""
+        + spearman_sql("a0", "date", 20, "a1", ("few", "flat"))
+        + " SELECT count(c) AS months, round(avg(c), 6) AS mean_ic, round(stddev_samp(c), 6) AS ic_std, round(avg(CAST(c > 0 AS INT)), 6) AS positive_ic_rate, round(avg(c) / stddev_samp(c) * sqrt(12.0::DOUBLE), 6) AS icir FROM a1",
+    ),
+    "supplement_ic": with_(
+        "comp lab",
+        """, a0 AS (SELECT c.date, c.method, c.score AS x, l.forward_return_60 AS y FROM comp c JOIN lab l USING (date, symbol) WHERE score IS NOT NULL AND l.forward_return_60 IS NOT NULL),
+"""
+        + spearman_sql("a0", "date, method", 3, "a1", ("insufficient_observations", "constant_score"))
+        + " SELECT date, method, n AS n_obs, round(c, 6) AS rank_ic, reason FROM a1",
+    ),
+    "attached_metrics": with_(
+        "stb cnw cqs",
+        "SELECT s.method || '_top' AS candidate, round(top10_turnover, 6) AS top10_turnover, round(c.mean, 6) AS rank_ic, round(CASE WHEN std > 0 THEN c.mean / std * sqrt(12.0::DOUBLE) END, 6) AS icir, round(q.monotonicity, 6) AS monotonicity FROM stb s LEFT JOIN cnw c ON c.method = s.method AND c.horizon = 20 LEFT JOIN cqs q ON q.method = s.method",
+    ),
+    "target_contract": with_(
+        "tgt",
+        """, a0 AS (SELECT portfolio_name, date, count(*) AS n, sum(target_weight) AS w FROM tgt GROUP BY ALL)
+SELECT 'other_count' AS rule, count(*) FILTER (n <> 10) AS violations FROM a0 UNION ALL SELECT 'other_sum', count(*) FILTER (abs(w - 1) > 1e-10) FROM a0 UNION ALL SELECT 'bad_weight', count(*) FILTER (target_weight < 0) FROM tgt UNION ALL SELECT 'late_date', count(*) FILTER (date >= DATE '2001-06-30') FROM tgt""",
+    ),
+    "sealed_dates": with_(
+        "bars sco wts tgt",
+        """, a0 AS (SELECT 'bars' AS "table", 'date' AS "column", max(date) AS latest FROM bars UNION ALL SELECT 'scores', 'date', max(date) FROM sco UNION ALL SELECT 'weights', 'date', max(date) FROM wts UNION ALL SELECT 'weights', 'history_end_date', max(history_end) FROM wts UNION ALL SELECT 'targets', 'date', max(date) FROM tgt)
+SELECT *, latest < DATE '2001-11-01' AS is_sealed FROM a0""",
+    ),
+    "source_coverage": with_(
+        "act bars",
+        """, a0 AS (SELECT count(DISTINCT symbol) AS e FROM bars), a1 AS (SELECT count(DISTINCT symbol) AS c FROM act WHERE share_ratio > 0), a2 AS (SELECT count(DISTINCT symbol) AS m FROM bars WHERE symbol NOT IN (SELECT symbol FROM act WHERE share_ratio > 0)), a3 AS (SELECT count(*) FILTER (cash_per_share > 0 AND day(ex_date) = 9) AS p FROM act)
+SELECT e AS expected_symbols, c AS cached_symbols, m AS missing_symbols, p AS payment_dates_missing, CASE WHEN m > 0 OR p > 0 THEN 'blocked' ELSE 'ready' END AS status FROM a0, a1, a2, a3""",
+    ),
     "executable_ic": with_(
         "obj lab exl",
         """, a0 AS (SELECT o.*, h.horizon, h.f, h.x FROM obj o JOIN lab l USING (date, symbol) JOIN exl e USING (date, symbol), LATERAL (VALUES (5, l.forward_return_5, e.x5), (20, l.forward_return_20, e.x20)) AS h(horizon, f, x)),
@@ -829,7 +870,7 @@ SELECT symbol, CAST(round_even(shares * coalesce(1 + q, 1.0::DOUBLE), 0) AS BIGI
     "redundancy_input": with_(
         "sco",
         """SELECT u.rule, u.n AS violations FROM (SELECT count(*) FILTER (date IS NULL OR symbol IS NULL OR factor_name IS NULL) AS a, count(*) FILTER (trim(symbol) = '' OR trim(factor_name) = '') AS b, count(*) FILTER (date < DATE '1996-06-01' OR date > DATE '2001-06-30') AS c,
-  count(*) - count(DISTINCT (date, symbol, factor_name)) AS d FROM sco) t, LATERAL (VALUES ('null_key', a), ('blank_key', b), ('outside_period', c), ('unknown_factor', 0::BIGINT), ('other_family', 0::BIGINT), ('duplicate_key', d), ('several_signal_dates', 0::BIGINT)) AS u(rule, n)""",
+  count(*) - count(DISTINCT (date, symbol, factor_name)) AS d FROM sco) t, LATERAL (VALUES ('null_key', a), ('blank_key', b), ('outside_period', c), ('unknown_factor', 0::BIGINT), ('other_family', 0::BIGINT), ('duplicate_key', d), ('several_signal_dates', 0::BIGINT), ('several_statuses', 0::BIGINT)) AS u(rule, n)""",
     ),
     "metric_tables": with_(
         "fs red",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import equal_bucket, market
-from ..functions.statistics import benjamini_hochberg, newey_west, published_lag
+from ..functions.statistics import benjamini_hochberg, newey_west, published_lag, spearman
 from ..operators import audits, checks, performance, portfolio, preprocess, supplements, universe
 from ..operators import combination as comb
 from ..operators import evaluation as ev
@@ -49,8 +49,6 @@ def mvp_rank_ic(r):
     uni = universe.simple_universe(r.bars, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE)
     signal = universe.month_ends(universe.momentum_signal(uni, lookback=8, horizon=4))
     names = ("insufficient_stocks", "constant_factor", "constant_forward_return")
-    from ..functions.statistics import spearman
-
     return spearman(signal, ["date"], "momentum_z", "forward_return", 20, names)
 
 
@@ -737,6 +735,51 @@ def metric_tables(r):
     return supplements.metric_table_violations(r.summary.filter("NOT (factor_name = 'bp' AND horizon = 60)"), pairs.filter("NOT (factor_a = 'bp' AND factor_b = 'sp_ttm')"), flags, HORIZONS, 0.5)
 
 
+@query()
+def mvp_ic_summary(r):
+    return supplements.ic_summary(mvp_rank_ic(r))
+
+
+@query()
+def supplement_ic(r):
+    """Rank IC of the composites without the months that have no pair."""
+    rows = r.composites.join(r.signal_labels.select("date", "symbol", "forward_return_60"), ["date", "symbol"])
+    return spearman(rows, ["date", "method"], "score", "forward_return_60", 3, all_groups=False)
+
+
+@query()
+def attached_metrics(r):
+    base = comb.rank_stability(r.composites).select(F.concat(F.col("method"), F.lit("_top")).alias("candidate"), "top10_turnover")
+    spread = ev.quantile_spread(r.composite_quantiles, ["method"]).select("method", "monotonicity")
+    summary = comb.composite_summary(r.composite_ic).join(spread, "method", "left")
+    return supplements.attach_composite_metrics(base, summary, {f"{m}_top": m for m in (*comb.STATIC, comb.ROLLING)})
+
+
+@query()
+def target_contract(r):
+    return supplements.target_violations(r.targets, ["portfolio_name"], names=10, before="2001-06-30")
+
+
+@query()
+def sealed_dates(r):
+    tables = {"bars": r.bars, "scores": r.scored, "weights": r.weights.withColumnRenamed("history_end", "history_end_date"), "targets": r.targets}
+    return supplements.sealed_dates(tables, "2001-11-01")
+
+
+@query()
+def source_coverage(r):
+    acts = _actions(r)
+    paid = acts.withColumn("payment_date", F.when(F.dayofmonth("ex_date") != 9, F.col("effective_date")))
+    return supplements.source_coverage(r.bars.select("symbol"), acts.filter("share_ratio > 0"), paid)
+
+
+@query()
+def variant_targets(r):
+    baseline = {"portfolio_size": 10, "buffer_rank": 4, "universe_size": 25, "rebalance_months": 1}
+    parameters = supplements.variant_parameters(baseline, {"quarterly": {"rebalance_months": 3}, "tight_buffer": {"buffer_rank": 2}, "wide": {"universe_size": 40}})
+    return supplements.variant_targets(r.rolling, r.sizes, liquidity_proxy(r.panel), parameters, strict=False)
+
+
 @query()
 def panel_build_counts(r):
     """Partitions of the panel that a build keeps."""

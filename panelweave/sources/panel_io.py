@@ -173,6 +173,11 @@ def build_panel(
     return year_counts(spark.read.parquet(f"{output}/panel")), records
 
 
+def read_evidence(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with a header under a schema of its own, so that symbols stay text; a header that differs or a value that does not fit raises."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
 def read_verified(spark: SparkSession, path: str, *, rows: int, start: str, end: str, date: str = "date") -> DataFrame:
     """A cached table, refused with ValueError if its row count or its dates are not those recorded for it."""
     df = spark.read.parquet(path)

@@ -344,6 +344,21 @@ def test_gates(spark):
         supplements.slice_metrics(nav, nav.withColumn("amount", F.lit(1.0)), ["candidate"], boundary=str(day(9)), start=str(day(9)), end=str(day(99)))
 
 
+def test_variants_and_evidence(spark, tmp_path):
+    base = {"portfolio_size": 10, "buffer_rank": 4, "universe_size": 25, "rebalance_months": 1}
+    assert supplements.variant_parameters(base, {"v": {"buffer_rank": 2}})["v"]["buffer_rank"] == 2
+    for bad in ({"buffer_rank": 4}, {"buffer_rank": 2, "universe_size": 9}, {"other": 1}):
+        with pytest.raises(ValueError):
+            supplements.variant_parameters(base, {"v": bad})
+    (tmp_path / "e.csv").write_text("symbol,day\n000001,2000-01-03\n")
+    got = panel_io.read_evidence(spark, str(tmp_path / "e.csv"), "symbol string, day date").collect()
+    assert [tuple(r) for r in got] == [("000001", day(0))]
+    with pytest.raises(Exception):
+        panel_io.read_evidence(spark, str(tmp_path / "e.csv"), "symbol string, other date").collect()
+    sums = supplements.target_violations(spark.createDataFrame([("p", day(0), "a", -0.5), ("p", day(0), "b", 1.5)], "portfolio_name string, date date, symbol string, target_weight double"), ["portfolio_name"], names=3)
+    assert {r["rule"]: r["violations"] for r in sums.collect()} == {"other_count": 1, "other_sum": 0, "bad_weight": 1}
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 

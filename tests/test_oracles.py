@@ -17,6 +17,7 @@ NAMES = [
     "portfolio_warnings", "marked_positions", "path_summary", "robustness_verdicts", "protocol_gate", "buffered_portfolio", "fama_macbeth_monthly", "fama_macbeth_summary", "executable_ic", "lag_table",
     "relative_by_period", "slice_metrics", "slice_verdicts", "validation_metrics", "index_levels", "index_violations", "combination_audit", "panel_coverage", "redundancy_reasons", "composite_subperiods",
     "legs_by_period", "quantile_frames", "cost_components", "correlation_matrix", "continuous_targets", "applied_actions", "redundancy_input", "metric_tables", "panel_build_counts", "panel_build_records",
+    "mvp_ic_summary", "supplement_ic", "attached_metrics", "target_contract", "sealed_dates", "source_coverage", "variant_targets",
 ]
 
 
