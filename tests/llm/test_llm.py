@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelweave.llm import licenses, mixing, ngram_join, packing, pii, quality, queries, sharding, substring_dedup, topk, warc
+from panelweave.llm.components import connected as components_of
 from panelweave.llm.textcore import blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -248,6 +249,28 @@ def test_one_of_each_with_odd_ids(spark):
     assert len(got) == 5 and {(3, base[1]), (4, base[2]), (None, None), (9, "")} < set(got) and (None in [d for d, t in got if t in (base[0], near[0])])
 
 
+def test_components_of_chains_stars_and_cycles(spark):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)]
+    links += [(300 + rng.randrange(50), 300 + rng.randrange(50)) for _ in range(45)] + [(5, 5)]
+    order = list(range(400))
+    rng.shuffle(order)
+    links = [(order[a], order[b]) for a, b in links]
+    parent = {x: x for e in links for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {(x, find(x)) for a, b in links if a != b for x in (a, b)}
+    got = components_of(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {(r["node"], r["root"]) for r in got} == want
+
+
 def test_sketch_bounds_difference():
     rng = np.random.default_rng(3)
     for n in (5, 40, 300):
