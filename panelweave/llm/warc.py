@@ -38,20 +38,19 @@ def with_roles(pages: DataFrame, least: int = 100) -> DataFrame:
         .withColumn("digest", F.sha2("payload", 256))
         .withColumn("bytes", F.octet_length("payload").cast("long"))
     )
-    # The digest, which countless copies may share, is only joined on narrow rows; payloads meet the revisits by id and digest.
-    long_ = full.filter(F.col("bytes") >= least)
-    ids = long_.select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = ids.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
-    same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest"))
-    marked = long_.alias("p").join(again.withColumn("again", F.lit(True)).alias("r"), same, "left")
-    columns = ["page_id", "url", "payload", "digest", "bytes"]
-    kind = F.when(F.col("again"), "revisit").otherwise("response").alias("record_type")
-    marked = marked.select(*[F.col(f"p.{c}") for c in columns], kind, F.col("first_id").alias("refers_to"))
-    short = full.filter(F.col("bytes") < least).select(
-        *columns, F.lit("response").alias("record_type"), F.lit(None).cast(full.schema["page_id"].dataType).alias("refers_to")
+    # Rows that are too short to be revisits (all empty pages have one digest) join by a key of their own, so they are dealt out evenly.
+    key = F.when(F.col("bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    first = full.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("key")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return full.withColumn("key", key).join(first, "key", "left").select(
+        "page_id",
+        "url",
+        "payload",
+        "digest",
+        "bytes",
+        F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("first_id")).alias("refers_to"),
     )
-    return marked.unionByName(short)
 
 
 def write_warc(records: DataFrame, path: str, segment: int = SEGMENT, date: str = "2024-01-01T00:00:00Z") -> None:
