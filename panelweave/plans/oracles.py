@@ -628,7 +628,7 @@ SELECT 'equal_over_cap' AS pair, round(pow(gs, 1 / 6.75) - 1, 6) AS strategy_ann
         "bench", "SELECT 'equal' AS path, CAST(y AS INT) AS year, round(v / lag(v, 1, 1.0) OVER (ORDER BY y) - 1, 6) AS annual_return FROM (SELECT year(date) AS y, arg_max(equal_weight, date) AS v FROM bench GROUP BY 1)"
     ),
     "market_return": with_("mkt", "SELECT " + r("date market_return*") + " FROM mkt"),
-    "market_regimes": with_("reg", "SELECT " + r("date market_return* trailing_market_return* market_volatility* market_trend volatility_regime") + " FROM reg"),
+    "market_regimes": with_("reg", "SELECT " + r("date market_return* market_volatility* market_trend volatility_regime") + ", round(ln(1 + trailing_market_return), 6) AS log_trailing_growth FROM reg"),
     "regime_summary": with_(
         "reg mkt",
         """, a0 AS (SELECT date, market_return AS x, 'trend' AS segment_type, market_trend AS segment FROM reg UNION ALL SELECT date, market_return, 'time_period', CASE WHEN date <= DATE '1998-12-31' THEN 'early' ELSE 'late' END FROM mkt),
@@ -714,7 +714,7 @@ a1 AS (SELECT *, nav / lag(nav) OVER w - 1 AS r, nav / max(nav) OVER (PARTITION
 a2 AS (SELECT path, min(date) AS start_date, max(date) AS end_date, count(*) AS observations, arg_max(nav, date) / arg_min(nav, date) AS g, avg(r) AS m, stddev_samp(r) AS s, min(d) AS maximum_drawdown FROM a1 GROUP BY path),
 a3 AS (SELECT path, date_trunc('month', date) AS mo, arg_max(nav, date) AS v FROM a0 GROUP BY ALL),
 a4 AS (SELECT path, avg(CAST(q > 0 AS INT)) AS monthly_win_rate FROM (SELECT path, v / lag(v) OVER (PARTITION BY path ORDER BY mo) - 1 AS q FROM a3) WHERE q IS NOT NULL GROUP BY path)
-SELECT a2.path, start_date, end_date, observations, round(g - 1, 6) AS total_return, round(pow(g, 1 / greatest((end_date - start_date) / 365.25::DOUBLE, 1 / 252.0::DOUBLE)) - 1, 6) AS annual_return, round(s * sqrt(252.0::DOUBLE), 6) AS annual_volatility,
+SELECT a2.path, start_date, end_date, observations, round(ln(g), 6) AS log_total_return, round(pow(g, 1 / greatest((end_date - start_date) / 365.25::DOUBLE, 1 / 252.0::DOUBLE)) - 1, 6) AS annual_return, round(s * sqrt(252.0::DOUBLE), 6) AS annual_volatility,
   round(coalesce(m / s * sqrt(252.0::DOUBLE), 0), 6) AS sharpe_zero_rate, round(maximum_drawdown, 6) AS maximum_drawdown, round(monthly_win_rate, 6) AS monthly_win_rate FROM a2 JOIN a4 USING (path)""",
     ),
     "fama_macbeth_monthly": with_("fmx", "SELECT " + r("date factor_name coefficient* n_obs r_squared*") + " FROM fmx"),

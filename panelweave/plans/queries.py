@@ -394,8 +394,10 @@ def benchmark_drawdown(r):
 
 @query()
 def path_summary(r):
+    """Total returns as natural logarithms of growth, like ``universe_benchmark``."""
     levels = _benchmark(r).select("date", F.explode(F.array(F.struct(F.lit("equal").alias("path"), F.col("equal_weight").alias("nav")), F.struct(F.lit("cap").alias("path"), F.col("cap_weight").alias("nav")))).alias("x"))
-    return performance.path_summary(levels.select("date", "x.*"), ["path"])
+    out = performance.path_summary(levels.select("date", "x.*"), ["path"])
+    return out.withColumn("log_total_return", F.ln(F.col("total_return") + 1)).drop("total_return")
 
 
 @query()
@@ -411,7 +413,9 @@ def market_return(r):
 
 @query()
 def market_regimes(r):
-    return performance.market_regimes(performance.market_return(r.bars), 20, 10)
+    """Trailing returns as natural logarithms of growth, like ``universe_benchmark``."""
+    rows = performance.market_regimes(performance.market_return(r.bars), 20, 10)
+    return rows.withColumn("log_trailing_growth", F.ln(F.col("trailing_market_return") + 1)).drop("trailing_market_return")
 
 
 @query()
