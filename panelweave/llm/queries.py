@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, ngram_join, packing, pii, quality, sharding, substring_dedup, topk, warc
+from . import centroids, licenses, mixing, ngram_join, packing, pii, quality, sharding, substring_dedup, topk, toxicity, vector_codes, warc
 from .common import table
 
 
@@ -77,6 +77,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("code", F.lower(F.hex("code")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -88,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroids": op12_centroids,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }

@@ -29,8 +29,8 @@ QUERY_PIECE = 512
 CODE_PIECE = 4096
 
 
-def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v array<long>, dim: floor(scale * x) of each component.
+def integer_vectors(embeddings: DataFrame, scale: int = 256, *kept: str) -> DataFrame:
+    """vec_id, the ``kept`` columns, v array<long>, dim: floor(scale * x) of each component.
 
     Left out: null or empty vectors and vectors with a null, NaN or infinite component.
     Rows with the same id, or without one, are rows like any others; other columns are
@@ -40,10 +40,10 @@ def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     sound = ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     v = F.transform(x, lambda e: F.floor(e * scale).cast("long"))
     return (
-        only(embeddings, "vec_id", "embedding")
+        only(embeddings, "vec_id", "embedding", *kept)
         .filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
         .filter(sound)
-        .select("vec_id", v.alias("v"))
+        .select("vec_id", *kept, v.alias("v"))
         .withColumn("dim", F.size("v"))
     )
 
