@@ -187,43 +187,55 @@ def regression_summary(monthly: DataFrame, lag: int) -> DataFrame:
 def block_bootstrap(pairs: DataFrame, keys: list[str], *, years: float, block: int, replications: int, seed: int, level: float = 0.95) -> DataFrame:
     """Percentile intervals of annual return, annual relative return and Sharpe ratio from paired circular blocks.
 
-    ``pairs``: keys, date, strategy, benchmark (one-period returns).  Replications are
-    dealt out in chunks; each draws its own numbers from (seed, replication), so the result
-    does not depend on how chunks are run.
+    ``pairs``: keys, date, strategy, benchmark (one-period returns above -1).  The start of a
+    block is a hash of (seed, replication, block number), so any run, in any engine, draws the same
+    blocks.  What a block adds to each figure is computed once for each place where it may start; a
+    replication is then a sum of such rows, and replications are spread over the tasks by
+    a join.  Sums are taken of 18 decimal places, so they do not depend on their order.  A block longer than a series counts as long as the series; a return of -100 % or
+    worse, or one that is not finite, raises when computed.
     """
-    chunk = 50
-    series = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "strategy", "benchmark"))).alias("rows"))
-    tasks = series.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replications - 1) // chunk))))
-
-    def figures(s: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-        total, other = np.log1p(s).sum(), np.log1p(b).sum()
-        spread = s.std(ddof=1)
-        return math.expm1(total / years), math.expm1((total - other) / years), s.mean() / spread * math.sqrt(DAYS) if spread > 0 else math.nan
+    if block < 1 or replications < 1 or years <= 0 or not 0 < level < 1:
+        raise ValueError("block, replications, years and level must be positive, level below 1")
+    sound = lambda c: F.when(finite(c) & (F.col(c) > -1), F.col(c)).otherwise(F.raise_error(F.lit("a return cannot be compounded")).cast("double"))
+    rows = pairs.select(*keys, "date", sound("strategy").alias("s"), sound("benchmark").alias("b"))
+    series = Window.partitionBy(*keys)
+    rows = rows.withColumn("i", F.row_number().over(series.orderBy("date")) - 1).withColumn("n", F.count(F.lit(1)).over(series))
+    places = {"s": F.col("s"), "q": F.col("s") * F.col("s"), "l": F.log1p("s"), "d": F.log1p("s") - F.log1p("b")}
+    rows = rows.select(*keys, "i", "n", *[x.cast("decimal(28,18)").alias(c) for c, x in places.items()])
+    long = F.least(F.lit(block).cast("long"), F.col("n"))
+    again = rows.filter(F.col("i") < F.lit(block)).withColumn("i", F.col("i") + F.col("n"))
+    ring = rows.withColumn("i", F.col("i").cast("long")).unionByName(again.withColumn("i", F.col("i").cast("long")))
+    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ring.select(*keys, "i", "n", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("decimal(38,18)").alias(c) for c in "sqld"])
+    # Differences of running sums: a block from i of ``size`` places.
+    count = F.ceil(F.col("n") / long)
+    last = F.col("n") - (count - 1) * long
+    ends = sums.unionByName(ring.groupBy(*keys).agg((F.max("i") + 1).alias("i"), F.max("n").alias("n"), *[F.sum(c).cast("decimal(38,18)").alias(c) for c in "sqld"]))
+    starts = sums.filter(F.col("i") < F.col("n")).withColumn("count", count).withColumn("size", F.explode(F.array_distinct(F.array(long, last))))
+    e = ends.select(*keys, F.col("i").alias("stop"), *[F.col(c).alias(f"{c}_") for c in "sqld"])
+    pieces = starts.withColumn("stop", F.col("i") + F.col("size")).join(e, [*keys, "stop"]).select(*keys, "i", "size", *[(F.col(f"{c}_") - F.col(c)).cast("decimal(38,18)").alias(c) for c in "sqld"])
+    whole = rows.groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in "sqld"]).withColumn("count", count)
+    drawn = whole.select(*keys, "n", "count", long.alias("block"), last.alias("last"), F.explode(F.sequence(F.lit(0), F.lit(replications - 1))).alias("replication"))
+    drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replication").cast("string"), F.col("j").cast("string")))
+    drawn = drawn.withColumn("i", F.conv(F.substring(mark, 1, 12), 16, 10).cast("long") % F.col("n"))
+    drawn = drawn.withColumn("size", F.when(F.col("j") == F.col("count") - 1, F.col("last")).otherwise(F.col("block")))
+    got = drawn.join(pieces, [*keys, "i", "size"]).groupBy(*keys, "replication", "n").agg(*[F.sum(c).alias(c) for c in "sqld"])
+
+    def figures(df: DataFrame, *own: str) -> DataFrame:
+        n = F.col("n")
+        df = df.withColumns({c: F.col(c).cast("double") for c in "sqld"})
+        variance = F.try_divide(F.col("q") - F.col("s") * F.col("s") / n, n - 1)
+        sharpe = F.when(variance > 1e-18, F.col("s") / n / F.sqrt(variance) * math.sqrt(DAYS))
+        return df.select(*keys, *own, F.expm1(F.col("l") / years).alias("annual_return"), F.expm1(F.col("d") / years).alias("annual_relative_return"), sharpe.alias("sharpe"))
 
     names = ["annual_return", "annual_relative_return", "sharpe"]
-
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                s, b = (np.array([x[c] for x in r["rows"]]) for c in ("strategy", "benchmark"))
-                for i in range(r["chunk"] * chunk, min(replications, (r["chunk"] + 1) * chunk)):
-                    starts = np.random.default_rng([seed, i]).integers(0, len(s), -(-len(s) // block))
-                    at = ((starts[:, None] + np.arange(block)) % len(s)).ravel()[: len(s)]
-                    out.append((*[r[k] for k in keys], i, *figures(s[at], b[at])))
-                if r["chunk"] == 0:
-                    out.append((*[r[k] for k in keys], -1, *figures(s, b)))
-            yield pd.DataFrame(out, columns=[*keys, "replication", *names])
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
-    drawn = tasks.repartition(*keys, "chunk").mapInPandas(draw, f"{ddl}, replication int, " + ", ".join(f"{n} double" for n in names))
     tail = (1 - level) / 2
-    own, again = F.col("replication") == -1, F.col("replication") >= 0
     aggs: list[Column] = []
     for n in names:
-        aggs += [F.max(F.when(own, F.col(n))).alias(n), F.percentile(F.when(again, F.col(n)), F.lit(tail)).alias(f"{n}_low"), F.percentile(F.when(again, F.col(n)), F.lit(1 - tail)).alias(f"{n}_high")]
-    aggs.append((F.count_if(again & (F.col(names[1]) <= 1e-15)) / F.count_if(again)).alias("relative_non_positive_share"))
-    return drawn.groupBy(*keys).agg(*aggs)
+        aggs += [F.percentile(n, F.lit(tail)).alias(f"{n}_low"), F.percentile(n, F.lit(1 - tail)).alias(f"{n}_high")]
+    aggs.append(F.avg((F.col("annual_relative_return") <= 1e-15).cast("double")).alias("relative_non_positive_share"))
+    return figures(whole).join(figures(got, "replication").groupBy(*keys).agg(*aggs), keys)
 
 
 def path_summary(levels: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import equal_bucket, finite, market, positive, require_none, ticks
@@ -50,28 +49,29 @@ def size_groups(scores: DataFrame, sizes: DataFrame, groups: int, keys: list[str
 def buffered_portfolio(ranked: DataFrame, *, per_group: int, buffer_rank: int, name: str, scenario: str = "method") -> DataFrame:
     """Size-stratified portfolio that keeps last month's members while they rank within the buffer.
 
-    A month depends on the one before, so the months of a scenario run in order.
+    A month depends on the one before, so the months of a scenario are one array, folded in order
+    inside the engine: as long as the history has months, whatever the panel's size.
     ``ranked`` comes from :func:`size_groups`; only ranks that can matter
     (up to max(buffer_rank, 2 * per_group)) are passed on.
     """
     within = max(buffer_rank, 2 * per_group)
 
     # A symbol can change its size group; holdings of any group count, so the groups of a scenario run together.
-    close = ranked.filter(F.col("group_rank") <= within).select(scenario, "date", "symbol", "size_group", "group_rank")
-
-    def scenario_months(rows: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
-        out = []
-        for _, month in rows.sort_values(["date", "size_group", "group_rank"]).groupby("date", sort=True):
-            stay = month["symbol"].isin(held) & (month["group_rank"] <= buffer_rank)
-            ordered = pd.concat([month[stay], month[~stay]])
-            chosen = ordered.groupby("size_group", sort=True).head(per_group)
-            held = set(chosen["symbol"])
-            out.append(chosen)
-        return pd.concat(out)[[scenario, "date", "symbol", "size_group", "group_rank"]]
-
-    kinds = f"{scenario} string, date date, symbol string, size_group int, group_rank int"
-    chosen = close.groupBy(scenario).applyInPandas(scenario_months, kinds)
+    row = F.struct("size_group", "group_rank", "symbol")
+    close = ranked.filter(F.col("group_rank") <= within).groupBy(scenario, "date").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    months = close.groupBy(scenario).agg(F.array_sort(F.collect_list(F.struct("date", "rows"))).alias("months"))
+    kind = "array<struct<date:date,symbol:string,size_group:int,group_rank:int>>"
+    start = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast(kind).alias("out"))
+
+    def month(s: Column, m: Column) -> Column:
+        stays = lambda x: F.array_contains(s["held"], x["symbol"]) & (x["group_rank"] <= buffer_rank)
+        ordered = F.concat(F.filter(m["rows"], stays), F.filter(m["rows"], lambda x: ~stays(x)))
+        groups = F.array_sort(F.array_distinct(F.transform(m["rows"], lambda x: x["size_group"])))
+        chosen = F.flatten(F.transform(groups, lambda g: F.slice(F.filter(ordered, lambda x: x["size_group"] == g), 1, per_group)))
+        out = F.transform(chosen, lambda x: F.struct(m["date"].alias("date"), x["symbol"].alias("symbol"), x["size_group"].cast("int").alias("size_group"), x["group_rank"].cast("int").alias("group_rank")))
+        return F.struct(F.transform(chosen, lambda x: x["symbol"]).alias("held"), F.concat(s["out"], out.cast(kind)).alias("out"))
+
+    chosen = months.select(scenario, F.inline(F.aggregate("months", start, month)["out"]))
     count = F.count(F.lit(1)).over(Window.partitionBy(scenario, "date"))
     return chosen.select(F.lit(name).alias("portfolio_name"), scenario, "date", "symbol", "size_group", "group_rank", (1.0 / count).alias("target_weight"))
 
@@ -135,12 +135,11 @@ def with_limits(panel: DataFrame) -> DataFrame:
     return panel.withColumn("limit_low", move(F.lit(-1))).withColumn("limit_high", move(F.lit(1)))
 
 
-def rebalance_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame, *, capital: float, lot: int = 100, participation: float = 0.1) -> DataFrame:
-    """Orders that move each portfolio from one target to the next at the next date's open.
+def planned_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame, *, capital: float, lot: int = 100) -> DataFrame:
+    """Orders that move each portfolio from one target to the next at the next date's open, before any is filled.
 
     Quantities are whole lots of the target weight of ``capital``; a position is the target
-    of the date before.  Each order gets the first reason that keeps it from trading, and
-    the part of its quantity that the share of the mean amount allows.
+    of the date before.  Each order gets the first reason that keeps it from trading.
     """
     dates = targets.select("portfolio_name", "date").distinct()
     dates = dates.withColumn("next_signal", F.lead("date").over(Window.partitionBy("portfolio_name").orderBy("date")))
@@ -163,16 +162,30 @@ def rebalance_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame,
         .when((F.col("side") == "buy") & (F.col("open_raw") >= F.col("limit_high")) & (F.col("open_raw") <= F.col("limit_high") + 0.01), "limit_up_buy")
         .when((F.col("side") == "sell") & (F.col("open_raw") <= F.col("limit_low")) & (F.col("open_raw") >= F.col("limit_low") - 0.01), "limit_down_sell")
     )
-    room = F.floor(F.col("adv") * participation / F.col("open_raw"))
-    room = F.when(F.col("side") == "buy", F.floor(room / lot) * lot).otherwise(room).cast("long")
     rows = rows.withColumn("reason", reason)
-    fill = F.when(F.col("reason").isNull(), F.least(F.abs("change"), room)).otherwise(F.lit(0).cast("long"))
-    return rows.select("portfolio_name", F.col("date").alias("signal_date"), F.col("next_date").alias("date"), "symbol", "side", F.abs("change").alias("quantity"), fill.alias("fill_quantity"), "open_raw", "adv", "reason")
+    return rows.select("portfolio_name", F.col("date").alias("signal_date"), F.col("next_date").alias("date"), "symbol", "side", F.abs("change").alias("quantity"), "open_raw", "adv", "reason")
+
+
+def filled(planned: DataFrame, *, participation: float | Column, lot: int = 100) -> DataFrame:
+    """Adds fill_quantity: the part of each order that a share of the mean amount allows, none where a reason blocks it."""
+    room = F.floor(F.col("adv") * F.lit(participation) / F.col("open_raw"))
+    room = F.when(F.col("side") == "buy", F.floor(room / lot) * lot).otherwise(room).cast("long")
+    return planned.withColumn("fill_quantity", F.when(F.col("reason").isNull(), F.least("quantity", room)).otherwise(F.lit(0).cast("long")))
+
 
+def rebalance_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame, *, capital: float, lot: int = 100, participation: float = 0.1) -> DataFrame:
+    """:func:`planned_orders` with what of each is filled."""
+    rows = filled(planned_orders(targets, panel, calendar, capital=capital, lot=lot), participation=participation, lot=lot)
+    return rows.select("portfolio_name", "signal_date", "date", "symbol", "side", "quantity", "fill_quantity", "open_raw", "adv", "reason")
+
+
+def priced(orders: DataFrame, *, fixed_bps: float | Column = 5.0, impact_bps: float | Column = 10.0, reference: float | Column = 0.01, most_bps: float | Column = 50.0) -> DataFrame:
+    """Adds impact_bps and execution_price (square-root impact, capped; price half up at 0.01) to filled orders.
 
-def priced(orders: DataFrame, *, fixed_bps: float = 5.0, impact_bps: float = 10.0, reference: float = 0.01, most_bps: float = 50.0) -> DataFrame:
-    """Adds impact_bps and execution_price (square-root impact, capped; price half up at 0.01) to filled orders."""
+    Each parameter is a number or a column of ``orders``.
+    """
     filled = orders.filter("fill_quantity > 0")
+    fixed_bps, impact_bps, reference = F.lit(fixed_bps), F.lit(impact_bps), F.lit(reference)
     share = F.col("fill_quantity") * F.col("open_raw") / F.col("adv")
     impact = F.least(F.lit(most_bps), impact_bps * F.sqrt(share / reference))
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
@@ -182,8 +195,8 @@ def priced(orders: DataFrame, *, fixed_bps: float = 5.0, impact_bps: float = 10.
     return filled.withColumn("amount", F.col("fill_quantity") * F.col("execution_price")).withColumn("slippage_cost", gross * fixed_bps).withColumn("impact_cost", gross * F.col("impact_bps"))
 
 
-def with_fees(trades: DataFrame, stamp: DataFrame, transfer: DataFrame, *, commission: float = 0.0003, least: float = 5.0) -> DataFrame:
-    """Adds commission, stamp_duty, transfer_fee and total_cost.
+def with_fees(trades: DataFrame, stamp: DataFrame, transfer: DataFrame, *, commission: float | Column = 0.0003, least: float | Column = 5.0, scale: float | Column = 1.0) -> DataFrame:
+    """Adds commission, stamp_duty, transfer_fee and total_cost; rate, minimum and ``scale`` of the fees are numbers or columns.
 
     ``stamp``: start, end, buy_rate, sell_rate; ``transfer``: start, end, market, basis,
     rate, minimum.  Both are small rule tables.  Rules that overlap raise ValueError; a
@@ -197,9 +210,11 @@ def with_fees(trades: DataFrame, stamp: DataFrame, transfer: DataFrame, *, commi
     none = lambda what: F.raise_error(F.concat(F.lit(f"no {what} rule for "), F.col("symbol"), F.lit(" on "), F.col("date").cast("string")))
     basis = F.when(F.col("f.basis").isNull(), none("transfer fee").cast("double")).when(F.col("f.basis") == "amount", F.col("amount")).otherwise(F.col("fill_quantity"))
     rate = F.when(F.col("s.start").isNull(), none("stamp duty").cast("double")).otherwise(F.when(F.col("side") == "buy", F.col("s.buy_rate")).otherwise(F.col("s.sell_rate")))
+    plain = lambda c: c if isinstance(scale, float) and scale == 1.0 else c * F.lit(scale)
+    kept = [F.col(c) for c in trades.columns if c not in ("commission", "stamp_duty", "transfer_fee")]  # a parameter column gives way to its result
     out = rows.select(
-        *[F.col(c) for c in trades.columns], F.greatest(F.lit(least), F.col("amount") * commission).alias("commission"), (F.col("amount") * rate).alias("stamp_duty"),
-        F.greatest(F.col("f.minimum"), basis * F.col("f.rate")).alias("transfer_fee"),
+        *kept, plain(F.greatest(F.lit(least), F.col("amount") * F.lit(commission))).alias("commission"), plain(F.col("amount") * rate).alias("stamp_duty"),
+        plain(F.greatest(F.col("f.minimum"), basis * F.col("f.rate"))).alias("transfer_fee"),
     )
     return out.withColumn("total_cost", F.col("commission") + F.col("stamp_duty") + F.col("transfer_fee") + F.col("slippage_cost") + F.col("impact_cost"))
 
@@ -212,10 +227,15 @@ def _one_rule_a_day(rules: DataFrame, keys: list[str]) -> None:
 
 def uncovered_days(rules: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """Days (and keys) of a range for which not exactly one rule holds."""
-    days = rules.sparkSession.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS day")
-    grid = days.crossJoin(rules.select(*keys).distinct()) if keys else days  # a calendar by a handful of keys
+    return uncovered_dates(rules, rules.sparkSession.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS day"), keys)
+
+
+def uncovered_dates(rules: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
+    """Days of ``days`` (day), and keys of the rules, for which not exactly one rule holds, with their number."""
+    days = days.select("day").distinct()
+    grid = days.crossJoin(F.broadcast(rules.select(*keys).distinct())) if keys else days  # trading days by a handful of keys
     r = rules.alias("r")
-    on = (F.col("day") >= F.col("r.start")) & (F.col("day") <= F.col("r.end"))
+    on = (F.col("g.day") >= F.col("r.start")) & (F.col("g.day") <= F.col("r.end"))
     for k in keys:
         on = on & (F.col(f"g.{k}") == F.col(f"r.{k}"))
-    return grid.alias("g").join(F.broadcast(r), on, "left").groupBy("day", *[F.col(f"g.{k}") for k in keys]).agg(F.count("r.start").alias("rules")).filter("rules <> 1")
+    return grid.alias("g").join(F.broadcast(r), on, "left").groupBy("g.day", *[F.col(f"g.{k}") for k in keys]).agg(F.count("r.start").alias("rules")).filter("rules <> 1")

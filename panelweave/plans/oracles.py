@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from ..functions.statistics import ERFC_EDGE, LEVELS, SERIES
 from ..operators.factors import FACTORS
 from ..sources.bars import BARS_SQL
 
@@ -897,6 +900,140 @@ SELECT candidate, round(net_annual_return, 6) AS net_annual_return, round(maximu
     ),
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL",
 }
+
+
+def erfc_sql(x: str) -> str:
+    """The error function's complement of a non-negative column, in the same steps as the column expression."""
+    series, tail = "1.0", f"greatest({x}, {ERFC_EDGE}::DOUBLE)"
+    for k in range(SERIES, 0, -1):
+        series = f"(1.0 + 2 * {x} * {x} / {2 * k + 1}.0::DOUBLE * {series})"
+    far = tail
+    for k in range(LEVELS, 0, -1):
+        tail = f"({far} + {k / 2.0}::DOUBLE / {tail})"
+    root = math.sqrt(math.pi)
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < {ERFC_EDGE} THEN 1 - {2.0 / root!r}::DOUBLE * {x} * exp(-{x} * {x}) * {series} ELSE exp(-{far} * {far}) / {root!r}::DOUBLE / {tail} END"
+
+
+_trades = """j0 AS (SELECT o.*, scenario, participation, fixed, imp, rate, least_fee, scale, CASE WHEN reason IS NULL THEN CAST(least(quantity, CASE WHEN side = 'buy' THEN floor(floor(adv * participation / open_raw) / 100) * 100 ELSE floor(adv * participation / open_raw) END) AS BIGINT) ELSE 0 END AS filled
+  FROM (SELECT * EXCLUDE fill_quantity FROM ord) o, (VALUES ('baseline', 0.5, 5.0, 10.0, 0.0003, 5.0, 1.0), ('execution_full_cost', 0.5, 5.0, 10.0, 0.0003, 5.0, 1.0), ('zero_cost', 0.5, 0.0, 0.0, 0.0003, 5.0, 0.0), ('explicit_fees', 0.5, 0.0, 0.0, 0.0003, 5.0, 1.0),
+    ('participation_10', 0.1, 5.0, 10.0, 0.0003, 5.0, 1.0), ('double_slippage', 0.5, 10.0, 20.0, 0.0003, 5.0, 1.0), ('dear_broker', 0.5, 5.0, 10.0, 0.001, 25.0, 1.0)) AS s0(scenario, a, b, c, d, e, f), LATERAL (SELECT a::DOUBLE AS participation, b::DOUBLE AS fixed, c::DOUBLE AS imp, d::DOUBLE AS rate, e::DOUBLE AS least_fee, f::DOUBLE AS scale) AS s),
+j1 AS (SELECT *, least(50.0::DOUBLE, imp * sqrt(filled * open_raw / adv / 0.01)) AS impact FROM j0 WHERE filled > 0),
+j2 AS (SELECT *, CAST(round(CAST(CAST(open_raw * (1 + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (fixed + impact) / 10000) AS VARCHAR) AS DECIMAL(30,12)), 2) AS DOUBLE) AS price FROM j1),
+j3 AS (SELECT *, filled * price AS amount FROM j2),
+j4 AS (SELECT *, (greatest(least_fee, amount * rate) + amount * CASE WHEN date <= DATE '1998-06-11' THEN 0.003::DOUBLE WHEN side = 'buy' THEN 0.0::DOUBLE ELSE 0.004::DOUBLE END +
+  CASE WHEN symbol[1] IN ('5', '6', '9') THEN greatest(1.0::DOUBLE, filled * 0.001::DOUBLE) WHEN date <= DATE '1999-12-31' THEN 0.0::DOUBLE ELSE amount * 0.00002::DOUBLE END) * scale + filled * open_raw / 10000 * (fixed + impact) AS total_cost FROM j3),
+j5 AS (SELECT scenario, portfolio_name, CAST(sum(CAST(amount AS DECIMAL(28,9))) AS DOUBLE) AS amount, CAST(sum(CAST(total_cost AS DECIMAL(28,9))) AS DOUBLE) AS total_cost FROM j4 GROUP BY ALL),
+j6 AS (SELECT scenario, portfolio_name, count(*) AS orders, CAST(sum(quantity) AS BIGINT) AS requested, CAST(sum(filled) AS BIGINT) AS filled FROM j0 GROUP BY ALL),
+j7 AS (SELECT j6.*, coalesce(amount, 0) AS amount, coalesce(total_cost, 0) AS total_cost, 1 - filled / nullif(requested, 0) AS unfilled_rate, coalesce(total_cost, 0) / nullif(coalesce(amount, 0), 0) AS cost_rate FROM j6 LEFT JOIN j5 USING (scenario, portfolio_name))
+SELECT j7.scenario, j7.portfolio_name, j7.orders, j7.requested, j7.filled, round(j7.unfilled_rate, 6) AS unfilled_rate, round(j7.amount, 2) AS amount, round(j7.total_cost, 2) AS total_cost, round(j7.cost_rate, 6) AS cost_rate, round(j7.cost_rate - b.cost_rate, 6) AS cost_rate_delta
+FROM j7 LEFT JOIN j7 b ON b.scenario = 'baseline' AND b.portfolio_name = j7.portfolio_name"""
+
+_ic_changed = "a1 AS (SELECT * REPLACE (CASE WHEN factor_name = 'ep_ttm' AND horizon = 60 THEN rank_ic + 0.001::DOUBLE ELSE rank_ic END AS rank_ic) FROM ic WHERE NOT (factor_name = 'bp' AND horizon = 5) UNION ALL SELECT * FROM ic WHERE factor_name = 'sp_ttm' AND horizon = 20)"
+_selected = lambda name, what, table, where="true": f"SELECT '{name}' AS name, {what} AS value FROM {table} WHERE {where}"
+_neutral = "score_variant = 'score_size_neutral' AND horizon = 20"
+_range = lambda name, table: f"SELECT '{name}' AS stage, count(*) AS rows, min(date) AS min_date, max(date) AS max_date, true AS timed FROM {table}"
+_cached = """s0 AS (SELECT 'shard' || (o_custkey % 40 % 3) AS shard, lpad(CAST(o_custkey % 40 AS VARCHAR), 6, '0') AS symbol, CAST(year(o_orderdate) AS INT) AS year, o_totalprice FROM orders),
+s1 AS (SELECT DISTINCT symbol, shard FROM s0), s2 AS (SELECT shard, symbol, CAST(y AS INT) AS year FROM s1, range(1995, 2002) AS t(y)),
+s3 AS (SELECT s2.*, coalesce(n, 0) AS row_count FROM s2 LEFT JOIN (SELECT symbol, year, count(*) AS n FROM s0 GROUP BY ALL) USING (symbol, year))"""
+
+ORACLE_SQL |= {
+    "fee_coverage": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, 'sz' AS market, CAST(0 AS BIGINT) AS rules FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderdate < TIMESTAMP '2000-04-01'",
+    "factor_p_values": with_(
+        "nw",
+        f""", a0 AS (SELECT factor_name, score_variant, horizon, abs(t) / {math.sqrt(2.0)!r}::DOUBLE AS z FROM (SELECT DISTINCT factor_name, score_variant, horizon FROM ic) k LEFT JOIN nw USING (factor_name, score_variant, horizon)), a1 AS (SELECT *, {erfc_sql("z")} AS p FROM a0),
+a2 AS (SELECT *, row_number() OVER (ORDER BY p, factor_name) AS k, count(*) OVER () AS m FROM a1 WHERE p IS NOT NULL AND horizon = 20 AND score_variant = {PRIMARY}),
+a3 AS (SELECT *, min(least(1, p * m / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS q FROM a2)
+SELECT a1.factor_name, a1.score_variant, a1.horizon, round(a1.p, 4) AS nw_p, round(a3.q, 4) AS bh_q FROM a1 LEFT JOIN a3 USING (factor_name, score_variant, horizon)""",
+    ),
+    "block_bootstrap": with_(
+        "bench",
+        """, c0 AS (SELECT date, equal_weight / lag(equal_weight) OVER w - 1 AS s, cap_weight / lag(cap_weight) OVER w - 1 AS b FROM bench WINDOW w AS (ORDER BY date)),
+c1 AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n, s, s * s AS q, ln(1 + s) AS l, ln(1 + s) - ln(1 + b) AS d FROM c0 WHERE s IS NOT NULL AND b IS NOT NULL),
+c2 AS (SELECT r AS replication, j, n, ('0x' || substr(md5('7:' || r || ':' || j), 1, 12))::BIGINT % n AS start FROM (SELECT DISTINCT n FROM c1), range(0, 500) AS x(r), range(0, 1000) AS y(j) WHERE j < ceil(n / 13.0)),
+c3 AS (SELECT replication, n, (start + o) % n AS i FROM c2, range(0, 13) AS z(o) WHERE 13 * j + o < n),
+c4 AS (SELECT replication, c3.n, sum(s) AS s, sum(q) AS q, sum(l) AS l, sum(d) AS d FROM c3 JOIN c1 USING (i) GROUP BY ALL UNION ALL SELECT -1, n, sum(s), sum(q), sum(l), sum(d) FROM c1 GROUP BY n),
+c5 AS (SELECT replication, exp(l / 6.75) - 1 AS a, exp(d / 6.75) - 1 AS r, s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252.0::DOUBLE) AS h FROM c4),
+c6 AS (SELECT * FROM c5 WHERE replication >= 0)
+SELECT 'equal_over_cap' AS pair, round(a, 6) AS annual_return, round(r, 6) AS annual_relative_return, round(h, 6) AS sharpe, round((SELECT quantile_cont(a, 0.025) FROM c6), 6) AS annual_return_low, round((SELECT quantile_cont(a, 0.975) FROM c6), 6) AS annual_return_high,
+ round((SELECT quantile_cont(r, 0.025) FROM c6), 6) AS annual_relative_return_low, round((SELECT quantile_cont(r, 0.975) FROM c6), 6) AS annual_relative_return_high, round((SELECT quantile_cont(h, 0.025) FROM c6), 6) AS sharpe_low, round((SELECT quantile_cont(h, 0.975) FROM c6), 6) AS sharpe_high,
+ round((SELECT avg(CAST(r <= 1e-15 AS DOUBLE)) FROM c6), 6) AS relative_non_positive_share FROM c5 WHERE replication = -1""",
+    ),
+    "proportional_buys": with_("ord", "").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, g0 AS (SELECT portfolio_name, date, symbol, quantity, open_raw AS price, CAST(CAST(CAST(open_raw AS VARCHAR) AS DECIMAL(28,4)) * 10000 AS HUGEINT) AS p, 40000000000::HUGEINT AS cash FROM ord WHERE side = 'buy' AND reason IS NULL),
+g1 AS (SELECT *, sum(quantity * p) OVER w AS wanted FROM g0 WINDOW w AS (PARTITION BY portfolio_name, date)),
+g2 AS (SELECT *, CASE WHEN wanted <= cash THEN quantity ELSE quantity * cash // (wanted * 100) * 100 END AS base FROM g1),
+g3 AS MATERIALIZED (SELECT *, row_number() OVER (w ORDER BY (quantity - base) * p DESC, symbol) AS i, cash - sum(base * p) OVER w AS left_ FROM g2 WINDOW w AS (PARTITION BY portfolio_name, date)),
+g4 AS (SELECT portfolio_name, date, i, symbol, quantity, price, base + CASE WHEN wanted > cash AND base + 100 <= quantity AND p * 100 <= left_ THEN 100 ELSE 0 END AS got, left_ - CASE WHEN wanted > cash AND base + 100 <= quantity AND p * 100 <= left_ THEN p * 100 ELSE 0 END AS rest FROM g3 WHERE i = 1
+  UNION ALL SELECT g3.portfolio_name, g3.date, g3.i, g3.symbol, g3.quantity, g3.price, base + CASE WHEN wanted > cash AND base + 100 <= g3.quantity AND p * 100 <= rest THEN 100 ELSE 0 END, rest - CASE WHEN wanted > cash AND base + 100 <= g3.quantity AND p * 100 <= rest THEN p * 100 ELSE 0 END
+  FROM g3 JOIN g4 ON g3.portfolio_name = g4.portfolio_name AND g3.date = g4.date AND g3.i = g4.i + 1)
+SELECT portfolio_name, date, symbol, quantity, round(price, 6) AS price, CAST(got AS BIGINT) AS allocated, round(CAST(last_value(rest) OVER (PARTITION BY portfolio_name, date ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE) / 10000, 6) AS cash_left FROM g4""",
+    "execution_scenarios": with_("ord", ", " + _trades),
+    "mvp_targets": with_(
+        "msig sig cal",
+        """, a0 AS (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY momentum_z DESC, symbol) AS i FROM msig SEMI JOIN sig USING (date) WHERE momentum_z IS NOT NULL)
+SELECT date AS signal_date, next_date AS execution_date, symbol, round(1.0::DOUBLE / count(*) OVER (PARTITION BY date), 6) AS target_weight FROM a0 JOIN cal USING (date) WHERE i <= 10 AND next_date IS NOT NULL""",
+    ),
+    "metric_catalogue": with_(
+        "ic qr to_ red",
+        f""", a0 AS (SELECT 'rank_ic' AS table_name, 'unknown_horizon' AS rule, count(*) AS violations FROM ic WHERE factor_name = 'bp' AND horizon = 60
+UNION ALL SELECT 'rank_ic', 'duplicate_key', count(*) FROM ic WHERE factor_name = 'bp' AND horizon = 5
+UNION ALL SELECT 'quantile_returns', 'invalid_quantile', count(*) FROM qr WHERE factor_name = 'ep_ttm' AND quantile = 5
+UNION ALL SELECT 'factor_turnover', 'other_family', count(*) FROM to_ WHERE factor_name = 'momentum_60'
+UNION ALL SELECT 'factor_summary', 'missing_key', 2 UNION ALL SELECT 'subperiod_metrics', 'period_dates', 2 UNION ALL SELECT 'classification', 'other_primary_variant', 1
+UNION ALL SELECT 'factor_correlations', 'missing_key', 1 UNION ALL SELECT 'factor_correlations', 'asymmetric_pair', 1
+UNION ALL SELECT 'redundancy_flags', 'missing_flag', count(*) FROM red WHERE factor_a = 'reversal_5' AND {PLACE.format("factor_a")} < {PLACE.format("factor_b")} AND abs(mean_correlation) >= 0.5 AND NOT (factor_a = 'bp' AND factor_b = 'sp_ttm')
+UNION ALL SELECT 'redundancy_flags', 'unexpected_flag', count(*) FROM red WHERE factor_a = 'bp' AND factor_b = 'sp_ttm' AND abs(mean_correlation) >= 0.5
+UNION ALL SELECT 'redundancy_flags', 'flag_values', count(*) FROM red WHERE factor_a = 'turnover_20' AND {PLACE.format("factor_a")} < {PLACE.format("factor_b")} AND abs(mean_correlation) >= 0.5)
+SELECT table_name, rule, CAST(violations AS BIGINT) AS violations FROM a0 WHERE violations > 0""",
+    ),
+    "report_figures": with_(
+        "ic fs ord to_",
+        ", a0 AS ("
+        + " UNION ALL ".join(
+            [
+                _selected("ic_rows", "count(*)", "ic"), _selected("ic_rows_20", "count(*)", "ic", "horizon = 20"), _selected("ic_factors", "count(DISTINCT factor_name)", "ic"), _selected("ic_months", "count(DISTINCT date)", "ic"),
+                _selected("ic_reasons", "count(DISTINCT coalesce(reason, ''))", "ic"), _selected("ic_mean_reversal_5", "avg(rank_ic)", "ic", "factor_name = 'reversal_5' AND score_variant = 'score_size_neutral' AND horizon = 5"),
+                _selected("ic_mean_turnover_20", "avg(rank_ic)", "ic", "factor_name = 'turnover_20' AND score_variant = 'score' AND horizon = 20"), _selected("ic_weighted_reversal_20", "sum(n_obs) / sum(horizon)", "ic", "factor_name = 'reversal_20'"),
+                *[_selected(f"summary_mean_ic_{n}", "max(mean_ic)", "fs", f"factor_name = '{n}' AND {_neutral}") for n in ("reversal_5", "turnover_20", "amihud_20", "volatility_60")],
+                *[_selected(f"summary_months_{h}", "max(valid_months)", "fs", f"factor_name = 'log_market_cap' AND score_variant = 'score' AND horizon = {h}") for h in H],
+                _selected("summary_rows", "count(*)", "fs"), _selected("orders_all", "count(*)", "ord"), _selected("orders_portfolios", "count(DISTINCT portfolio_name)", "ord"), _selected("orders_filled_rate", "sum(fill_quantity) / sum(quantity)", "ord"),
+                _selected("orders_sell_filled_rate", "sum(fill_quantity) / sum(quantity)", "ord", "side = 'sell' AND portfolio_name = 'top20_equal'"), _selected("turnover_mean_bp", "avg(turnover)", "to_", "factor_name = 'bp' AND score_variant = 'score'"),
+            ]
+        )
+        + ") SELECT name, round(CAST(value AS DOUBLE), 6) AS value FROM a0",
+    ),
+    "run_differences": with_(
+        "ic",
+        f""", {_ic_changed}, a2 AS (SELECT *, 1 AS x, 0 AS y FROM ic UNION ALL SELECT *, 0, 1 FROM a1), a3 AS (SELECT date, factor_name, family, score_variant, horizon, n_obs, rank_ic, reason, CAST(sum(x) AS BIGINT) AS times_one, CAST(sum(y) AS BIGINT) AS times_two FROM a2 GROUP BY ALL)
+SELECT times_one, times_two, count(*) AS rows FROM a3 WHERE times_one <> times_two GROUP BY ALL""",
+    ),
+    "unreproduced_ic": with_(
+        "ic",
+        f""", {_ic_changed}, a2 AS (SELECT date, factor_name, score_variant, horizon, any_value(rank_ic) AS published, 1 AS p FROM a1 GROUP BY ALL), a3 AS (SELECT date, factor_name, score_variant, horizon, rank_ic AS recomputed, 1 AS r FROM ic WHERE NOT (factor_name = 'momentum_60' AND horizon = 60)),
+a4 AS (SELECT *, CASE WHEN r IS NULL THEN 'not_recomputed' WHEN p IS NULL THEN 'not_published' WHEN recomputed IS NULL AND published IS NULL THEN NULL WHEN recomputed IS NULL OR published IS NULL THEN 'null_on_one_side' WHEN abs(recomputed - published) > 1e-12 THEN 'beyond_tolerance' END AS reason
+  FROM a3 FULL JOIN a2 USING (date, factor_name, score_variant, horizon))
+SELECT date, factor_name, score_variant, horizon, 'rank_ic' AS value, round(recomputed, 6) AS recomputed, round(published, 6) AS published, reason FROM a4 WHERE reason IS NOT NULL""",
+    ),
+    "stage_statistics": with_("bars pan sco ic qr to_ stat comp tgt", " UNION ALL ".join(_range(n, t) for n, t in (("bars", "bars"), ("panel", "pan"), ("scored", "sco"), ("ic", "ic"), ("quantiles", "qr"), ("turnover", "to_"), ("static", "stat"), ("composites", "comp"), ("targets", "tgt")))),
+    "source_footers": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, CAST(min({d}) AS DATE) AS min_date, CAST(max({d}) AS DATE) AS max_date, {n} AS columns FROM {t}" for t, d, n in (("lineitem", "l_shipdate", 11), ("events", "ts", 6), ("orders", "o_orderdate", 6))),
+    "source_violations": """
+WITH f AS (SELECT 'lineitem.parquet' AS path, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem UNION ALL SELECT 'events.parquet', count(*), CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) FROM events UNION ALL SELECT 'orders.parquet', count(*), CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders)
+SELECT 'gone.parquet' AS path, 'missing_file' AS rule, CAST(n AS VARCHAR) AS recorded, NULL AS found FROM f WHERE path = 'orders.parquet' UNION ALL SELECT path, 'unrecorded_file', NULL, CAST(n AS VARCHAR) FROM f WHERE path = 'events.parquet'
+UNION ALL SELECT path, 'rows', CAST(n + 1 AS VARCHAR), CAST(n AS VARCHAR) FROM f WHERE path = 'orders.parquet' UNION ALL SELECT path, 'min_date', CAST(a - 1 AS VARCHAR), CAST(a AS VARCHAR) FROM f WHERE path = 'lineitem.parquet'
+UNION ALL SELECT path, 'outside_period', '1990-01-01..2001-06-30', a || '..' || b FROM f WHERE a < DATE '1990-01-01' OR b > DATE '2001-06-30'""",
+    "replaced_year": with_("bars", "SELECT CAST(year(date) AS INT) AS year, count(*) AS rows, CAST(sum(CAST(volume AS BIGINT) * CASE WHEN year(date) = 1998 THEN 2 ELSE 1 END) AS BIGINT) AS volume FROM bars GROUP BY 1"),
+    "cache_faults": f"""
+WITH {_cached}
+SELECT symbol, year, 'not_covered' AS fault, '' AS shards FROM s3 WHERE symbol = '000004' AND year = 1996
+UNION ALL SELECT symbol, year, 'row_without_coverage', shard FROM s3 WHERE symbol = '000004' AND year = 1996 AND row_count > 0
+UNION ALL SELECT symbol, year, 'row_count', shard FROM s3 WHERE symbol = '000006' AND year = 1998
+UNION ALL SELECT symbol, year, 'covered_twice', shard || ',shard9' FROM s3 WHERE symbol = '000005' AND year = 1997
+UNION ALL SELECT '999999', year, 'unexpected', shard FROM s3 WHERE symbol = '000007' AND year = 1999""",
+    "refreshed_cache": f"""
+WITH {_cached}, f AS (SELECT symbol, count(*) AS n FROM s0 WHERE year = 1997 AND o_totalprice > 100000 GROUP BY ALL)
+SELECT s3.symbol, year, CASE WHEN year <> 1997 THEN shard WHEN s3.symbol < '000010' THEN 'round2' ELSE 'round1' END AS shard, CASE WHEN year <> 1997 THEN row_count WHEN s3.symbol < '000010' THEN 0 ELSE coalesce(n, 0) END AS row_count,
+       CASE WHEN year <> 1997 THEN row_count WHEN s3.symbol < '000010' THEN 0 ELSE coalesce(n, 0) END AS rows FROM s3 LEFT JOIN f USING (symbol)""",
+}
 for _family, _digits in (("value", 9), ("momentum", 9), ("reversal", 9), ("liquidity", 12), ("low_volatility", 9), ("size", 9)):
     _names = " ".join(f.name + "*" for f in FACTORS if f.family == _family)
     ORACLE_SQL[f"factor_{_family}"] = with_("fac", "SELECT " + r(f"date symbol {_names}", _digits) + " FROM fac")

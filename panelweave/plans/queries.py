@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import equal_bucket, market
 from ..functions.statistics import benjamini_hochberg, newey_west, published_lag, spearman
-from ..operators import audits, checks, performance, portfolio, preprocess, supplements, universe
+from ..operators import audits, catalogue, checks, comparison, performance, portfolio, preprocess, sizing, supplements, universe
 from ..operators import combination as comb
 from ..operators import evaluation as ev
+from ..operators.delivery import Selection, resolve
 from ..operators.factors import FACTORS, liquidity_proxy, raw_factors
-from ..sources import panel_io
+from ..sources import footers, panel_io, shards
+from ..sources.stage import scratch_dir
 from ..streaming.events import windowed_events
 from .research import HISTORY, HORIZONS, LOOKBACK, PERIODS, PRIMARY, UNIVERSE, Research, research
 
@@ -354,8 +357,41 @@ def trade_costs(r):
 
 @query()
 def fee_coverage(r):
+    """Order days of the turn of 1999 for which a transfer fee rule of a market is missing."""
     _, transfer = _rules(r.spark)
-    return portfolio.uncovered_days(transfer.filter("start < DATE'2000-01-01' OR market = 'sh'"), "1999-12-01", "2000-02-29", ["market"])
+    orders = r.spark.read.parquet(f"{r.sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).filter("day BETWEEN DATE'1999-10-01' AND DATE'2000-03-31'")
+    return portfolio.uncovered_dates(transfer.filter("start < DATE'2000-01-01' OR market = 'sh'"), orders, ["market"])
+
+
+def _planned(r: Research) -> DataFrame:
+    return portfolio.planned_orders(r.targets, universe.execution_panel(r.bars), r.calendar, capital=1e7, lot=100)
+
+
+@query()
+def proportional_buys(r):
+    """What the buys of each date get out of 4,000,000."""
+    wishes = _planned(r).filter("side = 'buy' AND reason IS NULL").select("portfolio_name", "date", "symbol", "quantity", F.col("open_raw").alias("price"))
+    cash = wishes.select("portfolio_name", "date").distinct().withColumn("available_cash", F.lit(4_000_000.0))
+    return sizing.proportional_buys(wishes, cash)
+
+
+SETTINGS = {"participation": 0.5, "fixed_bps": 5.0, "impact_bps": 10.0, "reference": 0.01, "most_bps": 50.0, "commission": 0.0003, "least": 5.0}
+EXPERIMENTS = [
+    ("execution_full_cost", "execution", {}),
+    ("zero_cost", "execution", {"cost_mode": "zero"}),
+    ("explicit_fees", "execution", {"cost_mode": "explicit_only"}),
+    ("participation_10", "execution", {"participation": 0.1}),
+    ("double_slippage", "execution", {"fixed_bps": 10.0, "impact_bps": 20.0}),
+    ("dear_broker", "execution", {"commission": 0.001, "least": 25.0}),
+    ("monthly_rebalance", "portfolio", {"rebalance_months": 1}),
+]
+
+
+@query()
+def execution_scenarios(r):
+    scenarios = sizing.execution_scenarios(r.spark, SETTINGS, EXPERIMENTS)
+    orders, trades = sizing.scenario_trades(_planned(r), scenarios, *_rules(r.spark))
+    return sizing.scenario_summary(orders, trades).withColumns({c: F.round(c, 2) for c in ("amount", "total_cost")})
 
 
 @query()
@@ -593,7 +629,7 @@ def executable_ic(r):
 
 @query()
 def lag_table(r):
-    """p and q values are left to ``factor_p_values``, as SQL has no error function."""
+    """p and q values are those of ``factor_p_values``."""
     primary = F.when(F.col("factor_name") == "log_market_cap", "score").otherwise("score_size_neutral")
     factor = r.ic.filter((F.col("horizon") == PRIMARY) & (F.col("score_variant") == primary)).select(F.lit("factor").alias("object_type"), F.col("factor_name").alias("object_name"), "date", "rank_ic")
     composite = r.composite_ic.filter(F.col("horizon") == PRIMARY).select(F.lit("composite").alias("object_type"), F.col("method").alias("object_name"), "date", "rank_ic")
@@ -803,6 +839,164 @@ def _listed(r: Research) -> DataFrame:
     return r.bars.withColumn("symbol", number)
 
 
+def _shifted(df: DataFrame, test: str, column: str, value) -> DataFrame:
+    return df.withColumn(column, F.when(F.expr(test), value).otherwise(F.col(column)))
+
+
+@query()
+def mvp_targets(r):
+    """The ten strongest of each signal date, held from the next session on."""
+    uni = universe.simple_universe(r.bars, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE)
+    signal = universe.month_ends(universe.momentum_signal(uni, lookback=8, horizon=4))
+    picked = portfolio.top_n(signal, 10, "momentum", score="momentum_z").join(F.broadcast(r.calendar.filter("next_date IS NOT NULL")), "date")
+    return picked.select(F.col("date").alias("signal_date"), F.col("next_date").alias("execution_date"), "symbol", "target_weight")
+
+
+@query()
+def metric_catalogue(r):
+    """Rules that tables with planted faults break."""
+    pairs = ev.redundancy(r.scored)
+    bp5 = r.ic.filter("factor_name = 'bp' AND horizon = 5")
+    tables = {
+        "rank_ic": _shifted(r.ic, "factor_name = 'bp' AND horizon = 60", "horizon", F.lit(61)).unionByName(bp5),
+        "quantile_returns": _shifted(r.quantiles, "factor_name = 'ep_ttm' AND quantile = 5", "quantile", F.lit(6)),
+        "factor_turnover": _shifted(r.turnover, "factor_name = 'momentum_60'", "family", F.lit("value")),
+        "factor_summary": r.summary.filter("NOT (factor_name = 'bp' AND horizon = 60)"),
+        "subperiod_metrics": _shifted(r.periods.withColumnRenamed("subperiod", "period"), "period = '1998-1999' AND factor_name = 'sp_ttm'", "start", F.lit("1998-02-01").cast("date")),
+        "classification": _shifted(classification(r).withColumn("primary_horizon", F.lit(PRIMARY)), "factor_name = 'reversal_5'", "primary_score_variant", F.lit("score")),
+        "factor_correlations": pairs.filter("NOT (factor_a = 'bp' AND factor_b = 'sp_ttm')"),
+        "redundancy_flags": _shifted(ev.redundancy_flags(pairs, 0.5).filter("factor_a <> 'reversal_5'"), "factor_a = 'turnover_20'", "correlation_direction", F.lit("none")),
+    }
+    rules = catalogue.metric_catalogue(horizons=HORIZONS, quantiles=5, start="1996-01-01", end="2001-12-31", periods=PERIODS, primary_horizon=PRIMARY)
+    return catalogue.metric_violations(tables, rules, 0.5)
+
+
+FIGURES = [
+    Selection("ic_rows", "ic", "count"),
+    Selection("ic_rows_20", "ic", "count", where={"horizon": 20}),
+    Selection("ic_factors", "ic", "n_unique", "factor_name"),
+    Selection("ic_months", "ic", "n_unique", "date"),
+    Selection("ic_reasons", "ic", "n_unique", "reason"),
+    Selection("ic_mean_reversal_5", "ic", "mean", "rank_ic", where={"factor_name": "reversal_5", "score_variant": "score_size_neutral", "horizon": 5}),
+    Selection("ic_mean_turnover_20", "ic", "mean", "rank_ic", where={"factor_name": "turnover_20", "score_variant": "score", "horizon": 20}),
+    Selection("ic_weighted_reversal_20", "ic", "sum_ratio", "n_obs", "horizon", where={"factor_name": "reversal_20"}),
+    *[Selection(f"summary_mean_ic_{n}", "summary", "value", "mean_ic", where={"factor_name": n, "score_variant": "score_size_neutral", "horizon": 20}) for n in ("reversal_5", "turnover_20", "amihud_20", "volatility_60")],
+    *[Selection(f"summary_months_{h}", "summary", "value", "valid_months", where={"factor_name": "log_market_cap", "score_variant": "score", "horizon": h}) for h in HORIZONS],
+    Selection("summary_rows", "summary", "count"),
+    Selection("orders_all", "orders", "count"),
+    Selection("orders_portfolios", "orders", "n_unique", "portfolio_name"),
+    Selection("orders_filled_rate", "orders", "sum_ratio", "fill_quantity", "quantity"),
+    Selection("orders_sell_filled_rate", "orders", "sum_ratio", "fill_quantity", "quantity", where={"side": "sell", "portfolio_name": "top20_equal"}),
+    Selection("turnover_mean_bp", "turnover", "mean", "turnover", where={"factor_name": "bp", "score_variant": "score"}),
+]
+
+
+@query()
+def report_figures(r):
+    return resolve({"ic": r.ic, "summary": r.summary, "orders": _orders(r), "turnover": r.turnover}, FIGURES)
+
+
+def _altered(ic: DataFrame) -> DataFrame:
+    """The IC table without some rows, with some twice, and some changed in value."""
+    kept = ic.filter("NOT (factor_name = 'bp' AND horizon = 5)")
+    return _shifted(kept, "factor_name = 'ep_ttm' AND horizon = 60", "rank_ic", F.col("rank_ic") + 0.001).unionByName(ic.filter("factor_name = 'sp_ttm' AND horizon = 20"))
+
+
+@query()
+def run_differences(r):
+    """How many rows of two runs occur how often in each, where that differs."""
+    return comparison.differences(r.ic, _altered(r.ic)).groupBy("times_one", "times_two").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def unreproduced_ic(r):
+    keys = ["date", "factor_name", "score_variant", "horizon"]
+    published = _altered(r.ic).dropDuplicates(keys).filter("NOT (factor_name = 'size' AND horizon = 5)")
+    return comparison.unreproduced(r.ic.filter("NOT (factor_name = 'momentum_60' AND horizon = 60)"), published, keys, ["rank_ic"])
+
+
+@query()
+def stage_statistics(r):
+    """Rows and dates of stage tables, as seen while they were written."""
+    for name in ("bars", "panel", "scored", "ic", "quantiles", "turnover", "static", "composites", "targets"):
+        getattr(r, name)
+    seen = [(s.name, s.rows, s.min_date, s.max_date, s.seconds > 0) for s in r.statistics.values() if s.name in ("bars", "panel", "scored", "ic", "quantiles", "turnover", "static", "composites", "targets")]
+    return r.spark.createDataFrame(seen, "stage string, rows long, min_date date, max_date date, timed boolean")
+
+
+SOURCES = {"lineitem": "l_shipdate", "events": "ts", "orders": "o_orderdate"}
+
+
+@query()
+def source_footers(r):
+    """Rows, dates and columns of the sources from their footers alone."""
+    parts = [footers.footers(r.spark, f"{r.sf_dir}/{t}.parquet", d).withColumn("table_name", F.lit(t)) for t, d in SOURCES.items()]
+    files = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return files.groupBy("table_name").agg(F.sum("rows").alias("rows"), F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"), F.max("columns").alias("columns"))
+
+
+@query()
+def source_violations(r):
+    """The files of the sources against a record with planted faults."""
+    parts = [footers.record_source(r.spark, f"{r.sf_dir}/{t}.parquet", d).withColumn("path", F.lit(f"{t}.parquet")) for t, d in SOURCES.items()]
+    files = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    files = files.groupBy("path").agg(*[f(c).alias(c) for c, f in (("size_bytes", F.sum), ("rows", F.sum), ("schema_sha256", F.min), ("min_date", F.min), ("max_date", F.max), ("sha256", F.min))])
+    recorded = _shifted(files.filter("path <> 'events.parquet'"), "path = 'orders.parquet'", "rows", F.col("rows") + 1)
+    recorded = _shifted(recorded, "path = 'lineitem.parquet'", "min_date", F.col("min_date") - F.expr("INTERVAL 1 DAY"))
+    gone = files.filter("path = 'orders.parquet'").withColumn("path", F.lit("gone.parquet"))
+    return footers.source_violations(recorded.unionByName(gone), files, start="1990-01-01", end="2001-06-30")
+
+
+@query()
+def replaced_year(r):
+    """A built panel after one of its years was built again."""
+    path = f"{scratch_dir(r.spark)}/panel-{uuid.uuid4().hex}"
+    bars = r.bars.select("date", "symbol", F.col("volume").cast("long").alias("volume"))
+    panel_io.write_panel(bars, path)
+    known = footers.record_source(r.spark, path, "date")
+    panel_io.replace_year(bars.filter("year(date) = 1998").withColumn("volume", F.col("volume") * 2), path, 1998, known)
+    return r.spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"))
+
+
+YEARS = list(range(1995, 2002))
+
+
+def _shards(r: Research) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, coverage, symbols) of made-up shards of ``orders``: a security is a customer number modulo 40."""
+    n = F.col("o_custkey") % 40
+    rows = r.spark.read.parquet(f"{r.sf_dir}/orders.parquet").select(
+        F.concat(F.lit("shard"), (n % 3).cast("string")).alias("shard"), F.lpad(n.cast("string"), 6, "0").alias("symbol"), F.year("o_orderdate").alias("year"), "o_orderkey", "o_totalprice"
+    )
+    symbols = rows.select("symbol").distinct()
+    coverage = shards.coverage_of(rows, symbols, YEARS).join(rows.select("symbol", "shard").distinct(), "symbol")
+    return rows, coverage.select("shard", "symbol", "year", "row_count"), symbols
+
+
+@query()
+def cache_faults(r):
+    """What keeps shards with planted faults from making one cache."""
+    rows, coverage, symbols = _shards(r)
+    odd = coverage.filter("NOT (symbol = '000004' AND year = 1996)")
+    odd = _shifted(odd, "symbol = '000006' AND year = 1998", "row_count", F.col("row_count") + 1)
+    again = coverage.filter("symbol = '000005' AND year = 1997").withColumn("shard", F.lit("shard9")).withColumn("row_count", F.lit(0).cast("long"))
+    foreign = coverage.filter("symbol = '000007' AND year = 1999").withColumn("symbol", F.lit("999999")).withColumn("row_count", F.lit(0).cast("long"))
+    found = shards.coverage_faults(odd.unionByName(again).unionByName(foreign), rows, symbols, YEARS)
+    return found.select("symbol", "year", "fault", F.concat_ws(",", "shards").alias("shards"))
+
+
+@query()
+def refreshed_cache(r):
+    """Rows of each security and year after the answers for 1997 came anew: cheap orders are gone, and a later round found nothing for ten securities."""
+    rows, coverage, symbols = _shards(r)
+    rows, coverage = shards.merged_shards(rows, coverage, symbols, YEARS)
+    fresh = rows.filter("year = 1997 AND o_totalprice > 100000").withColumn("shard", F.lit("round1"))
+    first = shards.coverage_of(fresh, symbols, [1997]).withColumn("shard", F.lit("round1")).withColumn("asked_at", F.lit(1))
+    second = first.filter("symbol < '000010'").withColumn("row_count", F.lit(0).cast("long")).withColumn("shard", F.lit("round2")).withColumn("asked_at", F.lit(2))
+    rows, coverage = shards.refreshed(rows, coverage, fresh, first.unionByName(second))
+    held = rows.groupBy("symbol", "year").agg(F.count(F.lit(1)).alias("rows"))
+    return coverage.join(held, ["symbol", "year"], "left").select("symbol", "year", "shard", "row_count", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+
+
 @query()
 def event_windows(r):
     return windowed_events(r.spark.read.parquet(f"{r.sf_dir}/events.parquet"))

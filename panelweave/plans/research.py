@@ -15,7 +15,7 @@ from ..operators import combination as comb
 from ..operators import evaluation as ev
 from ..operators import factors, portfolio, preprocess, universe
 from ..sources.bars import read_bars
-from ..sources.stage import staged
+from ..sources.stage import StageStatistics, staged_with_statistics
 
 HORIZONS = (5, 20, 60)
 PRIMARY = 20
@@ -51,10 +51,16 @@ def forget() -> None:
 class Research:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.statistics: dict[str, StageStatistics] = {}
+
+    def _staged(self, df: DataFrame, name: str, date: str | None = "date") -> DataFrame:
+        """A stage table; what was seen of it as it was written is in ``statistics``."""
+        table, self.statistics[name] = staged_with_statistics(df, name, date)
+        return table
 
     @cached_property
     def bars(self) -> DataFrame:
-        return staged(read_bars(self.spark, self.sf_dir), "bars")
+        return self._staged(read_bars(self.spark, self.sf_dir), "bars")
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -71,15 +77,15 @@ class Research:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return staged(factors.monthly_panel(self.bars, self.universe), "panel")
+        return self._staged(factors.monthly_panel(self.bars, self.universe), "panel")
 
     @cached_property
     def scored(self) -> DataFrame:
-        return staged(preprocess.preprocess(self.panel), "scored")
+        return self._staged(preprocess.preprocess(self.panel), "scored")
 
     @cached_property
     def signal_labels(self) -> DataFrame:
-        return staged(self.labels.join(F.broadcast(universe.signal_dates(self.bars)), "date", "left_semi"), "signal_labels")
+        return self._staged(self.labels.join(F.broadcast(universe.signal_dates(self.bars)), "date", "left_semi"), "signal_labels")
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -87,15 +93,15 @@ class Research:
 
     @cached_property
     def ic(self) -> DataFrame:
-        return staged(ev.rank_ic(self.labelled, HORIZONS), "ic")
+        return self._staged(ev.rank_ic(self.labelled, HORIZONS), "ic")
 
     @cached_property
     def quantiles(self) -> DataFrame:
-        return staged(ev.quantile_returns(self.labelled, PRIMARY), "quantiles")
+        return self._staged(ev.quantile_returns(self.labelled, PRIMARY), "quantiles")
 
     @cached_property
     def turnover(self) -> DataFrame:
-        return staged(ev.top_turnover(self.scored), "turnover")
+        return self._staged(ev.top_turnover(self.scored), "turnover")
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -103,15 +109,15 @@ class Research:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return staged(ev.factor_summary(self.scored, self.ic, self.quantiles, self.turnover, PRIMARY), "summary")
+        return self._staged(ev.factor_summary(self.scored, self.ic, self.quantiles, self.turnover, PRIMARY), "summary", None)
 
     @cached_property
     def static(self) -> DataFrame:
-        return staged(comb.static_scores(self.scored), "static")
+        return self._staged(comb.static_scores(self.scored), "static")
 
     @cached_property
     def weights(self) -> DataFrame:
-        return staged(comb.rolling_ic_weights(self.ic, comb.realization_dates(self.signal_labels), self.scored.select("date"), window=WINDOW, minimum=MINIMUM), "weights")
+        return self._staged(comb.rolling_ic_weights(self.ic, comb.realization_dates(self.signal_labels), self.scored.select("date"), window=WINDOW, minimum=MINIMUM), "weights")
 
     @cached_property
     def rolling(self) -> DataFrame:
@@ -119,15 +125,15 @@ class Research:
 
     @cached_property
     def composites(self) -> DataFrame:
-        return staged(self.static.unionByName(self.rolling), "composites")
+        return self._staged(self.static.unionByName(self.rolling), "composites")
 
     @cached_property
     def composite_ic(self) -> DataFrame:
-        return staged(comb.composite_ic(self.composites, self.signal_labels, HORIZONS), "composite_ic")
+        return self._staged(comb.composite_ic(self.composites, self.signal_labels, HORIZONS), "composite_ic")
 
     @cached_property
     def composite_quantiles(self) -> DataFrame:
-        return staged(comb.composite_quantiles(self.composites, self.signal_labels, PRIMARY), "composite_quantiles")
+        return self._staged(comb.composite_quantiles(self.composites, self.signal_labels, PRIMARY), "composite_quantiles")
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -136,7 +142,7 @@ class Research:
     @cached_property
     def targets(self) -> DataFrame:
         family = self.static.filter("method = 'family_equal'")
-        return staged(portfolio.top_n(family, 10, "top10_equal").select(*portfolio.TARGET).unionByName(portfolio.top_n(family, 20, "top20_equal").select(*portfolio.TARGET)), "targets")
+        return self._staged(portfolio.top_n(family, 10, "top10_equal").select(*portfolio.TARGET).unionByName(portfolio.top_n(family, 20, "top20_equal").select(*portfolio.TARGET)), "targets")
 
     @cached_property
     def liquidity(self) -> DataFrame:

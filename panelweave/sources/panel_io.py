@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import invalid_ohlc, market, padded_symbol, require_none
 from ..operators.checks import row_rules
+from .footers import record_source
 
 # The column headers of the published daily files and their names here.
 RAW_HEADERS = {
@@ -202,6 +203,32 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).parquet(path)
 
 
+def replace_year(rows: DataFrame, path: str, year: int, expected: DataFrame | None = None) -> DataFrame:
+    """Replace the partition of one year of a panel written by :func:`write_panel`; the files of other years stay as they are.
+
+    Returns the files now there (path, size_bytes, rows, ...).  ``expected`` is what the caller
+    believes is there (as from :func:`record_source`).  Raises ValueError, before anything is written, if the
+    files are others, if ``rows`` is empty, or if it holds a date of another year; and
+    after the write if a file of another year changed meanwhile.
+    """
+    spark = rows.sparkSession
+    before = record_source(spark, path, "date").collect()  # one row a file
+    if expected is not None:
+        known = {(r["path"], r["size_bytes"], r["rows"]) for r in expected.collect()}
+        if known != {(r["path"], r["size_bytes"], r["rows"]) for r in before}:
+            raise ValueError(f"{path} is not what it was when the rebuild of {year} began")
+    require_none(rows, ~F.coalesce(F.year("date") == year, F.lit(False)), f"rows of other years than {year}")
+    if not rows.head(1):
+        raise ValueError(f"a rebuild of {year} without rows")
+    parts = rows.withColumn("year", F.lit(year)).repartition(F.pmod(F.xxhash64("symbol"), F.lit(8))).sortWithinPartitions("date", "symbol")
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    after = record_source(spark, path, "date")
+    others = lambda files: {(r["path"], r["size_bytes"], r["rows"]) for r in files if not r["path"].startswith(f"year={year}/")}
+    if others(after.collect()) != others(before):
+        raise ValueError(f"files of other years changed while {year} was replaced")
+    return after
+
+
 def write_families(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     panel.repartition("family", F.pmod(F.xxhash64("symbol"), F.lit(8))).write.mode(mode).partitionBy("family").parquet(path)
 
