@@ -208,7 +208,8 @@ def rarity(texts: DataFrame, n_buckets: int) -> np.ndarray:
     """The table of levels: 0 for cold shingles.  Where an eighth of the slots would be hot, the lowest levels count as cold."""
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     counted = texts.select("text").mapInArrow(_tally(n_buckets), "bucket int, once binary, more binary, counts binary")
-    for row in counted.groupBy("bucket").applyInArrow(_hot(HOT), "slots binary, levels binary").toLocalIterator():
+    hot = written(counted.groupBy("bucket").applyInArrow(_hot(HOT), "slots binary, levels binary"), "ngram-hot")  # all buckets at once
+    for row in hot.toLocalIterator():  # 5 bytes a hot slot, 2**24 slots at most
         table[np.frombuffer(row["slots"], np.uint32)] = np.frombuffer(row["levels"], np.uint8)
     least = HOT
     while np.count_nonzero(table) > len(table) >> 3:

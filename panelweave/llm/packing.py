@@ -12,6 +12,7 @@ as few windows as possible, so at most one sequence of the whole corpus is padde
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,9 @@ _OUT = pa.schema([*[(c, pa.int64()) for c in _FIELDS], ("part", pa.int64()), ("i
 
 _encoders: dict = {}
 
+#: The ranks' own splitter overflows its stack on runs of about a million white-space characters; from 10,000 on the file's tokenizer takes the text.  Each run is looked at once.
+_LONG_GAP = re.compile(r"(?<!\s)\s{10000}")
+
 # Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
@@ -45,8 +49,10 @@ def encoder(json_path: str):
     """text -> token ids, as the ``tokenizers`` file says with add_special_tokens=False.
 
     The same vocabulary as byte-pair ranks runs several times faster, so the ranks beside the
-    file are used once every token of both has proved to stand for the same bytes; only a text that spells a special token goes through the
-    file's own tokenizer.  One encoder is kept in each Python worker.
+    file are used once every token of both has proved to stand for the same bytes, the file's
+    merges to come in the order of the ranks, and its splitting and normalizing to be those of the
+    pattern.  A text that spells a special token, or holds a very long run of white
+    space, goes through the file's own tokenizer.  One encoder is kept in each Python worker.
     """
     if json_path not in _encoders:
         import json
@@ -61,14 +67,17 @@ def encoder(json_path: str):
         with open(twin, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(json_path) as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocabulary = spec["model"]["vocab"]
         added = set(own.get_added_tokens_decoder())
         if {_bytes_of(t): i for t, i in vocabulary.items() if i not in added} != {t: i for t, i in ranks.items() if i not in added}:
             raise ValueError(f"{twin} is not the vocabulary of {json_path}")
+        if not _as_ranks(spec):
+            raise ValueError(f"{json_path} merges or splits otherwise than byte-pair ranks")
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if any(x in text for x in special):
+            if any(x in text for x in special) or _LONG_GAP.search(text):
                 return own.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
@@ -76,6 +85,15 @@ def encoder(json_path: str):
     return _encoders[json_path]
 
 
+def _as_ranks(spec: dict) -> bool:
+    """Whether a tokenizer file merges pairs in the order of the ids they make, and splits texts, unchanged, by the pattern of byte-level vocabularies."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in pairs]
+    plain = not (spec["normalizer"] or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    return plain and all(a < b for a, b in zip(made, made[1:])) and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space")
+
+
 class Packer:
     """Open windows of one partition; finished sequences are appended to ``rows``."""
 

@@ -178,7 +178,8 @@ def _sieve(texts: DataFrame, sizes: list[int], sieves: list, bits: int, n_bucket
         packed = np.packbits(field, bitorder="little")
         return pa.table({"start": pa.array([start], pa.int64()), "bits": pa.array([packed.tobytes()], pa.binary())})
 
-    rows = texts.mapInArrow(emit, "bucket int, hashes binary").groupBy("bucket").applyInArrow(count, "start long, bits binary")
+    counted = texts.mapInArrow(emit, "bucket int, hashes binary").groupBy("bucket").applyInArrow(count, "start long, bits binary")
+    rows = written(counted, "substring-sieve")  # all buckets at once; what is read below is 2**bits bits
     field = np.zeros(1 << (bits - 3), np.uint8)
     for row in rows.toLocalIterator():
         part = np.frombuffer(row["bits"], np.uint8)
