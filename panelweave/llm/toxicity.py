@@ -3,7 +3,7 @@
 The terms of a text are its words (runs of letters, in lower case) and the starts of words
 of 4 to 7 bytes, which stand for all inflections of a stem; each is a 64-bit hash, so distinct
 terms do not share a weight.  A text is the set of its terms that the model knows, each with
-a fixed value: its rarity, from 0 (in every text) to 1 (in one).  The score is the logistic
+a fixed value: the root of its rarity, from 0 (in every text) to 1 (in one).  The score is the logistic
 function of
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
@@ -61,7 +61,7 @@ def _terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(block.n), np.diff(block.bounds))
     hashes, owners = [block.hashes], [text]
     for k in STARTS:
-        at = np.flatnonzero(block.ends - block.starts > k)
+        at = np.flatnonzero(block.ends - block.starts >= k)
         hashes.append(block.ranges.hash(block.starts[at], block.starts[at] + k) ^ _SALTS[k])
         owners.append(text[at])
     return np.concatenate(hashes), np.concatenate(owners)
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, *, class_rows: int = CLASS_ROWS, f
     vocabulary = Vocabulary(np.array([t for t, _ in best], np.int64).view(np.uint64))
     texts_of = dict(best)
     df = np.array([texts_of[t] for t in vocabulary.terms.view(np.int64).tolist()], np.float64)
-    machine = Machine(vocabulary, np.log((rows + 1) / np.maximum(df, 1)) / np.log(rows + 1) if rows else df, 0.0, np.zeros(len(df)), np.zeros((len(df), factors)))
+    machine = Machine(vocabulary, np.sqrt(np.log((rows + 1) / np.maximum(df, 1)) / np.log(rows + 1)) if rows else df, 0.0, np.zeros(len(df)), np.zeros((len(df), factors)))
     if not best:
         share = (got.get(1, 0) * weight[1] + 0.5) / (got.get(1, 0) * weight[1] + got.get(0, 0) * weight[0] + 1.0)
         machine.w0 = float(np.log(share / (1 - share)))
