@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -124,6 +125,12 @@ TEMPLATES: dict[str, str] = {
     "perpetuity of all present and future rights to this software under copyright law.",
 }
 
+#: Long licenses in full, a file each.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "texts")
+for _file in sorted(os.listdir(TEXTS)):
+    with open(os.path.join(TEXTS, _file), encoding="utf-8") as _f:
+        TEMPLATES[_file.removesuffix(".txt") + "-text"] = _f.read()
+
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 GAPS = ~_WORD_BYTES
@@ -213,6 +220,53 @@ def votes_needed(template: np.ndarray, least: float) -> int:
     return max(1, int(prints * (1 - K * (1 - least)) / 2))
 
 
+#: Cells of bands that are aligned side by side.
+CELLS = 1 << 15
+
+
+def bands(votes: dict[int, int], length: int, needed: int) -> dict[int, list[int]]:
+    """{half width: [middle diagonals]} to align a template of ``length`` words in, from its votes by bucket of BAND diagonals (ascending).
+
+    Windows of diagonals, each over twice the reach of an alignment and half over the one before, hold
+    the votes of any match.  A window with ``needed`` votes is a band of its own, unless nearly all of its votes
+    lie in neighbouring buckets: then the buckets with enough votes are narrow bands.  Buckets that have, with
+    their neighbours, less than a sixteenth of the votes needed (a phrase that a long template repeats) do
+    not widen a band.
+    """
+    buckets = np.fromiter(votes, np.int64, len(votes))
+    counts = np.fromiter(votes.values(), np.int64, len(votes))
+    around = lambda at, s: s[np.searchsorted(buckets, at + 2)] - s[np.searchsorted(buckets, at - 1)]
+    kept = around(buckets, np.concatenate([[0], np.cumsum(counts)])) >= max(1, needed // 16)
+    buckets, counts = buckets[kept], counts[kept]
+    if not len(buckets):
+        return {}
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    step = -(-2 * length // BAND)
+    few = max(1, length // 100)
+    out: dict[int, list[int]] = defaultdict(list)
+    near: set[int] = set()
+    first, last = int(buckets[0]) // step - 1, int(buckets[-1]) // step
+    lows = np.unique(np.concatenate([buckets // step - 1, buckets // step])) * step if last - first > 1 else np.array([buckets[0]])
+    for low in lows.tolist():
+        i, j = np.searchsorted(buckets, [low, low + 2 * step])
+        total = int(sums[j] - sums[i])
+        if total < needed:
+            continue
+        at = buckets[i:j]
+        threes = around(at, sums)
+        if threes.max() >= needed and total - int(np.minimum(threes.max(), total)) < few:
+            near.update(at[threes >= needed].tolist())
+        else:
+            reach = (int(at[-1]) - int(at[0]) + 1) * BAND
+            middle = int(at[0]) * BAND + reach // 2
+            half = -(-(reach // 2 + BAND) // (4 * BAND)) * 4 * BAND  # a few widths, so that bands are aligned together
+            if middle not in out[half]:
+                out[half].append(middle)
+    if near:
+        out[BAND + BAND // 2] += [b * BAND + BAND // 2 for b in sorted(near)]
+    return out
+
+
 COLUMNS = "doc_id long, template string, matched_words long, coverage double, span_start long, span_end long"
 
 
@@ -221,7 +275,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     Spans are code points of the whole text, end exclusive.  Of matches that overlap, the
     one with more matched words stays (then the higher coverage, then the template listed
-    first); the words left are searched again, so a template may match many times.  Null
+    first); the words left are searched again, so a template may match many times.  A license
+    with words inserted is one match, as long as fewer are inserted than twice the words matched before them.  Null
     and empty texts match nothing; repeated rows are scanned each; a null id stays null.
     """
     templates = TEMPLATES if templates is None else templates
@@ -246,27 +301,30 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         free = np.ones(len(own), bool)
         found: list[tuple] = []
 
-        def look(t, buckets):
-            for low in range(0, len(buckets), 1024):
-                part = buckets[low : low + 1024]
-                best = align(words[t], own, np.array(part) * BAND + BAND // 2, BAND + BAND // 2, free, math.ceil(least * len(words[t])))
+        def look(t, band, centers):
+            at_once = max(1, CELLS // (2 * band + 1))
+            for low in range(0, len(centers), at_once):
+                part = [d for d in centers[low : low + at_once] if free[max(0, d - band) : max(0, d + band + len(words[t]))].sum() >= least * len(words[t])]
+                if not part:
+                    continue
+                best = align(words[t], own, np.array(part), band, free, math.ceil(least * len(words[t])))
                 for d, matched, first, last in zip(part, *best.tolist(), strict=True):
                     if matched:
-                        heapq.heappush(found, (-matched, -matched / len(words[t]), t, first, last, d))
-
-        near: dict = defaultdict(list)
-        for t, d in sorted(votes):
-            if sum(votes.get((t, d + k), 0) for k in (-1, 0, 1)) >= needed[t]:
-                near[t].append(d)
-        for t, buckets in near.items():
-            look(t, buckets)
+                        heapq.heappush(found, (-matched, -matched / len(words[t]), t, first, last, band, d))
+
+        by_template: dict = defaultdict(dict)
+        for (t, bucket), n in sorted(votes.items()):
+            by_template[t][bucket] = n
+        for t, own_votes in by_template.items():
+            for band, centers in bands(own_votes, len(words[t]), needed[t]).items():
+                look(t, band, centers)
         # A band may hold several matches: after each that is taken, the bands over it are aligned again without its words.
         while found:
-            m, c, t, first, last, d = heapq.heappop(found)
+            m, c, t, first, last, band, d = heapq.heappop(found)
             if free[first : last + 1].all():
                 free[first : last + 1] = False
                 yield names[t], -m, -c, int(block.starts[a + first]), int(block.ends[a + last])
-            look(t, [d])
+            look(t, band, [d])
 
     def run(batches):
         for batch in batches:
