@@ -13,19 +13,22 @@ from .topk import integer_vectors
 
 #: Components below this keep every squared distance of 64 of them inside 64 bits; others go through Python's integers.
 NARROW = 1 << 27
+LONGEST = 1 << 62
 SLOT_SUMS = "slot int, n long, sums array<decimal(38,0)>"
 PIECE = 4096
 
 
 def of_length(embeddings: DataFrame, dim: int, scale: int, *kept: str) -> DataFrame:
     """vec_id, v and the ``kept`` columns of the rows whose vector has ``dim`` sound components; v as in :func:`integer_vectors`."""
-    return integer_vectors(embeddings, scale, *kept).filter(F.col("dim") == dim).drop("dim")
+    rows = integer_vectors(embeddings, scale, *kept).filter(F.col("dim") == dim).drop("dim")
+    wide = F.exists("v", lambda x: (x >= LONGEST) | (x <= -LONGEST))  # where the floor of a double ends
+    return rows.withColumn("v", F.when(~wide, F.col("v")).otherwise(F.raise_error(F.lit("a component is too large for 64 bits")).cast("array<bigint>")))
 
 
 def first_vectors(vectors: DataFrame, order: list[Column], n: int) -> np.ndarray:
     """The first ``n`` vectors, as rows of a matrix; vectors that tie in ``order`` go by their components."""
     rows = vectors.orderBy(*order, "v").select("v").limit(n).collect()
-    return np.array([r[0] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r[0] for r in rows], dtype=np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
