@@ -34,7 +34,8 @@ _OUT = pa.schema([*[(c, pa.int64()) for c in _FIELDS], ("part", pa.int64()), ("i
 _encoders: dict = {}
 
 #: The ranks' own splitter overflows its stack on runs of about a million white-space characters; from 10,000 on the file's tokenizer takes the text.  Each run is looked at once.
-_LONG_GAP = re.compile(r"(?<!\s)\s{10000}")
+GAP = 10_000
+_LONG_GAP = re.compile(rf"(?<!\s)\s{{{GAP}}}")
 
 # Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -77,7 +78,7 @@ def encoder(json_path: str):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if any(x in text for x in special) or _LONG_GAP.search(text):
+            if any(x in text for x in special) or (len(text) >= GAP and _LONG_GAP.search(text)):
                 return own.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
