@@ -78,3 +78,10 @@ def unreproduced(recomputed: DataFrame, published: DataFrame, keys: list[str], v
         return F.struct(F.lit(v).alias("value"), a.alias("recomputed"), b.alias("published"), reason.alias("reason"))
 
     return both.select(*keys, F.explode(F.array(*[entry(v) for v in values])).alias("x")).select(*keys, "x.*").filter("reason IS NOT NULL")
+
+
+def require_reproduced(recomputed: DataFrame, published: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-12) -> None:
+    """Raises ValueError, with some of the keys, if a recomputation does not give the published values."""
+    found = unreproduced(recomputed, published, keys, values, tolerance).orderBy(*keys, "value").limit(5).collect()
+    if found:
+        raise ValueError("published values are not reproduced: " + "; ".join(f"{[r[k] for k in keys]} {r['value']} {r['reason']}" for r in found))

@@ -96,6 +96,13 @@ def overlap(targets: DataFrame, baseline: str, other: str) -> DataFrame:
     return both.select("date", (F.col("k") / F.greatest(F.least("n", "m"), F.lit(1))).alias("holding_overlap"))
 
 
+def compared(targets: DataFrame, diagnostic: DataFrame, baseline: str, other: str) -> DataFrame:
+    """date, holding_overlap, turnover_difference (other less baseline) of the dates that both portfolios have."""
+    turn = lambda n, c: diagnostic.filter(F.col("portfolio_name") == n).select("date", F.col("one_way_turnover").alias(c))
+    both = turn(baseline, "__b").join(turn(other, "__o"), "date").select("date", (F.col("__o") - F.col("__b")).alias("turnover_difference"))
+    return overlap(targets, baseline, other).join(both, "date")
+
+
 def quality_warnings(diagnostic: DataFrame, coverage: DataFrame, *, expected: int, minimum_coverage: float, turnover: float) -> DataFrame:
     """date, portfolio_name, severity, rule, details: one row for each rule that a month breaks."""
     rows = diagnostic.join(coverage, "date", "left")

@@ -1034,6 +1034,35 @@ WITH {_cached}, f AS (SELECT symbol, count(*) AS n FROM s0 WHERE year = 1997 AND
 SELECT s3.symbol, year, CASE WHEN year <> 1997 THEN shard WHEN s3.symbol < '000010' THEN 'round2' ELSE 'round1' END AS shard, CASE WHEN year <> 1997 THEN row_count WHEN s3.symbol < '000010' THEN 0 ELSE coalesce(n, 0) END AS row_count,
        CASE WHEN year <> 1997 THEN row_count WHEN s3.symbol < '000010' THEN 0 ELSE coalesce(n, 0) END AS rows FROM s3 LEFT JOIN f USING (symbol)""",
 }
+ORACLE_SQL |= {
+    "portfolio_comparison": with_(
+        "dia tgt",
+        """, a AS (SELECT date, symbol FROM tgt WHERE portfolio_name = 'top10_equal'), b AS (SELECT date, symbol FROM tgt WHERE portfolio_name = 'top20_equal'),
+c AS (SELECT date, count(a.symbol) AS n, count(b.symbol) AS m, count(CASE WHEN a.symbol IS NOT NULL AND b.symbol IS NOT NULL THEN 1 END) AS k FROM a FULL JOIN b USING (date, symbol) GROUP BY date)
+SELECT date, round(k / greatest(least(n, m), 1), 6) AS holding_overlap, round(o.one_way_turnover - p.one_way_turnover, 6) AS turnover_difference FROM c JOIN (SELECT * FROM dia WHERE portfolio_name = 'top10_equal') p USING (date) JOIN (SELECT * FROM dia WHERE portfolio_name = 'top20_equal') o USING (date)""",
+    ),
+    "valuation_prices": with_(
+        "tgt cal bars",
+        """, h AS (SELECT cal.next_date AS date, tgt.symbol FROM tgt JOIN cal USING (date) WHERE portfolio_name = 'top10_equal' AND next_date IS NOT NULL),
+p AS (SELECT date, symbol, CASE WHEN (dayofyear(date) + CAST(symbol AS INT)) % 5 <> 0 AND open_adj > 0 THEN open_adj END AS o, CASE WHEN ((dayofyear(date) + CAST(symbol AS INT)) % 7 <> 0 OR year(date) < 1996) AND close_adj > 0 THEN close_adj END AS c FROM bars),
+m AS (SELECT date, symbol, c FROM p WHERE c IS NOT NULL)
+SELECT h.date, h.symbol, round(coalesce(p.o, b.c), 6) AS opening_price, round(n.c, 6) AS closing_price, n.date AS close_date
+FROM h LEFT JOIN p ON p.date = h.date AND p.symbol = h.symbol ASOF LEFT JOIN m b ON b.symbol = h.symbol AND b.date < h.date ASOF LEFT JOIN m n ON n.symbol = h.symbol AND n.date <= h.date""",
+    ),
+    "price_mismatches": with_(
+        "bars",
+        """, a AS (SELECT date, symbol, close_adj, (dayofyear(date) + CAST(symbol AS INT)) AS k FROM bars WHERE year(date) = 1999)
+SELECT date, symbol, CAST(round(CAST(close_adj AS DECIMAL(28,9)), 6) AS DOUBLE) AS executed, CASE WHEN k % 101 <> 0 THEN CAST(round(CAST(close_adj + 1 AS DECIMAL(28,9)), 6) AS DOUBLE) END AS rebuilt, CASE WHEN k % 101 = 0 THEN 'missing' ELSE 'differing' END AS fault FROM a WHERE close_adj IS NOT NULL AND (k % 101 = 0 OR k % 97 = 0)""",
+    ),
+    "extended_panel": with_("exe", "SELECT " + r("date symbol adv* limit_rate* is_suspended") + " FROM exe WHERE date <= DATE '2001-12-31'"),
+    "event_contract": """
+WITH e AS (SELECT o_orderkey AS n, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 6, '0') AS source_symbol, CAST(o_orderdate AS DATE) AS effective_date, CASE o_orderkey % 4 WHEN 0 THEN 'cash_exit' WHEN 1 THEN 'stock_merger' WHEN 2 THEN 'write_off' ELSE 'other' END AS event_type,
+  CASE WHEN o_orderkey % 4 = 1 THEN lpad(CAST((o_orderkey + o_orderkey % 3) % 1000 AS VARCHAR), 6, '0') END AS target_symbol, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 5 ELSE 0 END AS ratio, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 3 WHEN o_orderkey % 8 = 1 THEN 1 ELSE 0 END AS cash FROM orders WHERE o_orderkey % 29 = 0)
+SELECT source_symbol, effective_date, 'unknown_type' AS rule FROM e WHERE event_type = 'other' UNION ALL SELECT source_symbol, effective_date, 'sealed_date' FROM e WHERE effective_date > DATE '2001-06-30'
+UNION ALL SELECT source_symbol, effective_date, 'merger_terms' FROM e WHERE event_type = 'stock_merger' AND (target_symbol = source_symbol OR ratio = 0 OR cash <> 0) UNION ALL SELECT source_symbol, effective_date, 'exit_terms' FROM e WHERE event_type = 'cash_exit' AND cash = 0
+UNION ALL SELECT source_symbol, effective_date, 'duplicate_key' FROM e GROUP BY source_symbol, effective_date HAVING count(*) > 1
+UNION ALL SELECT source_symbol, effective_date, 'target_is_gone' FROM e WHERE EXISTS (SELECT 1 FROM e g WHERE g.source_symbol = e.target_symbol AND g.effective_date <= e.effective_date)""",
+}
 for _family, _digits in (("value", 9), ("momentum", 9), ("reversal", 9), ("liquidity", 12), ("low_volatility", 9), ("size", 9)):
     _names = " ".join(f.name + "*" for f in FACTORS if f.family == _family)
     ORACLE_SQL[f"factor_{_family}"] = with_("fac", "SELECT " + r(f"date symbol {_names}", _digits) + " FROM fac")

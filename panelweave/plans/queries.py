@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import equal_bucket, market
 from ..functions.statistics import benjamini_hochberg, newey_west, published_lag, spearman
-from ..operators import audits, catalogue, checks, comparison, performance, portfolio, preprocess, sizing, supplements, universe
+from ..operators import audits, catalogue, checks, comparison, performance, portfolio, preprocess, sizing, supplements, universe, valuation
 from ..operators import combination as comb
 from ..operators import evaluation as ev
 from ..operators.delivery import Selection, resolve
@@ -997,6 +997,51 @@ def refreshed_cache(r):
     return coverage.join(held, ["symbol", "year"], "left").select("symbol", "year", "shard", "row_count", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
 
 
+@query()
+def portfolio_comparison(r):
+    return portfolio.compared(r.targets, portfolio.diagnostics(r.targets), "top10_equal", "top20_equal")
+
+
+@query()
+def valuation_prices(r):
+    """Prices of the ten holdings at the session after each signal, where every fifth opening and every seventh close is missing."""
+    held = r.targets.filter("portfolio_name = 'top10_equal'").join(F.broadcast(r.calendar.filter("next_date IS NOT NULL")), "date").select(F.col("next_date").alias("date"), "symbol")
+    k = F.dayofyear("date") + F.col("symbol").cast("int")
+    panel = r.bars.select("date", "symbol", F.when(k % 5 != 0, F.col("open_adj")).alias("open_adj"), F.when((k % 7 != 0) | (F.year("date") < 1996), F.col("close_adj")).alias("close_adj"))
+    return valuation.valuation_prices(held, panel)
+
+
+@query(6, exact=True)
+def price_mismatches(r):
+    """Executed prices against a panel in which some rows are missing and some prices moved."""
+    k = F.dayofyear("date") + F.col("symbol").cast("int")
+    rebuilt = r.bars.filter(k % 101 != 0).withColumn("close_adj", F.when(k % 97 == 0, F.col("close_adj") + 1).otherwise(F.col("close_adj")))
+    return valuation.price_mismatches(r.bars.filter("year(date) = 1999"), rebuilt)
+
+
+@query()
+def extended_panel(r):
+    """An execution panel to the end of 1998, extended by one that is built from the middle of 1998 on."""
+    columns = ["date", "symbol", "adv", "limit_rate", "is_suspended"]
+    history = universe.execution_panel(r.bars.filter("date < DATE'1999-01-01'")).select(*columns)
+    extension = universe.execution_panel(r.bars.filter("date >= DATE'1998-06-01'")).select(*columns)
+    return valuation.extended_panel(history, extension, start="1999-01-01", end="2001-12-31")
+
+
+@query()
+def event_contract(r):
+    """What a table of security events, made up from large orders, breaks."""
+    n = F.col("o_orderkey")
+    code = lambda x: F.lpad((x % 1000).cast("string"), 6, "0")
+    orders = r.spark.read.parquet(f"{r.sf_dir}/orders.parquet").filter("o_orderkey % 29 = 0")
+    events = orders.select(
+        code(n).alias("source_symbol"), F.col("o_orderdate").cast("date").alias("effective_date"),
+        F.when(n % 4 == 0, "cash_exit").when(n % 4 == 1, "stock_merger").when(n % 4 == 2, "write_off").otherwise("other").alias("event_type"),
+        F.when(n % 4 == 1, code(n + n % 3)).alias("target_symbol"), F.when(n % 4 == 1, (n % 5).cast("double")).otherwise(0.0).alias("ratio"), F.when(n % 4 == 0, (n % 3).cast("double")).otherwise(F.when(n % 8 == 1, 1.0).otherwise(0.0)).alias("cash_per_share"),
+    )
+    return valuation.event_violations(events, "2001-06-30")
+
+
 @query()
 def event_windows(r):
     return windowed_events(r.spark.read.parquet(f"{r.sf_dir}/events.parquet"))
