@@ -87,7 +87,7 @@ def rolling_ic_weights(
 
 def rolling_scores(scored: DataFrame, weights: DataFrame, minimum_families: int = 2) -> DataFrame:
     rows = scored.filter(F.col("factor_name").isin(NAMES) & finite("score_size_neutral"))
-    rows = rows.join(F.broadcast(weights.select("date", "factor_name", "factor_weight")), ["date", "factor_name"])
+    rows = rows.join(weights.select("date", "factor_name", "factor_weight"), ["date", "factor_name"])
     family = rows.groupBy("date", "symbol", "family").agg(
         F.try_divide(F.sum(F.col("score_size_neutral") * F.col("factor_weight")), F.sum("factor_weight")).alias("f"), F.count(F.lit(1)).alias("k")
     )
@@ -108,7 +108,7 @@ def ablation_scores(scored: DataFrame, weights: DataFrame, removed: str) -> Data
     if removed not in CANDIDATES:
         raise ValueError(f"not a candidate family: {removed}")
     rows = scored.filter(F.col("family").isin(*[f for f in CANDIDATES if f != removed]) & finite("score_size_neutral"))
-    rows = rows.join(F.broadcast(weights.filter(F.col("family") != removed).select("date", "factor_name", "factor_weight")), ["date", "factor_name"])
+    rows = rows.join(weights.filter(F.col("family") != removed).select("date", "factor_name", "factor_weight"), ["date", "factor_name"])
     raw = rows.groupBy("date", "symbol").agg(
         F.try_divide(F.sum(F.col("score_size_neutral") * F.col("factor_weight")), F.sum("factor_weight")).alias("raw_score"),
         F.countDistinct("family").alias("family_count"),

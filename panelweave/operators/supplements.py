@@ -262,7 +262,7 @@ def correlation_matrix(pairs: DataFrame, order: list[str]) -> DataFrame:
     both = pairs.select("factor_a", "factor_b", "mean_correlation").unionByName(pairs.select(F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b"), "mean_correlation"))
     value = both.groupBy("factor_a", "factor_b").agg(F.first("mean_correlation", ignorenulls=True).alias("mean_correlation"))
     missing = F.raise_error(F.concat(F.lit("no correlation of "), F.col("factor_a"), F.lit(" and "), F.col("factor_b"))).cast("double")
-    rows = F.broadcast(names).join(value, ["factor_a", "factor_b"], "left")
+    rows = names.join(value, ["factor_a", "factor_b"], "left")
     return rows.select(place[F.col("factor_a")].alias("row"), place[F.col("factor_b")].alias("column"), "factor_a", "factor_b", F.coalesce("mean_correlation", missing).alias("mean_correlation"))
 
 

@@ -653,7 +653,7 @@ def _nav(r: Research) -> DataFrame:
 
 def _slice(r: Research) -> DataFrame:
     nav = _nav(r)
-    boundary = nav.filter(F.col("date") <= F.lit(BOUNDARY).cast("date")).agg(F.max("date")).first()[0]
+    boundary = nav.filter(F.col("date") <= F.lit(BOUNDARY).cast("date")).agg(F.max("date")).first()[0]  # one row
     trades = portfolio.priced(_orders(r)).filter("portfolio_name = 'top20_equal'").select("date", F.lit("equal").alias("candidate"), "amount")
     return supplements.slice_metrics(nav, trades, ["candidate"], boundary=str(boundary), start="1999-01-01", end=LAST)
 
