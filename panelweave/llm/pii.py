@@ -338,8 +338,12 @@ def train(x: np.ndarray, y: np.ndarray, chain: list, skip: list, steps: int = 15
     return {"w": w, "chain": c, "skip": s}
 
 
-def marginals(unary: np.ndarray, links: list[tuple[list[tuple[int, int]], np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy belief propagation, all messages of a round sent at once, until none changes by ``SETTLED`` (or for ``rounds``)."""
+def marginals(unary: np.ndarray, links: list[tuple[list[tuple[int, int]], np.ndarray]], rounds: int = ROUNDS, doc: list[int] | None = None) -> np.ndarray:
+    """Loopy belief propagation, all messages of a round sent at once, until none of the document's changes by ``SETTLED`` (or for ``rounds``).
+
+    ``doc`` names the document of each node (None: one document).  Each stops by itself, so
+    what is found in it does not depend on which others are in the batch.
+    """
     n = len(unary)
     source, target, pair = [], [], []
     for ends, potential in links:
@@ -349,17 +353,21 @@ def marginals(unary: np.ndarray, links: list[tuple[list[tuple[int, int]], np.nda
             pair += [potential, potential.T]
     if source:
         src, dst, pot = np.array(source), np.array(target), np.stack(pair)
-        back = np.arange(len(src)) ^ 1
+        _, own = np.unique(np.zeros(n, np.int64) if doc is None else np.asarray(doc), return_inverse=True)
         message = np.zeros((len(src), unary.shape[1]))
+        live = np.arange(len(src))  # both directions of a link stay side by side
         for _ in range(rounds):
+            now = message[live]
             belief = unary.copy()
-            np.add.at(belief, dst, message)
-            out = belief[src] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + pot, axis=1)
+            np.add.at(belief, dst[live], now)
+            out = belief[src[live]] - now[np.arange(len(live)) ^ 1]
+            new = np.logaddexp.reduce(out[:, :, None] + pot[live], axis=1)
             new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = 0.5 * message + 0.5 * new
-            if change < SETTLED:
+            message[live] = 0.5 * now + 0.5 * new
+            change = np.zeros(own.max() + 1)
+            np.maximum.at(change, own[dst[live]], np.abs(new - now).max(axis=1))
+            live = live[change[own[dst[live]]] >= SETTLED]
+            if not len(live):
                 break
         unary = unary.copy()
         np.add.at(unary, dst, message)
@@ -460,7 +468,7 @@ def _label(g: Graph, texts: list[str], model: dict, out: list[list]) -> None:
     fixed = label > 0  # what a base pattern covers is observed
     unary[fixed] = -30.0
     unary[np.flatnonzero(fixed), label[fixed]] = 0.0
-    p = marginals(unary, [(g.chain, model["chain"]), (g.skip, model["skip"])])
+    p = marginals(unary, [(g.chain, model["chain"]), (g.skip, model["skip"])], doc=[d for d, _, _ in g.at])
     best = p.argmax(axis=1)
     sure = (best > 0) & (p[np.arange(len(p)), best] >= SURE) & ~fixed
     joined = {b for _, b in g.chain}
@@ -497,8 +505,9 @@ def written_spans(spans: list[tuple[int, int, int]]) -> str:
 def with_spans(docs: DataFrame, keep: list[str], text_col: str = "text", model: dict | None = None) -> DataFrame:
     """Columns ``keep`` and n_email, n_ip, n_card, n_phone, base_spans, spans for each row.
 
-    Null text counts as empty and has no spans; repeated rows are marked each for itself.
-    A column of ``keep`` that has the name of a result gives way to it.
+    Null text counts as empty and has no spans; repeated rows are marked each for itself, and
+    an empty table gives no rows.  A text of any length is searched whole, as one graph that
+    grows with its tokens.  A column of ``keep`` that has the name of a result gives way to it.
     """
     own = {*(f"n_{k}" for k in KINDS), "base_spans", "spans"}
     keep = [c for c in keep if c not in own]

@@ -238,6 +238,39 @@ def test_ngram_join_with_hot_shingles(spark, monkeypatch, hot, block):
     rows += [(1000 + i, rows[5][1]) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert components(df) == brute_components(rows, links=True)
+    least = {c for _, n, c in brute_components(rows) if n}
+    kept = {r["doc_id"] for r in ngram_join.one_of_each(df).collect()}
+    assert kept == least
+
+
+def test_forest_of_links_equals_all_pairs(monkeypatch):
+    rng = random.Random(4)
+    for dense in (6, 256):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        for _ in range(40):
+            bases = [rng.sample(range(1000), 40) for _ in range(rng.randint(1, 4))]
+            sets = []
+            for _ in range(rng.randint(1, 30)):
+                base = rng.choice(bases)
+                sets.append(np.unique(np.array(rng.sample(base, rng.randint(25, 40)) + [rng.randrange(2000) for _ in range(rng.randint(0, 9))], np.uint64)))
+            parent = list(range(len(sets)))
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            links = list(ngram_join.reached(sets))
+            assert len(links) <= 2 * len(sets)
+            for p, q in links:
+                both = len(np.intersect1d(sets[p], sets[q]))
+                assert 100 * both >= 75 * (len(sets[p]) + len(sets[q]) - both)
+                parent[find(p)] = find(q)
+            for i in range(len(sets)):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                        assert find(i) == find(j)
 
 
 def test_pages_of_one_template_are_not_compared(spark):
@@ -709,6 +742,50 @@ def test_propagation_with_a_cycle_is_near_the_exact_marginals():
         assert np.abs(p[i] - exact).max() < 0.05 and p[i].argmax() == exact.argmax()
 
 
+def test_a_document_settles_by_itself():
+    """Marginals do not depend on which other documents are in the batch."""
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    chain, skip = rng.normal(0, 1.5, (k, k)), rng.normal(0, 1.5, (k, k))
+    skip = (skip + skip.T) / 2
+    alone, unary, doc, links = [], [], [], ([], [])
+    for d in range(8):
+        n = 1 + 3 * d
+        u = np.log(rng.dirichlet(np.ones(k), n))
+        own = [(i, i + 1) for i in range(n - 1)], [(0, i) for i in range(2, n, 2)]
+        alone.append(pii.marginals(u, [(own[0], chain), (own[1], skip)]))
+        for to, ends in zip(links, own, strict=True):
+            to += [(a + len(doc), b + len(doc)) for a, b in ends]
+        unary.append(u)
+        doc += [d] * n
+    together = pii.marginals(np.concatenate(unary), [(links[0], chain), (links[1], skip)], doc=doc)
+    assert np.abs(together - np.concatenate(alone)).max() < 1e-12
+
+
+@pytest.mark.parametrize("out", [(0, 1), (1, 2), (0, 2)])
+def test_forms_left_out_of_training_are_found(monkeypatch, out):
+    """A field that was trained without two forms of each kind finds those forms too.
+
+    But for addresses with ``(at)`` and ``[at]`` when neither was in training: no other form has
+    that feature, so its weight stays zero.
+    """
+    all_forms = pii.BREAKS
+    monkeypatch.setattr(pii, "BREAKS", {k: [f for i, f in enumerate(fs) if i not in out] for k, fs in all_forms.items()})
+    model = pii.learn([(g.x, g.y, g.chain, g.skip) for i in range(10, 60) for g in pii._graphs(i, personal(i))])
+    monkeypatch.setattr(pii, "BREAKS", {k: [fs[i] for i in out] for k, fs in all_forms.items()})
+    hit, total = collections.Counter(), collections.Counter()
+    for i in range(60, 99):
+        text = personal(i)
+        other, moved = pii.broken(text, pii.base_spans(text), random.Random(i))
+        base, more = pii.find([other], model)
+        for k, a, b in moved:
+            total[k] += 1
+            hit[k] += any(kind == k and s < b and e > a for kind, s, e in [*base[0], *more[0]])
+    assert all(n == 39 for n in total.values())
+    for k in total:
+        assert hit[k] >= (0 if (k, out) == (0, (1, 2)) else 20)
+
+
 def test_skip_links_spread_labels():
     n = len(pii.LABELS)
     agree = np.where(np.eye(n) > 0, 2.0, -2.0)
