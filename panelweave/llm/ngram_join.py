@@ -448,9 +448,7 @@ def _exact(batches):
             left, right = (batch.column(i)[at].as_py() for i in (1, 2))
             x = [np.frombuffer(r["set"], np.uint64) for r in left]
             y = [np.frombuffer(r["set"], np.uint64) for r in right] if right else x
-            n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
-            both = common_counts(x, y).astype(np.int64)
-            linked = 100 * both >= 75 * (n[:, None] + m[None, :] - both)
+            linked = _linked(x, y)
             other = right or left
             for p, q in forest(linked):
                 if left[p]["node"] != other[q]["node"]:
@@ -467,6 +465,79 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links, pa.int64())], ["a", "b", "links"])
 
 
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    both = common_counts(left, right).astype(np.int64)
+    return 100 * both >= 75 * (n[:, None] + m[None, :] - both)
+
+
+def reached(sets: list[np.ndarray]):
+    """(i, j) links, at most two a set, that connect all that the links among ``sets`` connect.
+
+    What the first one reaches is settled by comparing each newly reached set with those not
+    reached yet, so a tight group costs a comparison a member; the rest is compared whole.
+    """
+    front, rest = np.array([0]), np.arange(1, len(sets))
+    while len(front) and len(rest):
+        linked = _linked([sets[i] for i in front], [sets[i] for i in rest])
+        hit = linked.any(axis=0)
+        yield from zip(front[linked[:, hit].argmax(axis=0)].tolist(), rest[hit].tolist(), strict=True)
+        front, rest = rest[hit], rest[~hit]
+    if len(rest):
+        own = [sets[i] for i in rest]
+        for p, q in forest(_linked(own, own)):
+            if p != q:
+                yield int(rest[p]), int(rest[q])
+
+
+def _reached(batches):
+    """For the blocks of clusters with themselves: a, b of links that connect what is linked there."""
+    for batch in batches:
+        a, b = [], []
+        for at in range(batch.num_rows):
+            side = batch.column(1)[at].as_py()
+            for p, q in reached([np.frombuffer(r["set"], np.uint64) for r in side]):
+                a.append(side[p]["node"]), b.append(side[q]["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _exact_forest(texts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """a, b of exact links that connect all that is linked inside ``clusters`` (gid, node, n, rep).
+
+    Each node is sent once, to the block of its part of the cluster.  Clusters of several
+    parts then compare one node of each component found so far, and only those that this
+    does not join are compared in all their square blocks.
+    """
+
+    def edges(members: DataFrame, tag: str, across: bool) -> DataFrame:
+        held = _read_sets(texts, members).withColumn("copies", F.lit(1).cast("long"))
+        squares = _squares(members.select("gid", "node", "n"), held, ["node", "copies", "set"], across)
+        if across:
+            found = squares.mapInArrow(_exact, "a binary, b binary, links long").filter("b IS NOT NULL").select("a", "b")
+        else:
+            found = squares.mapInArrow(_reached, "a binary, b binary")
+        return written(found, tag, 16)
+
+    size = clusters.groupBy("gid").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("volume"))
+    large = clusters.join(size.filter((F.col("many") > BLOCK) | (F.col("volume") > SETS)).select("gid"), "gid")
+
+    def apart(links: DataFrame) -> DataFrame:
+        own = large.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = own.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gid")
+        return written(own.join(several, "gid"), "ngram-apart")
+
+    found = edges(clusters, "ngram-within", False)
+    if large.isEmpty():
+        return found
+    left = apart(found)
+    if left.isEmpty():
+        return found
+    heads = left.groupBy("gid", "root").agg(F.min_by(F.struct("node", "n", "rep"), "node").alias("h")).select("gid", "h.*")
+    found = found.unionByName(edges(heads, "ngram-heads", True))
+    left = apart(found)
+    return found if left.isEmpty() else found.unionByName(edges(left, "ngram-rest", True))
+
+
 def _describe(batches):
     for batch in batches:
         n, node, sk = [], [], []
@@ -548,11 +619,12 @@ def _groups(lists: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return m.groupBy(F.col("to").alias("gid"), "node", "root").agg(F.min("light").alias("light"))
 
 
-def _squares(members: DataFrame, held: DataFrame, one: list[str]) -> DataFrame:
+def _squares(members: DataFrame, held: DataFrame, one: list[str], across: bool = True) -> DataFrame:
     """gid, x, y: square blocks of the groups, each side an array of nodes (y null: x with itself).
 
     ``members`` has gid, node and n; ``held`` the wide columns of a node.  A side has about
-    ``BLOCK`` nodes and ``SETS`` shingles at most.
+    ``BLOCK`` nodes and ``SETS`` shingles at most.  Without ``across`` only the blocks of a
+    side with itself are made, so each node is sent once.
     """
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SETS))
     sizes = members.groupBy("gid").agg(parts.cast("int").alias("parts"), F.count(F.lit(1)).alias("many")).filter("many > 1")
@@ -560,7 +632,7 @@ def _squares(members: DataFrame, held: DataFrame, one: list[str]) -> DataFrame:
         members.join(sizes.select("gid", "parts"), "gid")
         .join(held, "node")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("part"))
         .withColumn("p", F.least("part", "other"))
         .withColumn("q", F.greatest("part", "other"))
     )
@@ -574,8 +646,8 @@ def _squares(members: DataFrame, held: DataFrame, one: list[str]) -> DataFrame:
     )
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest (of the text), n, root (null: no shingle), component_id, links for each row."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, count_links: bool = True) -> DataFrame:
+    """doc_id, digest (of the text), n, root (null: no shingle), component_id, links (null unless counted) for each row."""
     spark = docs.sparkSession
     texts = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     described = texts.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
@@ -606,19 +678,26 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     possible = possible.unionByName(written(searched.distinct(), "ngram-forest", 32))
     clusters = written(connected(possible).join(nodes.select("node", "n", "rep", "copies"), "node").withColumnRenamed("root", "gid"), "ngram-clusters")
 
-    held = _read_sets(texts, clusters)
-    exact = written(
-        _squares(clusters.select("gid", "node", "n"), held.join(nodes.select("node", "copies"), "node"), ["node", "copies", "set"]).mapInArrow(
-            _exact, "a binary, b binary, links long"
-        ),
-        "ngram-exact",
-        16,
-    )
-    roots = written(connected(exact.filter("b IS NOT NULL").select("a", "b")), "ngram-roots")
-    counts = exact.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    if count_links:
+        held = _read_sets(texts, clusters)
+        exact = written(
+            _squares(clusters.select("gid", "node", "n"), held.join(nodes.select("node", "copies"), "node"), ["node", "copies", "set"]).mapInArrow(
+                _exact, "a binary, b binary, links long"
+            ),
+            "ngram-exact",
+            16,
+        )
+        edges = exact.filter("b IS NOT NULL").select("a", "b")
+        counts = exact.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    else:
+        edges = _exact_forest(texts, clusters)
+    roots = written(connected(edges), "ngram-roots")
 
     found = nodes.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = found.join(counts, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    if count_links:
+        found = found.join(counts, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    else:
+        found = found.withColumn("links", F.lit(None).cast("long"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = found.join(least, "root").select("node", "root", "component_id", "links")
     full = rows.filter("n > 0").select("doc_id", "digest", "n", "node").join(found, "node")
@@ -646,7 +725,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows without words are components of their own and stay.  All columns are kept; of
     rows equal in id and text that would stay, one does.
     """
-    marked = written(_marked(docs, id_col, text_col), "ngram-marked")
+    marked = written(_marked(docs, id_col, text_col, count_links=False), "ngram-marked")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")
     kept = marked.filter("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.digest")
     kept = kept.unionByName(marked.filter("root IS NULL").select("doc_id", "digest").distinct())
