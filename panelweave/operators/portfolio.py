@@ -186,6 +186,27 @@ def rebalance_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame,
     return rows.select("portfolio_name", "signal_date", "date", "symbol", "side", "quantity", "fill_quantity", "open_raw", "adv", "reason")
 
 
+def fill_statistics(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, order_count, filled, partially_filled, expired, trade_count, the rates of filled and of partly filled orders, and unfilled_rate (share of the quantity).
+
+    ``orders``: keys, quantity, fill_quantity.  An order without a quantity (no price to plan
+    it at) has expired and counts in no share of the quantity; one filled beyond its quantity raises.
+    """
+    got = F.coalesce("fill_quantity", F.lit(0))
+    over = F.when(got > F.col("quantity"), F.raise_error(F.lit("an order is filled beyond its quantity")).cast("boolean"))
+    n = F.count(F.lit(1))
+    rows = orders.withColumn("__over", over).withColumn("__whole", F.coalesce("__over", (got > 0) & (got == F.col("quantity"))))
+    out = rows.groupBy(*keys).agg(
+        n.alias("order_count"), F.count_if("__whole").alias("filled"), F.count_if((got > 0) & (got < F.col("quantity"))).alias("partially_filled"),
+        F.count_if(got == 0).alias("expired"), F.count_if(got > 0).alias("trade_count"), F.sum("quantity").alias("__q"), F.sum(F.when(F.col("quantity").isNotNull(), got)).alias("__f"),
+    )
+    share = lambda c: F.try_divide(c, "order_count")
+    return out.select(
+        *keys, "order_count", "filled", "partially_filled", "expired", "trade_count", share("filled").alias("filled_order_rate"), share("partially_filled").alias("partially_filled_order_rate"),
+        (1 - F.try_divide("__f", "__q")).alias("unfilled_rate"),
+    )
+
+
 def priced(orders: DataFrame, *, fixed_bps: float | Column = 5.0, impact_bps: float | Column = 10.0, reference: float | Column = 0.01, most_bps: float | Column = 50.0) -> DataFrame:
     """Adds impact_bps and execution_price (square-root impact, capped; price half up at 0.01) to filled orders.
 

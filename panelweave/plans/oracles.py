@@ -619,6 +619,13 @@ SELECT date, symbol, size_group, CAST(row_number() OVER (PARTITION BY date, size
     "trade_costs": with_("cost", "SELECT " + r("portfolio_name date symbol side fill_quantity amount* commission* stamp_duty* transfer_fee* slippage_cost* impact_cost* total_cost*", 6, True) + " FROM cost"),
     "fee_coverage": "SELECT CAST(day AS DATE) AS day, 'sz' AS market, CAST(0 AS BIGINT) AS rules FROM generate_series(DATE '2000-01-01', DATE '2000-02-29', INTERVAL 1 DAY) AS t(day)",
     "blocked_orders": with_("ord", "SELECT portfolio_name, side, reason, count(*) AS orders FROM ord WHERE reason IS NOT NULL GROUP BY ALL"),
+    "fill_statistics": with_(
+        "ord",
+        """SELECT portfolio_name, side, count(*) AS order_count, count(*) FILTER (fill_quantity = quantity AND fill_quantity > 0) AS filled, count(*) FILTER (fill_quantity > 0 AND fill_quantity < quantity) AS partially_filled,
+  count(*) FILTER (coalesce(fill_quantity, 0) = 0) AS expired, count(*) FILTER (fill_quantity > 0) AS trade_count, round(count(*) FILTER (fill_quantity = quantity AND fill_quantity > 0) / count(*), 6) AS filled_order_rate,
+  round(count(*) FILTER (fill_quantity > 0 AND fill_quantity < quantity) / count(*), 6) AS partially_filled_order_rate, round(1 - sum(CASE WHEN quantity IS NOT NULL THEN coalesce(fill_quantity, 0) END) / sum(quantity), 6) AS unfilled_rate
+FROM ord GROUP BY ALL""",
+    ),
     "universe_benchmark": with_("bench", "SELECT date, round(ln(equal_weight), 6) AS log_equal_weight, round(ln(cap_weight), 6) AS log_cap_weight, member_count FROM bench"),
     "relative_performance": with_(
         "bench",

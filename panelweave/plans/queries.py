@@ -423,6 +423,11 @@ def relative_performance(r):
     return performance.relative_performance(levels.withColumn("pair", F.lit("equal_over_cap")), ["pair"], 6.75)
 
 
+@query()
+def fill_statistics(r):
+    return portfolio.fill_statistics(_orders(r), ["portfolio_name", "side"])
+
+
 @query()
 def benchmark_drawdown(r):
     return universe.drawdown(_benchmark(r).withColumn("k", F.lit(1)), ["k"], "date", "equal_weight").select("date", "drawdown")

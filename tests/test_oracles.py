@@ -20,7 +20,7 @@ NAMES = [
     "mvp_ic_summary", "supplement_ic", "attached_metrics", "target_contract", "sealed_dates", "source_coverage", "variant_targets",
     "fee_coverage", "factor_p_values", "block_bootstrap", "proportional_buys", "execution_scenarios", "mvp_targets", "metric_catalogue", "report_figures", "run_differences", "unreproduced_ic", "stage_statistics",
     "source_footers", "source_violations", "replaced_year", "cache_faults", "refreshed_cache",
-    "portfolio_comparison", "valuation_prices", "price_mismatches", "extended_panel", "event_contract",
+    "portfolio_comparison", "valuation_prices", "price_mismatches", "extended_panel", "event_contract", "fill_statistics",
 ]
 
 

@@ -95,3 +95,14 @@ def test_published_values_must_be_reproduced(spark):
 def test_industries_support_no_conclusion(spark):
     segments = spark.createDataFrame([("industry", "x"), ("market_trend", "up")], "segment_type string, segment string")
     assert valuation.industry_limitation(segments).collect() == [("descriptive_only", "historical_industry_point_in_time_unverified", False, 1)]
+
+
+def test_fill_statistics(spark):
+    rows = [("a", 100, 100), ("a", 200, 50), ("a", 300, 0), ("a", None, 0), ("b", None, None)]
+    orders = spark.createDataFrame(rows, "k string, quantity long, fill_quantity long")
+    got = {r["k"]: r for r in portfolio.fill_statistics(orders, ["k"]).collect()}
+    assert tuple(got["a"])[1:] == (4, 1, 1, 2, 2, 0.25, 0.25, 0.75)
+    assert tuple(got["b"])[1:] == (1, 0, 0, 1, 0, 0.0, 0.0, None)
+    assert portfolio.fill_statistics(orders.limit(0), ["k"]).count() == 0
+    with pytest.raises(Exception, match="beyond its quantity"):
+        portfolio.fill_statistics(spark.createDataFrame([("a", 1, 2)], orders.schema), ["k"]).collect()
