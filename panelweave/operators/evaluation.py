@@ -170,7 +170,8 @@ def redundancy(scored: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     """factor_a, factor_b, mean_correlation, common_months: mean monthly rank correlation over common symbols.
 
     Ranks are taken within the common sample of each pair; one self-join on (date, symbol)
-    makes all pairs, a fixed number for each scored row.
+    makes all pairs, a fixed number for each scored row.  Both directions of a pair come from one
+    row: a mean computed twice may differ in its last digit, as rows arrive in another order.
     """
     rows = primary_scores(scored).filter(finite("value"))
     a = rows.select("date", "symbol", F.col("factor_name").alias("factor_a"), F.col("value").alias("x"))
@@ -178,8 +179,10 @@ def redundancy(scored: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     pairs = a.join(b, ["date", "symbol"]).filter("factor_a <= factor_b")
     monthly = spearman(pairs, ["date", "factor_a", "factor_b"], "x", "y", minimum, REASONS)
     half = monthly.groupBy("factor_a", "factor_b").agg(F.avg("rank_ic").alias("mean_correlation"), F.count("rank_ic").alias("common_months"))
-    other = half.filter("factor_a <> factor_b").select(F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b"), "mean_correlation", "common_months")
-    return half.unionByName(other)
+    a, b = F.col("factor_a").alias("a"), F.col("factor_b").alias("b")
+    other = F.struct(F.col("factor_b").alias("a"), F.col("factor_a").alias("b"))
+    sides = F.explode(F.when(F.col("factor_a") == F.col("factor_b"), F.array(F.struct(a, b))).otherwise(F.array(F.struct(a, b), other))).alias("s")
+    return half.select(sides, "mean_correlation", "common_months").select(F.col("s.a").alias("factor_a"), F.col("s.b").alias("factor_b"), "mean_correlation", "common_months")
 
 
 def redundancy_flags(correlations: DataFrame, threshold: float = 0.7) -> DataFrame:
