@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def weekly_bars(lineitem: DataFrame) -> DataFrame:
+# Columns that repeat another one.
+SAME = {"open_adj": "open_raw", "high_adj": "high_raw", "low_adj": "low_raw"}
+BARS = [
+    "date", "symbol", "open_raw", "high_raw", "low_raw", "close_raw", "prev_close_raw", "open_adj", "high_adj", "low_adj", "close_adj", "prev_close_adj",
+    "volume", "amount", "turnover", "total_market_cap", "pe_ttm", "pb", "ps_ttm", "is_st",
+]
+
+
+def weekly_bars(lineitem: DataFrame, parts: int | None = None) -> DataFrame:
+    """One shuffle, of order lines by symbol: most weeks of a symbol have one or two lines, so summing before it would save nothing.
+
+    ``parts``: number of partitions, by symbol; Spark's own choice if None.
+    """
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
     place = F.unix_date(F.to_date("l_shipdate")) * F.lit(10**12) + F.col("l_orderkey") * 10 + F.col("l_linenumber")
     week = lineitem.select(
@@ -24,7 +36,7 @@ def weekly_bars(lineitem: DataFrame) -> DataFrame:
         "l_tax",
         (F.col("l_returnflag") == "R").cast("int").alias("returned"),
     )
-    bar = week.groupBy("symbol", "date").agg(
+    bar = week.repartition(*([parts] if parts else []), "symbol").groupBy("symbol", "date").agg(
         F.min_by("unit", "place").alias("open_raw"),
         F.max("unit").alias("high_raw"),
         F.min("unit").alias("low_raw"),
@@ -63,8 +75,8 @@ def weekly_bars(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def read_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+def read_bars(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return weekly_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), parts)
 
 
 BARS_SQL = """

@@ -1,6 +1,12 @@
 """What larger tables showed: results that depended on the order of rows, and rows sent that nothing needs."""
 
 from panelweave.operators import evaluation as ev
+from panelweave.operators import factors, universe, valuation
+from panelweave.plans.queries import QUERIES
+from panelweave.sources import stage
+from panelweave.sources.bars import BARS, read_bars
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -13,3 +19,40 @@ def test_both_directions_of_a_correlation_come_from_one_mean(spark):
     assert plan(pairs).count("avg(rank_ic") == 1
     got = {(r["factor_a"], r["factor_b"]): r["mean_correlation"] for r in pairs.collect()}
     assert len(got) == 4 and got["reversal_5", "turnover_20"] == got["turnover_20", "reversal_5"]
+
+
+def shuffles(df, key: str = "") -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({key}")
+
+
+def test_bars_shuffle_order_lines_once(spark):
+    bars = read_bars(spark, SF)
+    assert shuffles(bars) == 1
+    assert bars.columns == BARS
+
+
+def test_windows_over_staged_buckets_need_no_shuffle(spark):
+    table = stage.staged_buckets(read_bars(spark, SF, 4), "bars", "symbol", "date", 4)
+    assert shuffles(universe.forward_labels(table, (5,))) == 0
+    assert sorted(table.collect()) == sorted(read_bars(spark, SF).collect())
+    assert shuffles(QUERIES["forward_labels"](spark, SF)) == 0
+
+
+def test_monthly_panel_sends_the_factors_of_signal_dates_alone(spark):
+    bars = read_bars(spark, SF)
+    assert plan(factors.monthly_panel(bars, bars.withColumn("is_eligible", bars["is_st"]), ["reversal_5"])).count("Join LeftSemi") == 2
+
+
+def test_mvp_signal_ranks_after_a_symbols_windows(spark):
+    assert shuffles(QUERIES["mvp_signal"](spark, SF), "symbol") == 0
+
+
+def test_executable_labels_send_the_entry_dates_alone(spark):
+    bars = read_bars(spark, SF)
+    assert plan(universe.executable_labels(bars, bars, (5,), "2001-06-30")).count("Join LeftSemi") == 1
+
+
+def test_valuation_prices_shuffle_once(spark):
+    bars = spark.range(1).selectExpr("DATE'2000-01-03' AS date", "CAST(id AS STRING) AS symbol", "1.0D AS open_adj", "1.0D AS close_adj")
+    got = valuation.valuation_prices(bars, bars)._jdf.queryExecution().executedPlan().toString()
+    assert got.count("Exchange hashpartitioning(symbol") == 1 and "hashpartitioning(date" not in got.split("Union")[0]
