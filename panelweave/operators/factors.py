@@ -102,8 +102,10 @@ def raw_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
 def monthly_panel(panel: DataFrame, universe: DataFrame, names: list[str] | None = None) -> DataFrame:
     """date, symbol, factor_name, family, raw_value for eligible symbols on the last date of each month."""
     names = [f.name for f in FACTORS] if names is None else names
-    keys = universe.filter("is_eligible").select("date", "symbol").join(F.broadcast(signal_dates(panel)), "date", "left_semi")
-    wide = keys.join(raw_factors(panel, names), ["date", "symbol"], "left")
+    dates = F.broadcast(signal_dates(panel))
+    keys = universe.filter("is_eligible").select("date", "symbol").join(dates, "date", "left_semi")
+    # The other dates' factors are left where they were computed.
+    wide = keys.join(raw_factors(panel, names).join(dates, "date", "left_semi"), ["date", "symbol"], "left")
     family = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(BY_NAME[n].family))])
     return wide.unpivot(["date", "symbol"], names, "factor_name", "raw_value").select(
         "date", "symbol", "factor_name", family[F.col("factor_name")].alias("family"), "raw_value"
