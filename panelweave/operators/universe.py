@@ -17,10 +17,15 @@ def past() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("date")
 
 
-def simple_universe(panel: DataFrame, *, minimum_history: int = 252, lookback: int = 20, size: int = 1000) -> DataFrame:
-    """Adds history_observations, amount_mean, liquidity_rank (over all symbols of a date) and is_eligible."""
+def simple_universe(panel: DataFrame, *, minimum_history: int = 252, lookback: int = 20, size: int = 1000, dates: DataFrame | None = None) -> DataFrame:
+    """Adds history_observations, amount_mean, liquidity_rank (over all symbols of a date) and is_eligible.
+
+    Only rows on the dates of ``dates`` (a calendar), if given, are ranked and returned.
+    """
     df = panel.withColumn("__amount", when_finite("amount")).withColumn("history_observations", F.count("date").over(past().rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("amount_mean", complete(F.avg, "__amount", past(), lookback)).drop("__amount")
+    if dates is not None:
+        df = df.join(F.broadcast(dates), "date", "left_semi")
     ranked = Window.partitionBy("date").orderBy(F.col("amount_mean").desc_nulls_last(), "symbol")
     df = df.withColumn("liquidity_rank", F.when(F.col("amount_mean").isNotNull(), F.row_number().over(ranked)))
     ok = (
@@ -65,11 +70,20 @@ def forward_labels(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return df.drop("__valid", "__i")
 
 
+def momentum_returns(panel: DataFrame, *, lookback: int = 60, horizon: int = 20) -> DataFrame:
+    """Adds momentum and forward_return over a symbol's rows."""
+    df = panel.withColumn("__c", F.when(positive("close_adj"), F.col("close_adj")))
+    df = df.withColumn("momentum", safe_return("__c", F.lag("__c", lookback).over(past())))
+    return df.withColumn("forward_return", safe_return(F.lead("__c", horizon).over(past()), F.col("__c"))).drop("__c")
+
+
 def momentum_signal(universe: DataFrame, *, lookback: int = 60, horizon: int = 20) -> DataFrame:
     """Adds momentum, forward_return and momentum_z, standardized over the eligible symbols of a date (ddof 1)."""
-    df = universe.withColumn("__c", F.when(positive("close_adj"), F.col("close_adj")))
-    df = df.withColumn("momentum", safe_return("__c", F.lag("__c", lookback).over(past())))
-    df = df.withColumn("forward_return", safe_return(F.lead("__c", horizon).over(past()), F.col("__c"))).drop("__c")
+    return standardized_momentum(momentum_returns(universe, lookback=lookback, horizon=horizon))
+
+
+def standardized_momentum(df: DataFrame) -> DataFrame:
+    """Adds momentum_z to rows that have momentum and is_eligible; needs all eligible rows of a date."""
     day = Window.partitionBy("date")
     own = F.when(F.col("is_eligible"), F.col("momentum"))
     mean, std = F.avg(own).over(day), F.stddev_samp(own).over(day)
@@ -106,7 +120,9 @@ def executable_labels(panel: DataFrame, signals: DataFrame, horizons: tuple[int,
     for h in horizons:
         rows = rows.withColumn(f"__open_{h}", F.lead("open_adj", h).over(past())).withColumn(f"__date_{h}", F.lead("date", h).over(past()))
     entry = rows.select(F.col("symbol"), F.col("date").alias("next_date"), F.col("open_adj").alias("__entry"), *[f"__{x}_{h}" for h in horizons for x in ("open", "date")])
-    out = signals.select("date", "symbol").join(F.broadcast(next_dates(panel)), "date", "left").join(entry, ["symbol", "next_date"], "left")
+    out = signals.select("date", "symbol").join(F.broadcast(next_dates(panel)), "date", "left")
+    entry = entry.join(F.broadcast(out.select("next_date").distinct()), "next_date", "left_semi")  # one row a signal date
+    out = out.join(entry, ["symbol", "next_date"], "left")
     for h in horizons:
         r = F.try_divide(f"__open_{h}", "__entry") - 1.0
         out = out.withColumn(f"executable_return_{h}", F.when(F.col(f"__date_{h}") <= F.lit(cutoff).cast("date"), r))

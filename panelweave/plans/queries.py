@@ -47,10 +47,15 @@ def query(digits: int = 6, exact: bool = False):
 # --- universe, labels, factors -----------------------------------------------------
 
 
+def _month_end_momentum(r: Research) -> DataFrame:
+    """A symbol's figures first, then the ranks of the signal dates alone: other rows leave their symbol for nothing."""
+    rows = universe.momentum_returns(r.bars, lookback=8, horizon=4)
+    return universe.standardized_momentum(universe.simple_universe(rows, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE, dates=universe.signal_dates(r.bars)))
+
+
 @query()
 def mvp_rank_ic(r):
-    uni = universe.simple_universe(r.bars, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE)
-    signal = universe.month_ends(universe.momentum_signal(uni, lookback=8, horizon=4))
+    signal = _month_end_momentum(r)
     names = ("insufficient_stocks", "constant_factor", "constant_forward_return")
     return spearman(signal, ["date"], "momentum_z", "forward_return", 20, names)
 
@@ -63,8 +68,8 @@ def mvp_universe(r):
 
 @query()
 def mvp_signal(r):
-    uni = universe.simple_universe(r.bars, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE)
-    rows = universe.momentum_signal(uni, lookback=8, horizon=4)
+    rows = universe.momentum_returns(r.bars, lookback=8, horizon=4)
+    rows = universe.standardized_momentum(universe.simple_universe(rows, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE))
     return rows.select("date", "symbol", "momentum", "forward_return", "momentum_z")
 
 
@@ -851,8 +856,7 @@ def _shifted(df: DataFrame, test: str, column: str, value) -> DataFrame:
 @query()
 def mvp_targets(r):
     """The ten strongest of each signal date, held from the next session on."""
-    uni = universe.simple_universe(r.bars, minimum_history=HISTORY, lookback=LOOKBACK, size=UNIVERSE)
-    signal = universe.month_ends(universe.momentum_signal(uni, lookback=8, horizon=4))
+    signal = _month_end_momentum(r)
     picked = portfolio.top_n(signal, 10, "momentum", score="momentum_z").join(F.broadcast(r.calendar.filter("next_date IS NOT NULL")), "date")
     return picked.select(F.col("date").alias("signal_date"), F.col("next_date").alias("execution_date"), "symbol", "target_weight")
 
