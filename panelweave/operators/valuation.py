@@ -20,7 +20,7 @@ def valuation_prices(holdings: DataFrame, panel: DataFrame, *, open_price: str =
     """
     quotes = panel.select("date", "symbol", F.when(positive(open_price), F.col(open_price)).alias("o"), F.when(positive(close_price), F.col(close_price)).alias("c"), F.lit(False).alias("held"))
     asked = holdings.select("date", "symbol").distinct().withColumns({"o": F.lit(None).cast("double"), "c": F.lit(None).cast("double"), "held": F.lit(True)})
-    days = quotes.unionByName(asked).groupBy("date", "symbol").agg(F.max("o").alias("o"), F.max("c").alias("c"), F.bool_or("held").alias("held"))
+    days = quotes.unionByName(asked).repartition("symbol").groupBy("date", "symbol").agg(F.max("o").alias("o"), F.max("c").alias("c"), F.bool_or("held").alias("held"))
     mark = F.when(F.col("c").isNotNull(), F.struct(F.col("date").alias("d"), F.col("c").alias("p")))
     upto = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
