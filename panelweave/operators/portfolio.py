@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import equal_bucket, finite, market, positive, require_none, ticks
 
 TARGET = ["portfolio_name", "date", "symbol", "target_weight"]
+ORDER = ["portfolio_name", "signal_date", "date", "symbol", "side", "quantity", "fill_quantity", "open_raw", "adv", "reason"]
 
 
 def top_n(scores: DataFrame, size: int, name: str, score: str = "score") -> DataFrame:
@@ -147,6 +148,8 @@ def planned_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame, *,
 
     Quantities are whole lots of the target weight of ``capital``; a position is the target
     of the date before.  Each order gets the first reason that keeps it from trading.
+    Windows of ``panel`` by symbol run for the symbols of ``targets`` alone, and quotes of
+    order dates alone are sent: a panel in buckets by symbol is not shuffled.
     """
     dates = targets.select("portfolio_name", "date").distinct()
     dates = dates.withColumn("next_signal", F.lead("date").over(Window.partitionBy("portfolio_name").orderBy("date")))
@@ -154,7 +157,9 @@ def planned_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame, *,
     gone = targets.join(dates, ["portfolio_name", "date"]).filter("next_signal IS NOT NULL").select("portfolio_name", F.col("next_signal").alias("date"), "symbol", F.lit(0.0).alias("target_weight"))
     wish = targets.select(*TARGET).unionByName(gone).groupBy("portfolio_name", "date", "symbol").agg(F.sum("target_weight").alias("target_weight"))
     wish = wish.join(F.broadcast(calendar), "date").filter("next_date IS NOT NULL")
-    quotes = with_limits(panel).select("symbol", F.col("date").alias("next_date"), "open_raw", "adv", "is_suspended", "limit_low", "limit_high")
+    days = targets.select("date").distinct().join(F.broadcast(calendar), "date").select("next_date").distinct()
+    quotes = panel.join(targets.select("symbol").distinct(), "symbol", "left_semi").withColumn("next_date", F.col("date")).join(F.broadcast(days), "next_date", "left_semi")
+    quotes = with_limits(quotes).select("symbol", "next_date", "open_raw", "adv", "is_suspended", "limit_low", "limit_high")
     rows = wish.join(quotes, ["symbol", "next_date"], "left")
     lots = F.floor(F.lit(capital) * F.col("target_weight") / F.col("open_raw") / lot) * lot
     rows = rows.withColumn("quantity", F.when(positive("open_raw"), lots).cast("long"))
@@ -182,8 +187,7 @@ def filled(planned: DataFrame, *, participation: float | Column, lot: int = 100)
 
 def rebalance_orders(targets: DataFrame, panel: DataFrame, calendar: DataFrame, *, capital: float, lot: int = 100, participation: float = 0.1) -> DataFrame:
     """:func:`planned_orders` with what of each is filled."""
-    rows = filled(planned_orders(targets, panel, calendar, capital=capital, lot=lot), participation=participation, lot=lot)
-    return rows.select("portfolio_name", "signal_date", "date", "symbol", "side", "quantity", "fill_quantity", "open_raw", "adv", "reason")
+    return filled(planned_orders(targets, panel, calendar, capital=capital, lot=lot), participation=participation, lot=lot).select(*ORDER)
 
 
 def fill_statistics(orders: DataFrame, keys: list[str]) -> DataFrame:

@@ -135,13 +135,13 @@ def signal_liquidity(panel: DataFrame, lookback: int = 20) -> DataFrame:
     return df.join(F.broadcast(signal_dates(panel)), "date", "left_semi")
 
 
-def execution_panel(panel: DataFrame, lookback: int = 20) -> DataFrame:
+def execution_panel(panel: DataFrame, lookback: int = 20, calendar: DataFrame | None = None) -> DataFrame:
     """Adds adv (mean amount of the ``lookback`` market dates before), limit_rate and is_suspended.
 
     A symbol's market dates include those on which it has no row; they are counted by the
-    date's number in the calendar and a range window, instead of filling in the rows.
+    date's number in the calendar (of the panel, if None) and a range window, instead of filling in the rows.
     """
-    calendar = panel.select("date").distinct().withColumn("__day", F.row_number().over(Window.orderBy("date")))
+    calendar = (panel if calendar is None else calendar).select("date").distinct().withColumn("__day", F.row_number().over(Window.orderBy("date")))
     df = panel.join(F.broadcast(calendar), "date")
     before = Window.partitionBy("symbol").orderBy("__day").rangeBetween(-lookback, -1)
     return df.select(

@@ -336,7 +336,7 @@ def execution_panel(r):
 
 
 def _orders(r: Research) -> DataFrame:
-    return portfolio.rebalance_orders(r.targets, universe.execution_panel(r.bars), r.calendar, capital=1e7, lot=100, participation=0.5)
+    return portfolio.filled(r.planned, participation=0.5, lot=100).select(*portfolio.ORDER)
 
 
 @query(6, exact=True)
@@ -368,14 +368,10 @@ def fee_coverage(r):
     return portfolio.uncovered_dates(transfer.filter("start < DATE'2000-01-01' OR market = 'sh'"), orders, ["market"])
 
 
-def _planned(r: Research) -> DataFrame:
-    return portfolio.planned_orders(r.targets, universe.execution_panel(r.bars), r.calendar, capital=1e7, lot=100)
-
-
 @query()
 def proportional_buys(r):
     """What the buys of each date get out of 4,000,000."""
-    wishes = _planned(r).filter("side = 'buy' AND reason IS NULL").select("portfolio_name", "date", "symbol", "quantity", F.col("open_raw").alias("price"))
+    wishes = r.planned.filter("side = 'buy' AND reason IS NULL").select("portfolio_name", "date", "symbol", "quantity", F.col("open_raw").alias("price"))
     cash = wishes.select("portfolio_name", "date").distinct().withColumn("available_cash", F.lit(4_000_000.0))
     return sizing.proportional_buys(wishes, cash)
 
@@ -395,7 +391,7 @@ EXPERIMENTS = [
 @query()
 def execution_scenarios(r):
     scenarios = sizing.execution_scenarios(r.spark, SETTINGS, EXPERIMENTS)
-    orders, trades = sizing.scenario_trades(_planned(r), scenarios, *_rules(r.spark))
+    orders, trades = sizing.scenario_trades(r.planned, scenarios, *_rules(r.spark))
     return sizing.scenario_summary(orders, trades).withColumns({c: F.round(c, 2) for c in ("amount", "total_cost")})
 
 

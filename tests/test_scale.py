@@ -1,7 +1,7 @@
 """What larger tables showed: results that depended on the order of rows, and rows sent that nothing needs."""
 
 from panelweave.operators import evaluation as ev
-from panelweave.operators import factors, universe, valuation
+from panelweave.operators import factors, portfolio, universe, valuation
 from panelweave.plans.queries import QUERIES
 from panelweave.sources import stage
 from panelweave.sources.bars import BARS, read_bars
@@ -56,3 +56,17 @@ def test_valuation_prices_shuffle_once(spark):
     bars = spark.range(1).selectExpr("DATE'2000-01-03' AS date", "CAST(id AS STRING) AS symbol", "1.0D AS open_adj", "1.0D AS close_adj")
     got = valuation.valuation_prices(bars, bars)._jdf.queryExecution().executedPlan().toString()
     assert got.count("Exchange hashpartitioning(symbol") == 1 and "hashpartitioning(date" not in got.split("Union")[0]
+
+
+def test_orders_take_quotes_of_target_symbols_where_they_lie(spark):
+    bars = stage.staged_buckets(read_bars(spark, SF, 4), "bars", "symbol", "date", 4)
+    calendar = universe.next_dates(bars)
+    targets = stage.staged(bars.join(universe.signal_dates(bars), "date", "left_semi").filter("symbol <= '000003'").selectExpr("'p' AS portfolio_name", "date", "symbol", "0.5D AS target_weight"), "targets")
+    got = portfolio.planned_orders(targets, universe.execution_panel(bars, calendar=calendar), calendar, capital=1e5)
+    below = plan(got).split("Window [avg(amount")[1]
+    assert "Join LeftSemi, (symbol" in below  # the window sees no other symbols
+    assert got.count() > 0
+
+
+def test_cost_components_start_from_orders_that_are_there(spark):
+    assert "Window" not in plan(QUERIES["cost_components"](spark, SF))
