@@ -99,10 +99,10 @@ def raw_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select("date", "symbol", *[value(n).alias(n) for n in names])
 
 
-def monthly_panel(panel: DataFrame, universe: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """date, symbol, factor_name, family, raw_value for eligible symbols on the last date of each month."""
+def monthly_panel(panel: DataFrame, universe: DataFrame, names: list[str] | None = None, dates: DataFrame | None = None) -> DataFrame:
+    """date, symbol, factor_name, family, raw_value for eligible symbols on the last date of each month (on ``dates``, if given)."""
     names = [f.name for f in FACTORS] if names is None else names
-    dates = F.broadcast(signal_dates(panel))
+    dates = F.broadcast(signal_dates(panel) if dates is None else dates)
     keys = universe.filter("is_eligible").select("date", "symbol").join(dates, "date", "left_semi")
     # The other dates' factors are left where they were computed.
     wide = keys.join(raw_factors(panel, names).join(dates, "date", "left_semi"), ["date", "symbol"], "left")

@@ -1,14 +1,15 @@
 """A weekly price panel of suppliers, derived from order lines.
 
-symbol: supplier number in six digits; date: Monday of the week.  Money is summed as
-decimals, so sums are exact and ranks do not depend on summation order.
+symbol: supplier number in six digits; date: Monday of the week.  Money is summed in whole
+cents, so sums are exact and ranks do not depend on summation order; a sum beyond 64 bits raises.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
 
 # Columns that repeat another one.
 SAME = {"open_adj": "open_raw", "high_adj": "high_raw", "low_adj": "low_raw"}
@@ -18,12 +19,18 @@ BARS = [
 ]
 
 
+def cents(c: str) -> Column:
+    """Hundredths, halves away from zero, as DuckDB casts to DECIMAL(18,2); null unless finite, beyond 64 bits the cast raises."""
+    return F.when(finite(c), (F.col(c) * 100 + F.signum(c) * 0.5).cast("long"))
+
+
 def weekly_bars(lineitem: DataFrame, parts: int | None = None) -> DataFrame:
     """One shuffle, of order lines by symbol: most weeks of a symbol have one or two lines, so summing before it would save nothing.
 
     ``parts``: number of partitions, by symbol; Spark's own choice if None.
     """
-    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
+    money = lambda c: F.sum(cents(c))
+    units = lambda c: c / F.lit(100.0)
     place = F.unix_date(F.to_date("l_shipdate")) * F.lit(10**12) + F.col("l_orderkey") * 10 + F.col("l_linenumber")
     week = lineitem.select(
         F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"),
@@ -42,15 +49,15 @@ def weekly_bars(lineitem: DataFrame, parts: int | None = None) -> DataFrame:
         F.min("unit").alias("low_raw"),
         F.max_by("unit", "place").alias("close_raw"),
         money("l_extendedprice").alias("money"),
-        money("l_quantity").cast("double").alias("volume"),
-        money("l_discount").cast("double").alias("discount"),
-        money("l_tax").cast("double").alias("tax"),
+        units(money("l_quantity")).alias("volume"),
+        units(money("l_discount")).alias("discount"),
+        units(money("l_tax")).alias("tax"),
         F.count(F.lit(1)).alias("lines"),
         F.sum("returned").alias("returned"),
     )
     past = Window.partitionBy("symbol").orderBy("date")
     upto = past.rowsBetween(Window.unboundedPreceding, 0)
-    bar = bar.withColumn("amount", F.col("money").cast("double")).withColumn("close_adj", F.col("amount") / F.col("volume"))
+    bar = bar.withColumn("amount", units(F.col("money"))).withColumn("close_adj", F.col("amount") / F.col("volume"))
     return bar.select(
         "date",
         "symbol",
@@ -67,7 +74,7 @@ def weekly_bars(lineitem: DataFrame, parts: int | None = None) -> DataFrame:
         "volume",
         "amount",
         (F.col("lines") / F.sum("lines").over(upto)).alias("turnover"),
-        F.sum("money").over(upto).cast("double").alias("total_market_cap"),
+        units(F.sum("money").over(upto)).alias("total_market_cap"),
         F.try_divide(F.col("close_adj") * F.col("lines"), F.col("discount")).alias("pe_ttm"),
         F.try_divide(F.col("close_adj") * F.col("lines"), F.col("tax")).alias("pb"),
         F.try_divide(F.col("close_adj") * F.col("lines"), F.col("volume")).alias("ps_ttm"),

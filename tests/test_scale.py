@@ -1,10 +1,13 @@
 """What larger tables showed: results that depended on the order of rows, and rows sent that nothing needs."""
 
+import duckdb
+
 from panelweave.operators import evaluation as ev
 from panelweave.operators import factors, portfolio, universe, valuation
 from panelweave.plans.queries import QUERIES
+from panelweave.plans.research import Research
 from panelweave.sources import stage
-from panelweave.sources.bars import BARS, read_bars
+from panelweave.sources.bars import BARS, BARS_SQL, read_bars
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +73,22 @@ def test_orders_take_quotes_of_target_symbols_where_they_lie(spark):
 
 def test_cost_components_start_from_orders_that_are_there(spark):
     assert "Window" not in plan(QUERIES["cost_components"](spark, SF))
+
+
+def test_factors_run_for_symbols_that_were_members(spark, monkeypatch):
+    monkeypatch.setattr(Research, "_staged", lambda self, df, *a: df)
+    panel = plan(Research(spark, SF).panel)
+    assert "Join LeftSemi, (symbol" in panel.split("stddev_samp")[-1]  # below the windows
+
+
+def test_money_is_rounded_as_in_sql(spark, tmp_path):
+    path = f"{tmp_path}/lineitem.parquet"
+    con = duckdb.connect()
+    con.sql(
+        "COPY (SELECT i AS l_orderkey, i AS l_suppkey, 1 AS l_linenumber, p AS l_extendedprice, 1.0::DOUBLE AS l_quantity, 0.05::DOUBLE AS l_discount, 0.02::DOUBLE AS l_tax, 'R' AS l_returnflag, TIMESTAMP '1998-01-05' AS l_shipdate"
+        f" FROM (VALUES (1, 1.005::DOUBLE), (2, 0.125), (3, 2.675), (4, 0.135), (5, 0.994999999999), (6, -0.125), (7, 104949.5), (8, 123456789012.34), (9, NULL), (10, 0.0)) AS t(i, p)) TO '{path}' (FORMAT parquet)"
+    )
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    columns = "symbol, amount, total_market_cap, close_adj"
+    want = con.sql(f"WITH {BARS_SQL} SELECT {columns} FROM bars").fetchall()
+    assert sorted(tuple(r) for r in read_bars(spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect()) == sorted(want)
